@@ -1,5 +1,62 @@
-from pyspark.sql import DataFrame
+"""Reductions of gridded fields over cells and over time blocks."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-def box_series(cube, values, row_range, col_range, time=("year", "step")):
+
+from ..functions.clean import row_sum
+from .joins import null_safe_join
+from .quantiles import grouped_quantiles
+
+
+def box_series(cube: DataFrame, values: Sequence[str], row_range: tuple[int, int], col_range: tuple[int, int],
+               time: Sequence[str] = ("year", "step"), reducer: str = "mean") -> DataFrame:
+    """Per-time mean or median over the cells of an index box, many variables in one pass."""
     b = cube.where(F.col("row").between(*row_range) & F.col("col").between(*col_range))
-    return b.groupBy(*time).agg(*[F.avg(v).alias(v) for v in values])
+    return spatial_reduce(b, values, time, reducer)
+
+
+def spatial_reduce(field: DataFrame, values: Sequence[str], time: Sequence[str], reducer: str = "mean") -> DataFrame:
+    """Mean or median over cells per time step."""
+    if reducer == "mean":
+        return field.groupBy(*time).agg(*[F.avg(v).alias(v) for v in values])
+    out = None
+    for v in values:
+        q = grouped_quantiles(field, time, v, {v: 0.5})
+        out = q if out is None else null_safe_join(out, q, list(time), "left")
+    return out
+
+
+def region_series(cube: DataFrame, sums: dict[str, Sequence[Column]], *, where: Column, time: Sequence[str] = ("year", "step"),
+                  reducer: str = "median") -> DataFrame:
+    """Sum member variables per cell, then reduce over the region's cells."""
+    f = cube.where(where).select(*time, *[row_sum(list(cols)).alias(n) for n, cols in sums.items()])
+    return spatial_reduce(f, list(sums), time, reducer)
+
+
+def block_reduce(df: DataFrame, keys: Sequence[str], value: str, *, how: str = "mean") -> DataFrame:
+    """Reduce finer steps to blocks whose number is already a key column."""
+    fn = {"mean": F.avg, "max": F.max, "sum": F.sum}[how]
+    return df.groupBy(*keys).agg(fn(value).alias(value))
+
+
+def window_index(field: DataFrame, weights: DataFrame, *, keys: Sequence[str], cell: Sequence[str], value: str, weight: str,
+                 out: str = "index", offset: float = 1e-6) -> DataFrame:
+    """log10 of the weighted mean over sampled cells of each cell's mean in the window (season and year)."""
+    cells = field.groupBy(*keys, *cell).agg(F.avg(value).alias("__v"))
+    j = cells.join(weights, list(cell))
+    mean = F.sum(F.col(weight) * F.col("__v")) / F.sum(weight)
+    return j.groupBy(*keys).agg(F.log10(mean + offset).alias(out))
+
+
+def period_multipliers(df: DataFrame, keys: Sequence[str], value: str, date: str, *, first: tuple[str, str], spinup: tuple[str, str],
+                       full: tuple[str, str]) -> DataFrame:
+    """Initial, spin-up and full-run means with their ratios to the initial value, in one pass."""
+    def mean(span: tuple[str, str]) -> Column:
+        return F.avg(F.when(F.col(date).between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date")), F.col(value)))
+
+    a = df.groupBy(*keys).agg(mean(first).alias("initial"), mean(spinup).alias("spinup_mean"), mean(full).alias("full_mean"))
+    return a.withColumns({"spinup_mult": F.try_divide("spinup_mean", "initial"), "full_mult": F.try_divide("full_mean", "initial")})
