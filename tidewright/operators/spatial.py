@@ -49,12 +49,12 @@ def nearest_cell_in_box(points: DataFrame, grid: DataFrame, *, lat: str, lon: st
 
 def nearest_cell_planar(points: DataFrame, grid: DataFrame, *, lat: str, lon: str, glat: str, glon: str,
                         cell: Sequence[str], lon_scale: float | None = 1.0, max_km: float | None = None,
-                        first_width: float = 0.05, growth: int = 4, mask: Column | None = None) -> DataFrame:
+                        first_width: float = 0.01, mask: Column | None = None) -> DataFrame:
     """Nearest cell by scaled degree distance; ``lon_scale=None`` uses the cosine of the point's latitude.
 
-    With ``max_km`` one bucket pass of that width is enough. Without it, buckets widen level by level: a point
-    is settled as soon as its best distance is no larger than anything outside the buckets searched, and only
-    unsettled points move on, so dense areas never meet the whole grid.
+    With ``max_km`` one bucket pass of that width is enough. Without it, one cell per occupied bucket of a
+    pyramid of widths gives each point an upper bound on its distance; the pyramid level just wider than that
+    bound then holds the answer in nine buckets. Candidates per point follow the local cell density.
     """
     g = _prepare(grid, glat, glon, cell, mask)
     p = points.select(F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon")).distinct().where(
@@ -62,32 +62,37 @@ def nearest_cell_planar(points: DataFrame, grid: DataFrame, *, lat: str, lon: st
     )
     k = F.cos(F.radians("p_lat")) if lon_scale is None else F.lit(float(lon_scale))
     p = p.withColumn("k", k)
-    d2 = F.pow(F.col("g_lat") - F.col("p_lat"), 2) + F.pow((F.col("g_lon") - F.col("p_lon")) * F.col("k"), 2)
-
-    def search(todo: DataFrame, width: float) -> DataFrame:
-        b = todo.withColumns({"by": F.floor(F.col("p_lat") / width), "bx": F.floor(F.col("p_lon") / width)})
-        c = b.join(_spread(g, width), ["by", "bx"], "left")
-        return c.groupBy("p_lat", "p_lon", "k").agg(
-            F.min(F.when(F.col("cell").isNotNull(), F.struct(F.sqrt(d2).alias("d"), "cell"))).alias("m")
-        )
+    dist = F.sqrt(F.pow(F.col("g_lat") - F.col("p_lat"), 2) + F.pow((F.col("g_lon") - F.col("p_lon")) * F.col("k"), 2))
 
     if max_km is not None:
         floor_k = 0.25 if lon_scale is None else min(float(lon_scale), 1.0)
         limit = max_km / KM_PER_DEGREE
-        found = search(p, limit / floor_k).where(F.col("m.d") <= limit)
+        b = p.withColumns({"by": F.floor(F.col("p_lat") / F.lit(limit / floor_k)), "bx": F.floor(F.col("p_lon") / F.lit(limit / floor_k))})
+        c = b.join(_spread(g, limit / floor_k), ["by", "bx"])
+        best = c.groupBy("p_lat", "p_lon").agg(F.min(F.struct(dist.alias("d"), "cell")).alias("m")).where(F.col("m.d") <= limit)
     else:
-        found, todo, width = None, p, first_width
-        while True:
-            best = search(todo, width)
-            last = width >= 360.0
-            sure = F.col("m.d") <= F.lit(width) * F.least(F.lit(1.0), F.col("k"))
-            done = best if last else best.where(sure)
-            found = done if found is None else found.unionByName(done)
-            if last:
-                break
-            todo = best.where(~F.coalesce(sure, F.lit(False))).select("p_lat", "p_lon", "k")
-            width *= growth
-    best = found.select(F.col("p_lat").alias(lat), F.col("p_lon").alias(lon), "m.cell.*", F.col("m.d").alias("dist_deg"))
+        n_levels = 1
+        while first_width * 2 ** (n_levels - 1) < 360.0:
+            n_levels += 1
+        widths = F.array(*[F.lit(first_width * 2**i) for i in range(n_levels)])
+
+        def bucket(y: Column, x: Column, level: Column, dy: int = 0, dx: int = 0) -> Column:
+            w = F.get(widths, level)
+            return F.struct(level.alias("lv"), (F.floor(y / w) + dy).alias("by"), (F.floor(x / w) + dx).alias("bx"))
+
+        levels = F.sequence(F.lit(0), F.lit(n_levels - 1))
+        tagged = g.withColumn("__l", F.explode(levels)).select(
+            "g_lat", "g_lon", "cell", bucket(F.col("g_lat"), F.col("g_lon"), F.col("__l")).alias("__b")).select("*", "__b.*").drop("__b")
+        reps = tagged.groupBy("lv", "by", "bx").agg(F.min(F.struct("g_lat", "g_lon")).alias("r")).select("lv", "by", "bx", "r.*")
+        around = p.withColumn("__l", F.explode(levels)).withColumn("__b", F.explode(F.array(
+            *[bucket(F.col("p_lat"), F.col("p_lon"), F.col("__l"), i, j) for i, j in _RING]))).select("p_lat", "p_lon", "k", "__b.*")
+        bound = around.join(reps, ["lv", "by", "bx"]).groupBy("p_lat", "p_lon", "k").agg(F.min(dist).alias("ub"))
+        need = F.col("ub") / F.least(F.lit(1.0), F.col("k")) * (1 + 1e-12)
+        level = F.least(F.size(F.filter(widths, lambda w: w < need)), F.lit(n_levels - 1))
+        near = bound.withColumn("__l", level).withColumn("__b", F.explode(F.array(
+            *[bucket(F.col("p_lat"), F.col("p_lon"), F.col("__l"), i, j) for i, j in _RING]))).select("p_lat", "p_lon", "k", "__b.*")
+        best = near.join(tagged, ["lv", "by", "bx"]).groupBy("p_lat", "p_lon").agg(F.min(F.struct(dist.alias("d"), "cell")).alias("m"))
+    best = best.select(F.col("p_lat").alias(lat), F.col("p_lon").alias(lon), "m.cell.*", F.col("m.d").alias("dist_deg"))
     return null_safe_join(points, best, [lat, lon], "left")
 
 
