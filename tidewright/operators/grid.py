@@ -60,3 +60,23 @@ def period_multipliers(df: DataFrame, keys: Sequence[str], value: str, date: str
 
     a = df.groupBy(*keys).agg(mean(first).alias("initial"), mean(spinup).alias("spinup_mean"), mean(full).alias("full_mean"))
     return a.withColumns({"spinup_mult": F.try_divide("spinup_mean", "initial"), "full_mult": F.try_divide("full_mean", "initial")})
+
+
+def daily_blocks(df: DataFrame, keys: Sequence[str], date: str, value: str, *, days_used: int = 3, last_step: int = 120, how: str = "mean") -> DataFrame:
+    """Daily rows to 3-day steps. With ``days_used`` 2 only the first two days of a block count; the pooled last
+    block always takes all its days."""
+    from ..functions.calendar import model_step
+
+    offset = (F.dayofyear(date) - 1) % 3
+    tail = F.dayofyear(date) > 3 * (last_step - 1)
+    d = df.where((offset < days_used) | tail)
+    d = d.withColumns({"year": F.year(date), "step": model_step(F.col(date), last_step)})
+    return block_reduce(d, [*keys, "year", "step"], value, how=how)
+
+
+def chained_means(df: DataFrame, keys: Sequence[str], ts: str, value: str, units: Sequence[str]) -> DataFrame:
+    """Means of means over finer to coarser calendar units; ``n`` counts the finer units in the last one."""
+    d = df
+    for unit in units:
+        d = d.groupBy(*keys, F.date_trunc(unit, ts).alias(ts)).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n"))
+    return d
