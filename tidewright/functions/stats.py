@@ -43,7 +43,7 @@ def pearson_p(r: Column, n: Column) -> Column:
     )
     exact = F.greatest(F.lit(1.0) - inside, F.lit(0.0))
     return F.when((df >= 1) & (df <= EXACT_DF_LIMIT), exact).when(
-        df > EXACT_DF_LIMIT, normal_two_sided(s * F.sqrt(df / c2))
+        df > EXACT_DF_LIMIT, normal_two_sided(s * F.sqrt(F.try_divide(df, c2)))
     )
 
 
@@ -57,4 +57,4 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def partial_corr(rxy: Column, rxz: Column, ryz: Column) -> Column:
-    return (rxy - rxz * ryz) / F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz))
+    return F.try_divide(rxy - rxz * ryz, F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz)))

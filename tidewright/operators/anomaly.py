@@ -27,7 +27,7 @@ def usable_sd(c: Column, eps: float = EPS_SD) -> Column:
 def zscore(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Value minus group mean over group SD, on rows."""
     d = with_group_stats(df, keys, __mu=F.avg(value), __sd=F.stddev_samp(value))
-    return d.withColumn(out, (F.col(value) - F.col("__mu")) / usable_sd(F.col("__sd"))).drop("__mu", "__sd")
+    return d.withColumn(out, F.try_divide(F.col(value) - F.col("__mu"), usable_sd(F.col("__sd")))).drop("__mu", "__sd")
 
 
 def zscore_bounded(keys: Sequence[str], value: Column | str, where: Column | None = None) -> Column:
@@ -67,11 +67,11 @@ def weighted_stats(x: Column, w: Column, keys: Sequence[str]) -> tuple[Column, C
     ok = x.isNotNull() & (w > 0)
     w1, x1 = F.when(ok, w), F.when(ok, x)
     sw = F.sum(w1).over(win)
-    mu = F.sum(w1 * x1).over(win) / sw
-    denom = sw - F.sum(w1 * w1).over(win) / sw
+    mu = F.try_divide(F.sum(w1 * x1).over(win), sw)
+    denom = sw - F.try_divide(F.sum(w1 * w1).over(win), sw)
     # E[w x^2] - mu^2 loses digits; centre on the unweighted mean first.
     c = F.avg(x1).over(win)
-    var = (F.sum(w1 * (x1 - c) * (x1 - c)).over(win) - sw * (mu - c) * (mu - c)) / denom
+    var = F.try_divide(F.sum(w1 * (x1 - c) * (x1 - c)).over(win) - sw * (mu - c) * (mu - c), denom)
     return mu, F.when(denom > 0, F.sqrt(F.greatest(var, F.lit(0.0))))
 
 
@@ -131,9 +131,9 @@ def pooled_anomalies(paired: DataFrame, keys: Sequence[str], year: str = "year",
     w = W.partitionBy(*keys)
     for s in sides:
         n, m, v = F.col(f"__n_{s}"), F.col(f"__m_{s}"), F.col(f"__v_{s}")
-        a = a.withColumn(f"__mu_{s}", F.sum(n * m).over(w) / F.sum(n).over(w))
+        a = a.withColumn(f"__mu_{s}", F.try_divide(F.sum(n * m).over(w), F.sum(n).over(w)))
         mu = F.col(f"__mu_{s}")
-        sd = F.sqrt(F.sum(n * v + n * (m - mu) * (m - mu)).over(w) / (F.sum(n).over(w) - 1))
+        sd = F.sqrt(F.try_divide(F.sum(n * v + n * (m - mu) * (m - mu)).over(w), F.sum(n).over(w) - 1))
         a = a.withColumn(f"{s}_anom", (m - mu) / usable_sd(sd))
     return a.select(*keys, year, *[f"{s}_anom" for s in sides])
 
@@ -180,11 +180,11 @@ def monthly_normalised(df: DataFrame, *, group: str, year: str = "year", month:
     d = d.withColumns({
         "from_mean": F.col(value) - F.col("annual_mean"),
         "from_median": F.col(value) - F.col("annual_median"),
-        "norm_mean": (F.col(value) - F.col("annual_mean")) / F.col("annual_sd"),
-        "norm_median": (F.col(value) - F.col("annual_median")) / F.col("annual_sd"),
+        "norm_mean": F.try_divide(F.col(value) - F.col("annual_mean"), F.col("annual_sd")),
+        "norm_median": F.try_divide(F.col(value) - F.col("annual_median"), F.col("annual_sd")),
     })
     low = null_safe_join(df.groupBy(group).agg(F.min(value).alias("__lo")), ann, [group]).select(
-        group, ((F.col("__lo") - F.col("annual_mean")) / F.col("annual_sd")).alias("__zlo"))
+        group, F.try_divide(F.col("__lo") - F.col("annual_mean"), F.col("annual_sd")).alias("__zlo"))
     d = null_safe_join(d, low, [group])
     return d.withColumn("norm_log", F.log(F.col("norm_mean") - F.col("__zlo") + offset)).drop("__zlo")
 

@@ -29,7 +29,7 @@ def _clipped_area(zmin: float, zmax: float) -> Column:
     """Trapezoid of one segment inside [zmin, zmax]; NULL when it does not reach inside."""
     z, c, nz, nc = F.col("z"), F.col("c"), F.col("next_z"), F.col("next_c")
     lo, hi = F.greatest(z, F.lit(float(zmin))), F.least(nz, F.lit(float(zmax)))
-    slope = (nc - c) / (nz - z)
+    slope = F.try_divide(nc - c, nz - z)
     return F.when(hi > lo, (hi - lo) * ((c + slope * (lo - z)) + (c + slope * (hi - z))) / 2)
 
 
@@ -97,7 +97,7 @@ def at_levels(df: DataFrame, keys: Sequence[str], depth: str, value: str, levels
     arr = F.array(*[F.lit(float(v)) for v in levels])
     inside = F.filter(arr, lambda v: ((v >= F.col("z")) & (v < F.col("next_z"))) | (v == F.col("z")))
     s = s.withColumn("level", F.explode(inside))
-    step = (F.col("level") - F.col("z")) / (F.col("next_z") - F.col("z"))
+    step = F.try_divide(F.col("level") - F.col("z"), F.col("next_z") - F.col("z"))
     return s.select(*keys, "level", F.when(F.col("level") == F.col("z"), F.col("c")).otherwise(
         F.col("c") + step * (F.col("next_c") - F.col("c"))).alias("value"))
 
@@ -111,7 +111,7 @@ def columns(df: DataFrame, keys: Sequence[str], *, level: str, depth: str, thick
 
 
 def _lerp(a: Column, b: Column, z: Column) -> Column:
-    return a.v + (z - a.z) / (b.z - a.z) * (b.v - a.v)
+    return a.v + F.try_divide(z - a.z, b.z - a.z) * (b.v - a.v)
 
 
 def _value_at(arr: Column, z: Column) -> Column:

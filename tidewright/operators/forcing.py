@@ -106,7 +106,7 @@ def multiplier_series(df: DataFrame, value: str, *, order: Sequence[str] = ("yea
     if half:
         d = centred_mean(d, [], list(order), "mult", half).withColumn("mult", F.round("mult", digits))
     mean = d.agg(F.avg("mult").alias("__m"))
-    return d.crossJoin(mean).withColumn("mult", F.round(F.col("mult") / F.col("__m"), digits)).drop("__m")
+    return d.crossJoin(mean).withColumn("mult", F.round(F.try_divide("mult", "__m"), digits)).drop("__m")
 
 
 def multiplier_field(field: DataFrame, cell: Sequence[str], value: str, *, order: Sequence[str] = ("year", "step"), cap: float = 22.0,
@@ -130,7 +130,7 @@ def multiplier_field(field: DataFrame, cell: Sequence[str], value: str, *, order
         d = centred_mean_padded(d, list(cell), list(order), "mult", half)
     d = with_group_stats(d, list(cell) if per_cell else [], __mu=F.avg("mult"))
     mu = F.when(F.col("__mu").isNotNull() & (F.col("__mu") != 0), F.col("__mu")).otherwise(F.lit(1.0)) if per_cell else F.col("__mu")
-    d = d.withColumn("mult", F.when(F.col("__masked"), F.lit(nodata)).when(F.col("is_static"), F.lit(1.0)).otherwise(F.col("mult") / mu))
+    d = d.withColumn("mult", F.when(F.col("__masked"), F.lit(nodata)).when(F.col("is_static"), F.lit(1.0)).otherwise(F.try_divide(F.col("mult"), mu)))
     return d.drop("__mu", "__masked")
 
 
@@ -157,7 +157,7 @@ def scaled_anomaly(field: DataFrame, clim: DataFrame, cell: Sequence[str], value
     """1 + (x - climatology) / largest absolute anomaly, within [0, 2]."""
     d = field.join(clim, ["step", *cell]).withColumn("anomaly", F.col(value) - F.col("clim"))
     top = d.agg(F.max(F.abs("anomaly")).alias("__scale"))
-    s = 1 + F.col("anomaly") / F.col("__scale")
+    s = 1 + F.coalesce(F.try_divide("anomaly", "__scale"), F.lit(0.0) * F.col("anomaly"))
     return d.crossJoin(top).withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(2.0), s))).drop("__scale")
 
 

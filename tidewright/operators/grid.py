@@ -48,7 +48,7 @@ def window_index(field: DataFrame, weights: DataFrame, *, keys: Sequence[str], c
     """log10 of the weighted mean over sampled cells of each cell's mean in the window (season and year)."""
     cells = field.groupBy(*keys, *cell).agg(F.avg(value).alias("__v"))
     j = cells.join(weights, list(cell))
-    mean = F.sum(F.col(weight) * F.col("__v")) / F.sum(weight)
+    mean = F.try_divide(F.sum(F.col(weight) * F.col("__v")), F.sum(weight))
     return j.groupBy(*keys).agg(F.log10(mean + offset).alias(out))
 
 

@@ -162,7 +162,7 @@ def cell_coherence(onsets: DataFrame, region: DataFrame, cell: Sequence[str], *,
     j = null_safe_join(j, stats, keys).crossJoin(rm)
     a, b = F.col(doy) - F.col("mean"), F.col(region_doy) - F.col("__rm")
     s = j.groupBy(*keys, "mean", "sd", "n_years").agg(
-        (F.sum(a * b) / F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("r"))
+        F.try_divide(F.sum(a * b), F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("r"))
     return s.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
@@ -187,7 +187,7 @@ def ratio_to_annual_median(df: DataFrame, keys: Sequence[str], value: str, out:
     """Weekly value over the median of the available weeks of the key (source and year)."""
     w = W.partitionBy(*keys)
     base = F.col(value) if available is None else F.when(available, F.col(value))
-    return df.withColumn(out, F.col(value) / F.median(base).over(w))
+    return df.withColumn(out, F.try_divide(F.col(value), F.median(base).over(w)))
 
 
 def block_pattern(blocks: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
@@ -196,7 +196,7 @@ def block_pattern(blocks: DataFrame, keys: Sequence[str], a: str, b: str) -> Dat
 
     d = blocks.where((F.col(a) > 0) & (F.col(b) > 0)).withColumns({"__a": F.log(a), "__b": F.log(b)})
     d = with_group_stats(d, keys, __am=F.avg("__a"), __as=F.stddev_pop("__a"), __bm=F.avg("__b"), __bs=F.stddev_pop("__b"))
-    z = (F.col("__b") - F.col("__bm")) / F.col("__bs") - (F.col("__a") - F.col("__am")) / F.col("__as")
+    z = F.try_divide(F.col("__b") - F.col("__bm"), F.col("__bs")) - F.try_divide(F.col("__a") - F.col("__am"), F.col("__as"))
     return d.withColumn("dz", z).drop("__am", "__as", "__bm", "__bs")
 
 

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import null_safe_join
 
-SPLITS = 64
+SPLITS = 64  # a power of two
+
+
+def _count_at_or_below(cuts: Column, v: Column, splits: int) -> Column:
+    """How many of the ``splits - 1`` ordered cuts are <= v: a binary search that stays in generated code."""
+    i, step = F.lit(0), splits // 2
+    while step >= 1:
+        i = i + F.when(F.get(cuts, i + (step - 1)) <= v, step).otherwise(0)
+        step //= 2
+    return i
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -35,9 +44,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         F.percentile_approx("__v", F.array(*cuts), F.lit(splits * 20)).alias("__cuts"),
         F.sum("__c").alias("__n"),
     )
-    ranged = null_safe_join(vals, sketch, gk).withColumn(
-        "__lo", F.array_max(F.filter("__cuts", lambda s: s <= F.col("__v")))
-    )
+    below = _count_at_or_below(F.col("__cuts"), F.col("__v"), splits)
+    ranged = null_safe_join(vals, sketch, gk).withColumn("__lo", F.get("__cuts", below - 1))
     counts = ranged.groupBy(*gk, "__lo").agg(F.sum("__c").alias("__rc"), F.first("__n").alias("__n"))
     by_range = W.partitionBy(*gk).orderBy(F.col("__lo").asc_nulls_first())
     counts = counts.withColumns({

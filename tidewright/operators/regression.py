@@ -109,42 +109,92 @@ class Terms:
         return [*self.factors, *self.numeric, *[p[0] for p in self.poly]]
 
 
-def _sparse_row(terms: Terms, y: str) -> Column:
-    """Non-zero entries of a design row: (term name, value); factors contribute one entry each."""
-    one = [F.struct(F.lit("(1)").alias("k"), F.lit(1.0).alias("v"))]
-    fac = [F.struct(F.concat(F.lit(f"{f}="), F.coalesce(F.col(f).cast("string"), F.lit("-"))).alias("k"), F.lit(1.0).alias("v"))
-           for f in terms.factors]
-    num = [F.struct(F.lit(n).alias("k"), F.col(n).cast("double").alias("v")) for n in terms.numeric]
-    pol = [F.struct(F.lit(f"{c}^{d}").alias("k"), F.pow(F.col(f"__z_{c}"), F.lit(d)).alias("v"))
-           for c, deg in terms.poly for d in range(1, deg + 1)]
-    resp = [F.struct(F.lit("(y)").alias("k"), F.col(y).cast("double").alias("v"))]
-    return F.array(*one, *fac, *num, *pol, *resp)
+_FIT_SCHEMA = "model string, term string, level string, effect double, n_terms int, rank int, r2 double, n long"
 
 
-_FIT_SCHEMA = "term string, level string, effect double, n_terms int, rank int, r2 double, n long"
+def cross_products(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[Terms]) -> DataFrame:
+    """Sparse cross-product sums (keys, i, j, p) over the union of all terms of ``models``.
+
+    Rows are first reduced to one record per combination of factor levels holding the dense sums of the numeric
+    part, with map-side combine; only those records are spread over term pairs.
+    """
+    keys = list(keys)
+    factors = sorted({f for m in models for f in m.factors})
+    numeric = sorted({n for m in models for n in m.numeric})
+    degree: dict[str, int] = {}
+    for m in models:
+        for c, deg in m.poly:
+            degree[c] = max(deg, degree.get(c, 0))
+    d = df
+    for c in [y, *numeric, *degree]:
+        d = d.where(F.col(c).isNotNull())
+    for c in sorted(degree):
+        d = with_group_stats(d, keys, __m=F.avg(c), __s=F.stddev_pop(c))
+        d = d.withColumn(f"__z_{c}", (F.col(c) - F.col("__m")) / F.greatest(F.col("__s"), F.lit(1.0))).drop("__m", "__s")
+    dense: list[tuple[str, Column]] = [("(1)", F.lit(1.0))]
+    dense += [(n, F.col(n).cast("double")) for n in numeric]
+    dense += [(f"{c}^{k}", F.pow(F.col(f"__z_{c}"), F.lit(k))) for c in sorted(degree) for k in range(1, degree[c] + 1)]
+    dense.append(("(y)", F.col(y).cast("double")))
+    pairs = [(i, j) for i in range(len(dense)) for j in range(i, len(dense))]
+    lv = [F.concat(F.lit(f"{f}="), F.coalesce(F.col(f).cast("string"), F.lit("-"))).alias(f"__f{n}") for n, f in enumerate(factors)]
+    d = d.select(*keys, *lv, *[c.alias(f"__d{i}") for i, (_, c) in enumerate(dense)])
+    sums = d.groupBy(*keys, *[f"__f{n}" for n in range(len(factors))]).agg(
+        *[F.sum(F.col(f"__d{i}") * F.col(f"__d{j}")).alias(f"__p{i}_{j}") for i, j in pairs])
+
+    def entry(i: Column, j: Column, p: str) -> Column:
+        return F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), F.col(p).alias("p"))
+
+    entries = [entry(F.lit(dense[i][0]), F.lit(dense[j][0]), f"__p{i}_{j}") for i, j in pairs]
+    for n in range(len(factors)):
+        entries += [entry(F.col(f"__f{n}"), F.lit(dense[i][0]), f"__p0_{i}") for i in range(len(dense))]
+        entries += [entry(F.col(f"__f{n}"), F.col(f"__f{o}"), "__p0_0") for o in range(n, len(factors))]
+    return sums.select(*keys, F.inline(F.array(*entries))).groupBy(*keys, "i", "j").agg(F.sum("p").alias("p"))
+
+
+def _solve_models(g: np.ndarray, names: list[str], models: Sequence[Terms]) -> pd.DataFrame:
+    """Effects of every model from the union cross-product matrix of one group."""
+    pos = {n: i for i, n in enumerate(names)}
+    yi, one = pos["(y)"], pos["(1)"]
+    n_obs = g[one, one]
+    sst = g[yi, yi] - g[one, yi] ** 2 / n_obs
+    out = []
+    for m in models:
+        use, base = ["(1)"], []
+        for f in m.factors:
+            levels = [n for n in names if n.startswith(f"{f}=")]
+            base += levels[:1]
+            use += levels[1:]
+        use += list(m.numeric) + [f"{c}^{k}" for c, deg in m.poly for k in range(1, deg + 1)]
+        k = [pos[n] for n in use]
+        xtx, xty = g[np.ix_(k, k)], g[k, yi]
+        scale = np.sqrt(np.where(np.diag(xtx) > 0, np.diag(xtx), 1.0))
+        gs = xtx / np.outer(scale, scale)
+        beta = (np.linalg.pinv(gs, rcond=1e-11, hermitian=True) @ (xty / scale)) / scale
+        sse = g[yi, yi] - 2 * beta @ xty + beta @ xtx @ beta
+        terms = [*use, *base]
+        out.append(pd.DataFrame({
+            "model": m.name,
+            "term": [n.split("=", 1)[0] for n in terms],
+            "level": [n.split("=", 1)[1] if "=" in n else "" for n in terms],
+            "effect": [*beta.astype(float), *[0.0] * len(base)],
+            "n_terms": len(use),
+            "rank": int(np.linalg.matrix_rank(gs, tol=1e-9, hermitian=True)),
+            "r2": float(1 - sse / sst) if sst > 0 else np.nan,
+            "n": int(round(n_obs)),
+        }))
+    return pd.concat(out, ignore_index=True)
 
 
 def fit_terms(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[Terms], max_terms: int = MAX_TERMS) -> DataFrame:
-    """Fit several linear models per group in one job; one row per term (factor levels include the baseline).
+    """Fit several linear models per group in one job; one row per model and term (baseline levels included).
 
-    Each row adds its few non-zero design entries, pair by pair, to the sparse cross-product sums keyed by
-    (model, group, term, term). Those sums are bounded by the square of the number of terms, which is checked
-    before a group is solved. The first level of every factor in text order is the baseline with effect 0.
+    Rows with a missing response or numeric term are left out. The sums of a group are bounded by the square of
+    its number of terms, which is checked before solving. The first level of a factor in text order is the
+    baseline with effect 0.
     """
     keys = list(keys)
-    d = df.where(F.col(y).isNotNull())
-    polys = sorted({c for m in models for c, _ in m.poly})
-    for c in polys:
-        d = with_group_stats(d, keys, __m=F.avg(c), __s=F.stddev_pop(c))
-        d = d.withColumn(f"__z_{c}", (F.col(c) - F.col("__m")) / F.greatest(F.col("__s"), F.lit(1.0))).drop("__m", "__s")
-    rows = F.explode(F.array(*[F.struct(F.lit(m.name).alias("model"), _sparse_row(m, y).alias("row")) for m in models]))
-    d = d.select(*keys, rows.alias("__r")).select(*keys, "__r.model", "__r.row")
-    pair = F.explode(F.flatten(F.transform("row", lambda a: F.transform(
-        F.filter("row", lambda b: b.k >= a.k), lambda b: F.struct(a.k.alias("i"), b.k.alias("j"), (a.v * b.v).alias("p"))))))
-    gram = d.select(*keys, "model", pair.alias("__p")).groupBy(
-        *keys, "model", F.col("__p.i").alias("i"), F.col("__p.j").alias("j")).agg(F.sum("__p.p").alias("p"))
-    key_schema = ", ".join(f"`{k}` {t}" for k, t in d.dtypes if k in keys)
-    n_keys = len(keys)
+    gram = cross_products(df, keys, y, models)
+    key_schema = ", ".join(f"`{k}` {t}" for k, t in gram.dtypes if k in keys)
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["i"]) | set(pdf["j"]))
@@ -155,37 +205,15 @@ def fit_terms(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[Terms
         ii, jj = pdf["i"].map(pos).to_numpy(), pdf["j"].map(pos).to_numpy()
         g[ii, jj] = pdf["p"].to_numpy()
         g[jj, ii] = pdf["p"].to_numpy()
-        levels: dict[str, list[str]] = {}
-        for n in names:
-            if "=" in n:
-                levels.setdefault(n.split("=", 1)[0], []).append(n)
-        base = {v[0] for v in levels.values()}
-        use = [n for n in names if n != "(y)" and n not in base]
-        k = [pos[n] for n in use]
-        yi, one = pos["(y)"], pos["(1)"]
-        xtx, xty = g[np.ix_(k, k)], g[k, yi]
-        scale = np.sqrt(np.where(np.diag(xtx) > 0, np.diag(xtx), 1.0))
-        gs = xtx / np.outer(scale, scale)
-        beta = (np.linalg.pinv(gs, rcond=1e-11, hermitian=True) @ (xty / scale)) / scale
-        rank = int(np.linalg.matrix_rank(gs, tol=1e-9, hermitian=True))
-        n_obs = g[one, one]
-        sst = g[yi, yi] - g[one, yi] ** 2 / n_obs
-        sse = g[yi, yi] - 2 * beta @ xty + beta @ xtx @ beta
-        r2 = 1 - sse / sst if sst > 0 else np.nan
-        out = [(n, b) for n, b in zip(use, beta)] + [(n, 0.0) for n in sorted(base)]
-        res = pd.DataFrame({
-            "term": [n.split("=", 1)[0] for n, _ in out],
-            "level": [n.split("=", 1)[1] if "=" in n else "" for n, _ in out],
-            "effect": [float(b) for _, b in out],
-        })
-        res["n_terms"], res["rank"], res["r2"], res["n"] = len(use), rank, float(r2), int(round(n_obs))
-        for i in range(n_keys):
-            res[keys[i]] = key[i]
-        res["model"] = key[-1]
-        return res[[*keys, "model", "term", "level", "effect", "n_terms", "rank", "r2", "n"]]
-
-    schema = ", ".join(x for x in (key_schema, "model string", _FIT_SCHEMA) if x)
-    return gram.groupBy(*keys, "model").applyInPandas(solve, schema)
+        res = _solve_models(g, names, models)
+        for i, k in enumerate(keys):
+            res[k] = key[i]
+        return res[[*keys, *[c.split()[0] for c in _FIT_SCHEMA.split(", ")]]]
+
+    schema = ", ".join(x for x in (key_schema, _FIT_SCHEMA) if x)
+    if keys:
+        return gram.groupBy(*keys).applyInPandas(solve, schema)
+    return gram.groupBy(F.lit(1).alias("__all")).applyInPandas(solve, schema)
 
 
 def factor_effects(fits: DataFrame, keys: Sequence[str], factor: str) -> DataFrame:
@@ -234,49 +262,48 @@ def degree_bins(df: DataFrame, keys: Sequence[str], temp: str, value: str, width
 
 def thermal_curve_grid(binned: DataFrame, keys: Sequence[str], *, temp: str = "temp", value: str = "response",
                        topt: tuple[float, float] = (0.0, 30.0), rate: tuple[float, float] = (0.0, 1.0),
-                       points: int = 13, rounds: int = 14, min_rows: int = 5) -> DataFrame:
+                       points: int = 11, rounds: int = 8, min_rows: int = 5) -> DataFrame:
     """Two-sided Gaussian response per group by refined grid search; the height has a closed form.
 
-    y = c exp(-a (T - Topt)^2) left of Topt and c exp(-b (T - Topt)^2) right of it. Each round scores every
-    candidate (Topt, a, b) of a small grid with grouped sums and halves the grid around the best one.
-    ``binned`` must be a binned table (see ``degree_bins``): its rows per group are bounded by the bins. A
-    group is therefore carried as one bounded array, and scoring is one expression per candidate.
+    y = c exp(-a (T - Topt)^2) left of Topt and c exp(-b (T - Topt)^2) right of it. A group travels as one short
+    array of its bins (``degree_bins`` bounds their number). Each round spreads the group's candidates
+    (Topt, a, b) over the cluster, scores them and narrows the box around the best one.
     """
     keys = list(keys)
-    pts = binned.where(F.col(temp).isNotNull() & F.col(value).isNotNull()).groupBy(*keys).agg(
+    box = [(float(a), float(b)) for a, b in (topt, rate, rate)]
+    d = binned.where(F.col(temp).isNotNull() & F.col(value).isNotNull()).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(temp).cast("double").alias("x"), F.col(value).cast("double").alias("y")))).alias("pts"),
         F.count(F.lit(1)).alias("n"),
     ).where(F.col("n") >= min_rows)
-
-    @F.pandas_udf("struct<topt:double,a:double,b:double,c:double,sse:double>")
-    def search(series: pd.Series) -> pd.DataFrame:
-        out = []
-        for arr in series:
-            x = np.array([p["x"] for p in arr])
-            y = np.array([p["y"] for p in arr])
-            box = np.array([topt, rate, rate], dtype=float)
-            lo, hi = box[:, 0].copy(), box[:, 1].copy()
-            best = None
-            for _ in range(rounds):
-                axes = [np.linspace(lo[i], hi[i], points) for i in range(3)]
-                tt, aa, bb = (g.ravel()[:, None] for g in np.meshgrid(*axes, indexing="ij"))
-                d2 = (x[None, :] - tt) ** 2
-                s = np.exp(-np.where(x[None, :] <= tt, aa, bb) * d2)
-                c = np.maximum((s * y).sum(1) / np.maximum((s * s).sum(1), 1e-300), 0.0)
-                sse = ((y[None, :] - c[:, None] * s) ** 2).sum(1)
-                i = int(sse.argmin())
-                if best is None or sse[i] < best[4]:
-                    best = (tt[i, 0], aa[i, 0], bb[i, 0], c[i], sse[i])
-                half = (hi - lo) * 0.3
-                mid = np.array(best[:3])
-                lo, hi = np.maximum(mid - half, box[:, 0]), np.minimum(mid + half, box[:, 1])
-            out.append(best)
-        return pd.DataFrame(out, columns=["topt", "a", "b", "c", "sse"])
-
-    f = pts.withColumn("__f", search("pts"))
-    rmse = F.sqrt(F.col("__f.sse") / F.col("n"))
-    return f.select(*keys, "__f.topt", "__f.a", "__f.b", "__f.c", F.col("n"), rmse.alias("rmse"),
-                    (F.col("n") * F.log(rmse * rmse) + 8).alias("aic"))
+    d = d.withColumns({f"lo{i}": F.lit(lo) for i, (lo, _) in enumerate(box)} | {f"hi{i}": F.lit(hi) for i, (_, hi) in enumerate(box)})
+    cand = F.sequence(F.lit(0), F.lit(points**3 - 1))
+    for _ in range(rounds):
+        c = d.select("*", F.explode(cand).alias("k"))
+        p = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.floor(F.col("k") / points**i) % points) / (points - 1) for i in range(3)]
+        c = c.withColumns({"t": p[0], "a": p[1], "b": p[2]})
+
+        def shape(q: Column) -> Column:
+            dt = q.x - F.col("t")
+            return F.exp(-F.when(q.x <= F.col("t"), F.col("a")).otherwise(F.col("b")) * dt * dt)
+
+        zero = F.struct(F.lit(0.0).alias("sy"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("yy"))
+        curve = F.transform("pts", lambda q: F.struct(shape(q).alias("s"), q.y.alias("y")))
+        acc = F.aggregate(curve, zero, lambda s, q: F.struct(
+            (s.sy + q.s * q.y).alias("sy"), (s.ss + q.s * q.s).alias("ss"), (s.yy + q.y * q.y).alias("yy")))
+        c = c.withColumn("m", acc)
+        height = F.greatest(F.lit(0.0), F.col("m.sy") / F.greatest(F.col("m.ss"), F.lit(1e-300)))
+        c = c.withColumn("c", height)
+        sse = F.greatest(F.lit(0.0), F.col("m.yy") - 2 * F.col("c") * F.col("m.sy") + F.col("c") * F.col("c") * F.col("m.ss"))
+        best = c.groupBy(*keys).agg(
+            F.min(F.struct(sse.alias("sse"), "t", "a", "b", "c")).alias("f"), F.first("pts").alias("pts"), F.first("n").alias("n"),
+            *[F.first(F.col(f"hi{i}") - F.col(f"lo{i}")).alias(f"w{i}") for i in range(3)])
+        mid = [F.col("f.t"), F.col("f.a"), F.col("f.b")]
+        d = best.select(*keys, "pts", "n", "f",
+                        *[F.greatest(mid[i] - F.col(f"w{i}") * 0.15, F.lit(lo)).alias(f"lo{i}") for i, (lo, _) in enumerate(box)],
+                        *[F.least(mid[i] + F.col(f"w{i}") * 0.15, F.lit(hi)).alias(f"hi{i}") for i, (_, hi) in enumerate(box)])
+    rmse = F.sqrt(F.col("f.sse") / F.col("n"))
+    return d.select(*keys, F.col("f.t").alias("topt"), F.col("f.a").alias("a"), F.col("f.b").alias("b"), F.col("f.c").alias("c"), "n",
+                    rmse.alias("rmse"), (F.col("n") * F.log(rmse * rmse) + 8).alias("aic"))
 
 
 def flag_best(fits: DataFrame, keys: Sequence[str], score: str = "aic") -> DataFrame:

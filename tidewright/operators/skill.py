@@ -88,10 +88,10 @@ def weighted_corr(x: str, y: str, w: str) -> Column:
     """Weighted Pearson r from sums."""
     x_, y_, w_ = F.col(x), F.col(y), F.col(w)
     sw, sx, sy = F.sum(w_), F.sum(w_ * x_), F.sum(w_ * y_)
-    cov = F.sum(w_ * x_ * y_) / sw - sx * sy / (sw * sw)
-    vx = F.sum(w_ * x_ * x_) / sw - sx * sx / (sw * sw)
-    vy = F.sum(w_ * y_ * y_) / sw - sy * sy / (sw * sw)
-    return cov / F.sqrt(vx * vy)
+    cov = F.try_divide(F.sum(w_ * x_ * y_), sw) - F.try_divide(sx * sy, sw * sw)
+    vx = F.try_divide(F.sum(w_ * x_ * x_), sw) - F.try_divide(sx * sx, sw * sw)
+    vy = F.try_divide(F.sum(w_ * y_ * y_), sw) - F.try_divide(sy * sy, sw * sw)
+    return F.try_divide(cov, F.sqrt(vx * vy))
 
 
 def best_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -174,7 +174,7 @@ def attribute_counts(df: DataFrame, tow: str, attributes: Sequence[str]) -> Data
 def shares(df: DataFrame, keys: Sequence[str], within: Sequence[str], value: str, how: str = "sum") -> DataFrame:
     """Share of each key's sum (or mean) in the total of ``within``; the tables after grouping are small."""
     a = df.groupBy(*keys).agg((F.sum if how == "sum" else F.avg)(value).alias("level"))
-    return a.withColumn("share", F.col("level") / F.sum("level").over(W.partitionBy(*within)))
+    return a.withColumn("share", F.try_divide(F.col("level"), F.sum("level").over(W.partitionBy(*within))))
 
 
 def top_n_other(df: DataFrame, *, name: str, keys: Sequence[str], value: str, n: int = 4, other: str = "Other") -> DataFrame:

@@ -194,5 +194,5 @@ def flux_lookup(t: Tables):
     s = t.lineitem.where("l_returnflag = 'R'").groupBy(F.year(d).alias("year"), cal.model_step(d).alias("step")).agg(
         F.avg("l_quantity").alias("q"))
     mean = s.agg(F.avg("q").alias("aq"))
-    table = s.crossJoin(mean).select("year", "step", (F.col("q") / F.col("aq")).alias("mult"))
+    table = s.crossJoin(mean).select("year", "step", F.try_divide("q", "aq").alias("mult"))
     return apply_multiplier(model_series(t), table, ["year", "step"], "model", "scaled")

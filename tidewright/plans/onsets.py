@@ -309,7 +309,7 @@ def block_table(t: Tables):
     ).agg(F.avg("l_extendedprice").alias("a"), F.avg("l_quantity").alias("b"))
     for v in ("a", "b"):
         c = null_safe_join(c, grouped_quantiles(c, ["year"], v, {f"m{v}": 0.5}), ["year"])
-    c = c.withColumns({"block": cal.week_block(F.col("week")), "ra": F.col("a") / F.col("ma"), "rb": F.col("b") / F.col("mb")})
+    c = c.withColumns({"block": cal.week_block(F.col("week")), "ra": F.try_divide("a", "ma"), "rb": F.try_divide("b", "mb")})
     y = c.groupBy("row", "col", "block", "year").agg(F.avg("ra").alias("ra"), F.avg("rb").alias("rb"))
     return y.groupBy("row", "col", "block").agg(F.median("ra").alias("ra"), F.median("rb").alias("rb"))
 
