@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .joins import null_safe_join
 
 SPLITS = 64  # a power of two
+SMALL = 20_000
 
 
 def _count_at_or_below(cuts: Column, v: Column, splits: int) -> Column:
@@ -23,13 +24,12 @@ def _count_at_or_below(cuts: Column, v: Column, splits: int) -> Column:
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                      splits: int = SPLITS) -> DataFrame:
+                      splits: int = SPLITS, small: int = SMALL) -> DataFrame:
     """Exact quantiles (linear interpolation) per group, as one column per entry of ``probs``.
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Here equal values are
-    counted first, a bounded sketch cuts each group into ``splits`` value ranges, range counts locate the
-    range that holds each wanted rank, and only that range is ranked. The sketch decides how even the ranges
-    are, never the answer: ranks come from exact counts below each range.
+    The built-in exact percentile keeps every distinct value of a group in one task. Equal values are therefore
+    counted first; groups with at most ``small`` distinct values use the built-in on those counts, and larger
+    groups are ranked range by range (see ``_ranged``), so no task ever holds a whole large group.
     """
     keys = list(keys)
     src = df if keys else df.withColumn("__all", F.lit(1))
@@ -39,6 +39,22 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         .groupBy(*gk, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
+    sized = null_safe_join(vals, vals.groupBy(*gk).agg(F.count(F.lit(1)).alias("__d")), gk)
+    ps = F.array(*[F.lit(float(p)) for p in probs.values()])
+    few = sized.where(F.col("__d") <= small).groupBy(*gk).agg(F.percentile("__v", ps, F.col("__c")).alias("__q"))
+    few = few.select(*gk, *[F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
+    many = _ranged(sized.where(F.col("__d") > small).select(*gk, "__v", "__c"), gk, probs, splits)
+    res = few.unionByName(many)
+    return res if keys else res.drop("__all")
+
+
+def _ranged(vals: DataFrame, gk: list[str], probs: dict[str, float], splits: int) -> DataFrame:
+    """Quantiles of counted values (gk, __v, __c) by ranges.
+
+    A bounded sketch cuts each group into ``splits`` value ranges, range counts locate the range that holds each
+    wanted rank, and only that range is ranked. The sketch decides how even the ranges are, never the answer:
+    ranks come from exact counts below each range.
+    """
     cuts = [F.lit(i / splits) for i in range(1, splits)]
     sketch = vals.groupBy(*gk).agg(
         F.percentile_approx("__v", F.array(*cuts), F.lit(splits * 20)).alias("__cuts"),
@@ -53,12 +69,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         "__hi": F.lead("__lo").over(by_range),
     })
     wanted = F.array(*[
-        F.struct(F.lit(i).alias("q"), side.alias("side"), rank.alias("rank"))
-        for i, p in enumerate(probs.values())
-        for side, rank in (
-            (F.lit(0), F.floor(F.lit(p) * (F.col("__n") - 1))),
-            (F.lit(1), F.ceil(F.lit(p) * (F.col("__n") - 1))),
-        )
+        F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), fn(F.lit(p) * (F.col("__n") - 1)).alias("rank"))
+        for i, p in enumerate(probs.values()) for side, fn in ((0, F.floor), (1, F.ceil))
     ])
     picks = (
         counts.withColumn("__w", F.explode(wanted))
@@ -78,8 +90,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         high = F.max(F.when((F.col("q") == i) & (F.col("side") == 1), F.col("__v")))
         pos = F.lit(p) * (F.max("__n") - 1)
         out.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
-    res = cand.groupBy(*gk).agg(*out)
-    return res if keys else res.drop("__all")
+    return cand.groupBy(*gk).agg(*out)
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:

@@ -306,3 +306,32 @@ def thermal_curve(t: Tables):
     a = R.degree_bins(d, ["grp"], "temp", "v").withColumn("source", F.lit("shallow"))
     b = R.degree_bins(d.withColumn("temp", F.col("temp") * 1.3 + 1), ["grp"], "temp", "v").withColumn("source", F.lit("deep"))
     return R.flag_best(R.thermal_curve_grid(a.unionByName(b), ["grp", "source"]), ["grp"])
+
+
+@query("relative_series", "step_no:i rel:f6", f"""{CUBE}, s AS (SELECT year, step, avg(value2) AS v FROM cube GROUP BY 1, 2),
+  final AS (SELECT (year - 1995)*120 + step - 1 AS step_no, CAST(CAST(round(v/25 - 1 + 3e-9, 6) AS DECIMAL(18, 6)) AS DOUBLE) AS rel FROM s)""", covers="SRC-10")
+def relative_series(t: Tables):
+    s = cube(t).groupBy("year", "step").agg(F.avg("value2").alias("v"))
+    text = s.select(((F.col("year") - 1995) * 120 + F.col("step") - 1).cast("string").alias("Pane"), F.lit("0").alias("c1"),
+                    F.format_string("%.6f", F.round(F.col("v") / 25 - 1 + 3e-9, 6)).alias("c2"))
+    extra = t.spark.createDataFrame([("", "21: other", "22: DE1-POC"), ("3.4e38", "0", "9.9")], "Pane string, c1 string, c2 string")
+    return TB.relative_series(extra.unionByName(text), "Pane", "DE1-POC")
+
+
+@query("series_groups", "date:d ZC1-EUP:f2 ZF1-ICT:f2 total:f2", """final AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) FILTER (o_orderpriority LIKE '5%') AS "ZC1-EUP", sum(o_totalprice) FILTER (o_orderpriority LIKE '4%') AS "ZF1-ICT",
+  coalesce(sum(o_totalprice) FILTER (o_orderpriority LIKE '5%'), 0) + coalesce(sum(o_totalprice) FILTER (o_orderpriority LIKE '4%'), 0) AS total FROM orders GROUP BY 1)""", covers="MAP-03 SET-03 PRJ-11 PRJ-08")
+def series_groups(t: Tables):
+    from ..functions.taxa import rename_series
+
+    w = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).pivot("o_orderpriority", ["4-NOT SPECIFIED", "5-LOW"]).agg(F.sum("o_totalprice"))
+    w = rename_series(w.withColumnsRenamed({"4-NOT SPECIFIED": "4", "5-LOW": "5"}))
+    return w.withColumn("total", C.row_sum([F.col("`ZC1-EUP`"), F.col("`ZF1-ICT`")]))
+
+
+@query("output_keys", "scenario:s pass:s season:s n:i", f"""{PAIRED}, final AS (SELECT 'SC_' || grp AS scenario, CASE WHEN obs > 30000 THEN 'ZC' ELSE 'ZS' END AS pass, season, count(*) AS n FROM paired GROUP BY 1, 2, 3)""", covers="SNK-04")
+def output_keys(t: Tables):
+    from ..sources.outputs import output_key
+
+    name = F.concat(F.lit("file:/out/skill_SC_"), "grp", F.when(F.col("obs") > 30000, "_ZC_").otherwise("_ZS_"), "season", F.lit(".csv"))
+    d = paired(t).select(name.alias("file"))
+    return d.select(*[c.alias(k) for k, c in output_key(F.col("file"), "skill").items()]).groupBy("scenario", "pass", "season").agg(F.count(F.lit(1)).alias("n"))
