@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clean import log_offset
-from .joins import null_safe_join, with_group_stats
+from .joins import null_safe_join, salted_join, with_group_stats
 from .skill import finite
 
 EPS_SD = 1e-12
@@ -26,7 +26,7 @@ def usable_sd(c: Column, eps: float = EPS_SD) -> Column:
 
 def zscore(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Value minus group mean over group SD, on rows."""
-    d = with_group_stats(df, keys, __mu=F.avg(value), __sd=F.stddev_samp(value))
+    d = with_group_stats(df, keys, [value], __mu=F.avg(value), __sd=F.stddev_samp(value))
     return d.withColumn(out, F.try_divide(F.col(value) - F.col("__mu"), usable_sd(F.col("__sd")))).drop("__mu", "__sd")
 
 
@@ -176,7 +176,7 @@ def monthly_normalised(df: DataFrame, *, group: str, year: str = "year", month:
     clim = months.groupBy(group, month).agg(F.avg("__mm").alias("__cm"), F.median("__mm").alias("__cd"))
     ann = clim.groupBy(group).agg(
         F.avg("__cm").alias("annual_mean"), F.stddev_samp("__cm").alias("annual_sd"), F.median("__cd").alias("annual_median"))
-    d = null_safe_join(df, ann, [group])
+    d = salted_join(df, ann, [group], [value, year, month])
     d = d.withColumns({
         "from_mean": F.col(value) - F.col("annual_mean"),
         "from_median": F.col(value) - F.col("annual_median"),
@@ -185,7 +185,7 @@ def monthly_normalised(df: DataFrame, *, group: str, year: str = "year", month:
     })
     low = null_safe_join(df.groupBy(group).agg(F.min(value).alias("__lo")), ann, [group]).select(
         group, F.try_divide(F.col("__lo") - F.col("annual_mean"), F.col("annual_sd")).alias("__zlo"))
-    d = null_safe_join(d, low, [group])
+    d = salted_join(d, low, [group], [value, year, month])
     return d.withColumn("norm_log", F.log(F.col("norm_mean") - F.col("__zlo") + offset)).drop("__zlo")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clean import clip, log_offset
+from .joins import attach_one, null_safe_join, with_group_stats
 
 PAR_SHARE = 0.44
 ALBEDO = 0.067
@@ -106,15 +107,13 @@ def multiplier_series(df: DataFrame, value: str, *, order: Sequence[str] = ("yea
     if half:
         d = centred_mean(d, [], list(order), "mult", half).withColumn("mult", F.round("mult", digits))
     mean = d.agg(F.avg("mult").alias("__m"))
-    return d.crossJoin(mean).withColumn("mult", F.round(F.try_divide("mult", "__m"), digits)).drop("__m")
+    return attach_one(d, mean).withColumn("mult", F.round(F.try_divide("mult", "__m"), digits)).drop("__m")
 
 
 def multiplier_field(field: DataFrame, cell: Sequence[str], value: str, *, order: Sequence[str] = ("year", "step"), cap: float = 22.0,
                      log_eps: float | None = None, exponent: float | None = None, half: int = 0, per_cell: bool = False,
                      static: DataFrame | None = None, masked: Column | None = None, nodata: float = -9999.0) -> DataFrame:
     """Gridded multiplier: cap, stretch, smooth, normalise globally or per cell; static cells are 1, masked cells nodata."""
-    from .joins import null_safe_join, with_group_stats
-
     d = field if static is None else null_safe_join(field, static.select(*cell, "is_static"), list(cell), "left")
     if static is None:
         d = d.withColumn("is_static", F.lit(False))
@@ -158,7 +157,7 @@ def scaled_anomaly(field: DataFrame, clim: DataFrame, cell: Sequence[str], value
     d = field.join(clim, ["step", *cell]).withColumn("anomaly", F.col(value) - F.col("clim"))
     top = d.agg(F.max(F.abs("anomaly")).alias("__scale"))
     s = 1 + F.coalesce(F.try_divide("anomaly", "__scale"), F.lit(0.0) * F.col("anomaly"))
-    return d.crossJoin(top).withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(2.0), s))).drop("__scale")
+    return attach_one(d, top).withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(2.0), s))).drop("__scale")
 
 
 def domain_mean_nonzero(field: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -171,7 +170,7 @@ def spinup_copy(series: DataFrame, value: str, *, first_year: int, spin_years: S
     head = series.where(F.col("year") == first_year).withColumn("year", F.explode(F.array(*[F.lit(y) for y in spin_years])))
     d = head.unionByName(series)
     mean = series.agg(F.round(F.avg(value), digits).alias("__m"))
-    d = d.withColumn("index", F.row_number().over(W.orderBy("year", "step"))).crossJoin(mean)
+    d = attach_one(d.withColumn("index", F.row_number().over(W.orderBy("year", "step"))), mean)
     return d.withColumn(value, F.when(F.col("index") <= mean_rows, F.col("__m")).otherwise(F.col(value))).drop("__m")
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import row_sum
-from .joins import null_safe_join
-from .quantiles import grouped_quantiles
+from .quantiles import grouped_medians
 
 
 def box_series(cube: DataFrame, values: Sequence[str], row_range: tuple[int, int], col_range: tuple[int, int],
@@ -23,11 +22,7 @@ def spatial_reduce(field: DataFrame, values: Sequence[str], time: Sequence[str],
     """Mean or median over cells per time step."""
     if reducer == "mean":
         return field.groupBy(*time).agg(*[F.avg(v).alias(v) for v in values])
-    out = None
-    for v in values:
-        q = grouped_quantiles(field, time, v, {v: 0.5})
-        out = q if out is None else null_safe_join(out, q, list(time), "left")
-    return out
+    return grouped_medians(field, time, values)
 
 
 def region_series(cube: DataFrame, sums: dict[str, Sequence[Column]], *, where: Column, time: Sequence[str] = ("year", "step"),

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+SALTS = 16
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where NULL equals NULL; the key columns of ``left`` are kept."""
@@ -21,14 +23,35 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
+def salted_join(df: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join many rows to a few rows per key so that no key lands in one task.
+
+    The rows of ``df`` are spread by a hash of ``spread_by`` (a hash, not a random number, so a retried task sends
+    each row to the same place) and ``right`` is repeated once per salt.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS)).cast("int")
+    left = df.withColumn("__salt", salt)
+    each = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return null_safe_join(left, each, [*keys, "__salt"], how).drop("__salt")
+
+
+def attach_one(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Attach the columns of a table that has exactly one row, such as a global aggregate."""
+    return df.crossJoin(F.broadcast(row))
+
+
+def with_group_stats(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str] | None = None, **aggs: Column) -> DataFrame:
     """Attach grouped aggregates to every row.
 
-    A window over ``keys`` would send all rows of a key to one task. Aggregating first (with map-side
-    combine) and joining the one-row-per-key result back spreads a hot key over many tasks.
+    A window over ``keys`` would send all rows of a key to one task. Aggregating first (with map-side combine)
+    and joining the one-row-per-key result back over salts keeps a hot key spread over many tasks. ``spread_by``
+    names the columns to hash for the salt (default: every column of ``df`` but the keys).
     """
+    keys = list(keys)
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return null_safe_join(df, stats, list(keys)) if keys else df.crossJoin(stats)
+    if not keys:
+        return attach_one(df, stats)
+    return salted_join(df, stats, keys, spread_by or [c for c in df.columns if c not in keys])
 
 
 def with_next(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], bucket: Column) -> DataFrame:

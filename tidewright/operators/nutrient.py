@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clean import row_sum
+from .joins import attach_one, null_safe_join
+from .quantiles import grouped_medians
 
 C_TO_N_LIVING = 0.176
 REDFIELD_C_TO_N = 106.0 / 16.0
@@ -70,7 +72,7 @@ def close_budget(df: DataFrame, bound: str, anchors: DataFrame, *, free_init: fl
     """
     a = anchors.withColumn("free_init", F.lit(float(free_init)) if free_mode == "config" else F.greatest(F.lit(0.0), F.lit(float(total_ref)) - F.col("bound_init")))
     a = a.select((F.col("free_init") + F.col("bound_init")).alias("total_init"))
-    d = df.crossJoin(a)
+    d = attach_one(df, a)
     free = F.greatest(F.lit(0.0), F.col("total_init") - F.col(bound))
     d = d.withColumn("free_n", free)
     if multiplier is None:
@@ -95,17 +97,13 @@ def redfield_free(biomass_c: Column, total_n: float) -> tuple[Column, Column]:
 def pool_by(df: DataFrame, keys: Sequence[str], values: Sequence[str], *, how: str = "mean", counts: Sequence[str] = (),
             flags: Sequence[str] = ()) -> DataFrame:
     """Pool rows to keys with mean or exact median, row count, mean of counts and flag fractions."""
-    from .joins import null_safe_join
-    from .quantiles import grouped_quantiles
-
     aggs = [F.count(F.lit(1)).alias("n")]
     if how == "mean":
         aggs += [F.avg(v).alias(v) for v in values]
     aggs += [F.avg(c).alias(f"mean_{c}") for c in counts] + [F.avg(F.col(f).cast("double")).alias(f"frac_{f}") for f in flags]
     out = df.groupBy(*keys).agg(*aggs)
     if how == "median":
-        for v in values:
-            out = null_safe_join(out, grouped_quantiles(df, keys, v, {v: 0.5}), list(keys), "left")
+        out = null_safe_join(out, grouped_medians(df, keys, values), list(keys), "left")
     return out
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import null_safe_join
+from .joins import attach_one, null_safe_join, with_group_stats
+from .quantiles import grouped_median
 
 
 def _years(df: DataFrame, keys: Sequence[str], year: str) -> DataFrame:
@@ -44,7 +45,7 @@ def threshold_onset(df: DataFrame, keys: Sequence[str], *, value: str, date: str
     if span:
         d = d.withColumn("__c", fn(value).over(W.partitionBy(*span)))
     else:
-        d = d.crossJoin(d.agg(fn(value).alias("__c")))
+        d = attach_one(d, d.agg(fn(value).alias("__c")))
     d = d.withColumns({"__thr": F.lit(factor) * F.col("__c"), **{f"__n{i}": F.lead(value, i).over(w) for i in range(1, 5)}})
     v, thr = F.col(value), F.col("__thr")
     sub = F.lit(sub_factor) * thr
@@ -141,11 +142,9 @@ def agreement(a: DataFrame, b: DataFrame, on: Sequence[str], a_label: str, b_lab
 
 def weak_cells(df: DataFrame, cell: Sequence[str], *, value: str, year: str = "year", share: float = 0.1) -> DataFrame:
     """Cells whose mean yearly peak is below a share of the median over cells (``weak`` flag per cell)."""
-    from .quantiles import grouped_median
-
     peak = df.groupBy(*cell, year).agg(F.max(value).alias("__pk")).groupBy(*cell).agg(F.avg("__pk").alias("peak"))
     med = grouped_median(peak, [], "peak", "__med")
-    return peak.crossJoin(med).withColumn("weak", F.col("peak") < F.lit(share) * F.col("__med")).drop("__med")
+    return attach_one(peak, med).withColumn("weak", F.col("peak") < F.lit(share) * F.col("__med")).drop("__med")
 
 
 def cell_coherence(onsets: DataFrame, region: DataFrame, cell: Sequence[str], *, doy: str = "onset_doy", region_doy: str = "region_doy",
@@ -159,7 +158,8 @@ def cell_coherence(onsets: DataFrame, region: DataFrame, cell: Sequence[str], *,
     j = onsets.join(region.select(year, region_doy), year)
     rm = region.agg(F.avg(region_doy).alias("__rm"))
     stats = onsets.groupBy(*keys).agg(F.avg(doy).alias("mean"), F.stddev_pop(doy).alias("sd"), F.count(doy).alias("n_years"))
-    j = null_safe_join(j, stats, keys).crossJoin(rm)
+    j = null_safe_join(j, stats, keys)
+    j = attach_one(j, rm)
     a, b = F.col(doy) - F.col("mean"), F.col(region_doy) - F.col("__rm")
     s = j.groupBy(*keys, "mean", "sd", "n_years").agg(
         F.try_divide(F.sum(a * b), F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("r"))
@@ -192,10 +192,8 @@ def ratio_to_annual_median(df: DataFrame, keys: Sequence[str], value: str, out:
 
 def block_pattern(blocks: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Difference of standardised log patterns over cells (z_b - z_a) per block."""
-    from .joins import with_group_stats
-
     d = blocks.where((F.col(a) > 0) & (F.col(b) > 0)).withColumns({"__a": F.log(a), "__b": F.log(b)})
-    d = with_group_stats(d, keys, __am=F.avg("__a"), __as=F.stddev_pop("__a"), __bm=F.avg("__b"), __bs=F.stddev_pop("__b"))
+    d = with_group_stats(d, keys, ["__a", "__b"], __am=F.avg("__a"), __as=F.stddev_pop("__a"), __bm=F.avg("__b"), __bs=F.stddev_pop("__b"))
     z = F.try_divide(F.col("__b") - F.col("__bm"), F.col("__bs")) - F.try_divide(F.col("__a") - F.col("__am"), F.col("__as"))
     return d.withColumn("dz", z).drop("__am", "__as", "__bm", "__bs")
 

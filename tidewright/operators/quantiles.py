@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import null_safe_join
+from .joins import attach_one, salted_join
 
 SPLITS = 64  # a power of two
-SMALL = 20_000
 
 
 def _count_at_or_below(cuts: Column, v: Column, splits: int) -> Column:
@@ -24,46 +23,24 @@ def _count_at_or_below(cuts: Column, v: Column, splits: int) -> Column:
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                      splits: int = SPLITS, small: int = SMALL) -> DataFrame:
+                      splits: int = SPLITS) -> DataFrame:
     """Exact quantiles (linear interpolation) per group, as one column per entry of ``probs``.
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Equal values are therefore
-    counted first; groups with at most ``small`` distinct values use the built-in on those counts, and larger
-    groups are ranked range by range (see ``_ranged``), so no task ever holds a whole large group.
+    The built-in exact percentile keeps every distinct value of a group in one task. Here a bounded sketch cuts
+    each group into ``splits`` value ranges, exact counts per range locate the range that holds each wanted rank,
+    and only that range is ranked. The sketch decides how even the ranges are, never the answer: the chosen range
+    travels on as a value interval together with the exact count below it.
     """
     keys = list(keys)
-    src = df if keys else df.withColumn("__all", F.lit(1))
-    gk = keys or ["__all"]
-    vals = (
-        src.where(F.col(value).isNotNull())
-        .groupBy(*gk, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    sized = null_safe_join(vals, vals.groupBy(*gk).agg(F.count(F.lit(1)).alias("__d")), gk)
-    ps = F.array(*[F.lit(float(p)) for p in probs.values()])
-    few = sized.where(F.col("__d") <= small).groupBy(*gk).agg(F.percentile("__v", ps, F.col("__c")).alias("__q"))
-    few = few.select(*gk, *[F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
-    many = _ranged(sized.where(F.col("__d") > small).select(*gk, "__v", "__c"), gk, probs, splits)
-    res = few.unionByName(many)
-    return res if keys else res.drop("__all")
-
-
-def _ranged(vals: DataFrame, gk: list[str], probs: dict[str, float], splits: int) -> DataFrame:
-    """Quantiles of counted values (gk, __v, __c) by ranges.
-
-    A bounded sketch cuts each group into ``splits`` value ranges, range counts locate the range that holds each
-    wanted rank, and only that range is ranked. The sketch decides how even the ranges are, never the answer:
-    ranks come from exact counts below each range.
-    """
+    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    vals = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     cuts = [F.lit(i / splits) for i in range(1, splits)]
-    sketch = vals.groupBy(*gk).agg(
-        F.percentile_approx("__v", F.array(*cuts), F.lit(splits * 20)).alias("__cuts"),
-        F.sum("__c").alias("__n"),
-    )
+    sketch = src.groupBy(*keys).agg(
+        F.percentile_approx("__v", F.array(*cuts), F.lit(splits * 20)).alias("__cuts"), F.count(F.lit(1)).alias("__n"))
+    ranged = salted_join(vals, sketch, keys, ["__v"]) if keys else attach_one(vals, sketch)
     below = _count_at_or_below(F.col("__cuts"), F.col("__v"), splits)
-    ranged = null_safe_join(vals, sketch, gk).withColumn("__lo", F.get("__cuts", below - 1))
-    counts = ranged.groupBy(*gk, "__lo").agg(F.sum("__c").alias("__rc"), F.first("__n").alias("__n"))
-    by_range = W.partitionBy(*gk).orderBy(F.col("__lo").asc_nulls_first())
+    counts = ranged.groupBy(*keys, F.get("__cuts", below - 1).alias("__lo")).agg(F.sum("__c").alias("__rc"), F.first("__n").alias("__n"))
+    by_range = W.partitionBy(*keys).orderBy(F.col("__lo").asc_nulls_first())
     counts = counts.withColumns({
         "__below": F.sum("__rc").over(by_range) - F.col("__rc"),
         "__hi": F.lead("__lo").over(by_range),
@@ -75,12 +52,12 @@ def _ranged(vals: DataFrame, gk: list[str], probs: dict[str, float], splits: int
     picks = (
         counts.withColumn("__w", F.explode(wanted))
         .where("__w.rank >= __below AND __w.rank < __below + __rc")
-        .select(*gk, "__lo", "__hi", "__below", "__n", "__w.q", "__w.side", "__w.rank")
-    )
-    cand = null_safe_join(vals, picks, gk).where(
-        "(__lo IS NULL OR __v >= __lo) AND (__hi IS NULL OR __v < __hi)"
+        .select(*keys, "__lo", "__hi", "__below", "__n", "__w.q", "__w.side", "__w.rank")
     )
-    ordered = W.partitionBy(*gk, "q", "side").orderBy("__v")
+    # Two picks per probability and key, so without keys the picks are a handful of rows.
+    cand = salted_join(vals, picks, keys, ["__v"]) if keys else vals.crossJoin(F.broadcast(picks))
+    cand = cand.where("(__lo IS NULL OR __v >= __lo) AND (__hi IS NULL OR __v < __hi)")
+    ordered = W.partitionBy(*keys, "q", "side").orderBy("__v")
     cand = cand.withColumn("__cum", F.col("__below") + F.sum("__c").over(ordered)).where(
         "rank < __cum AND rank >= __cum - __c"
     )
@@ -90,7 +67,14 @@ def _ranged(vals: DataFrame, gk: list[str], probs: dict[str, float], splits: int
         high = F.max(F.when((F.col("q") == i) & (F.col("side") == 1), F.col("__v")))
         pos = F.lit(p) * (F.max("__n") - 1)
         out.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
-    return cand.groupBy(*gk).agg(*out)
+    return cand.groupBy(*keys).agg(*out)
+
+
+def grouped_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Exact medians of several columns in one pass, under their own names."""
+    rows = F.inline(F.array(*[F.struct(F.lit(v).alias("__var"), F.col(v).cast("double").alias("__x")) for v in values]))
+    q = grouped_quantiles(df.select(*keys, rows), [*keys, "__var"], "__x", {"__m": 0.5})
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("__var") == v, F.col("__m"))).alias(v) for v in values])
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:

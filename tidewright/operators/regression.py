@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import null_safe_join, with_group_stats
+from .joins import attach_one, null_safe_join, salted_join, with_group_stats
 
 MAX_TERMS = 4000
 
@@ -54,10 +54,10 @@ def poly_value(b: Column, t: Column, degree: int = 3) -> Column:
 
 def poly_residuals(df: DataFrame, keys: Sequence[str], x: str, ys: Sequence[str], degree: int = 3) -> DataFrame:
     """Rows with ``<y>_res``: residual of a polynomial in x fitted per group (x scaled by group mean and SD)."""
-    d = with_group_stats(df, keys, __xm=F.avg(x), __xs=F.stddev_pop(x))
+    d = with_group_stats(df, keys, [x, *ys], __xm=F.avg(x), __xs=F.stddev_pop(x))
     d = d.withColumn("__t", (F.col(x) - F.col("__xm")) / F.greatest(F.col("__xs"), F.lit(1.0)))
     coef = poly_coefficients(d, keys, F.col("__t"), ys, degree)
-    d = null_safe_join(d, coef, list(keys))
+    d = salted_join(d, coef, list(keys), [x, *ys])
     d = d.withColumns({f"{y}_res": F.col(y) - poly_value(F.col(f"b_{y}"), F.col("__t"), degree) for y in ys})
     return d.drop("__xm", "__xs", "__t", *[f"b_{y}" for y in ys])
 
@@ -129,7 +129,7 @@ def cross_products(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[
     for c in [y, *numeric, *degree]:
         d = d.where(F.col(c).isNotNull())
     for c in sorted(degree):
-        d = with_group_stats(d, keys, __m=F.avg(c), __s=F.stddev_pop(c))
+        d = with_group_stats(d, keys, [c, y], __m=F.avg(c), __s=F.stddev_pop(c))
         d = d.withColumn(f"__z_{c}", (F.col(c) - F.col("__m")) / F.greatest(F.col("__s"), F.lit(1.0))).drop("__m", "__s")
     dense: list[tuple[str, Column]] = [("(1)", F.lit(1.0))]
     dense += [(n, F.col(n).cast("double")) for n in numeric]
@@ -238,7 +238,7 @@ def drop_one_r2(df: DataFrame, keys: Sequence[str], y: str, full: Terms) -> Data
     one = fits.where("term = '(1)'").select(*keys, "model", "r2", "n")
     base = one.where("model = 'full'").select(*keys, F.col("r2").alias("full_r2"))
     lost = one.where("model <> 'full'")
-    j = null_safe_join(lost, base, keys) if keys else lost.crossJoin(base)
+    j = null_safe_join(lost, base, keys) if keys else attach_one(lost, base)
     return j.select(*keys, F.regexp_replace("model", "^without ", "").alias("dropped"), "full_r2",
                     (F.col("full_r2") - F.col("r2")).alias("unique_r2"), "n")
 
@@ -250,7 +250,7 @@ def degree_bins(df: DataFrame, keys: Sequence[str], temp: str, value: str, width
 
     d = df.where(F.col(temp).isNotNull() & F.col(value).isNotNull())
     low = d.agg(F.floor(F.min(temp)).alias("__lo"))
-    d = d.crossJoin(low).where(F.col(temp) > F.col("__lo"))
+    d = attach_one(d, low).where(F.col(temp) > F.col("__lo"))
     d = d.withColumn("bin", (F.ceil((F.col(temp) - F.col("__lo")) / width) - 1) * width + F.col("__lo"))
     a = d.groupBy(*keys, "bin").agg(F.avg(temp).alias("temp"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     a = a.where(F.col("n") >= min_n)

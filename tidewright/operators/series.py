@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import with_next
+from .joins import attach_one, null_safe_join, with_next
 from .quantiles import grouped_quantiles
 
 
@@ -21,12 +21,10 @@ def step_changes(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
 
 def change_summary(changes: DataFrame, keys: Sequence[str], column: str = "change") -> DataFrame:
     """Median, 90 % quantile and maximum of absolute changes."""
-    from .joins import null_safe_join
-
     d = changes.withColumn("__a", F.abs(column)).where("__a IS NOT NULL")
     q = grouped_quantiles(d, keys, "__a", {"median": 0.5, "p90": 0.9})
     m = d.groupBy(*keys).agg(F.max("__a").alias("max"), F.count(F.lit(1)).alias("n"))
-    return null_safe_join(m, q, list(keys)) if keys else m.crossJoin(q)
+    return null_safe_join(m, q, list(keys)) if keys else attach_one(m, q)
 
 
 def detrended(df: DataFrame, keys: Sequence[str], x: str, values: Sequence[str]) -> DataFrame:

@@ -34,7 +34,7 @@ def skill(df: DataFrame, keys: Sequence[str], obs: str, model: str, *, which: st
     keys = list(keys)
     pairs = df.where(F.col(obs).isNotNull() & F.col(model).isNotNull())
     pairs = pairs.select(*keys, F.col(obs).cast("double").alias("__o"), F.col(model).cast("double").alias("__m"))
-    pairs = with_group_stats(pairs, keys, __mean=F.avg("__o"))
+    pairs = with_group_stats(pairs, keys, ["__o", "__m"], __mean=F.avg("__o"))
     o, m, d = F.col("__o"), F.col("__m"), F.col("__m") - F.col("__o")
     spread = F.abs(m - F.col("__mean")) + F.abs(o - F.col("__mean"))
     agg = pairs.groupBy(*keys).agg(

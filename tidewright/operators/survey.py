@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clean import row_sum
-from .joins import complete_axis, null_safe_join
+from .joins import attach_one, complete_axis, null_safe_join, with_group_stats
 from .quantiles import grouped_quantiles, mode_by_count
 
 
@@ -52,9 +52,7 @@ def replace_zeros(df: DataFrame, keys: Sequence[str], value: str, id_cols: Seque
 
     The draw comes from a hash of the row's identity, so retried tasks and reruns give the same numbers.
     """
-    from .joins import with_group_stats
-
-    d = with_group_stats(df, keys, __lo=F.min(F.when(F.col(value) > 0, F.col(value))))
+    d = with_group_stats(df, keys, id_cols, __lo=F.min(F.when(F.col(value) > 0, F.col(value))))
     u = (F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)), F.lit(2**31)) + 0.5) / float(2**31)
     return d.withColumn(value, F.when((F.col(value) == 0) & F.col("__lo").isNotNull(), u * 0.5 * F.col("__lo")).otherwise(F.col(value))).drop("__lo")
 
@@ -95,14 +93,14 @@ def all_years_mean(species: DataFrame, *, year: str, keys: Sequence[str], value:
     """Sum over years divided by the span of years (last minus first), rounded."""
     span = species.agg((F.max(year) - F.min(year)).alias("__y"))
     s = species.groupBy(*keys).agg(F.sum(F.round(value, 4)).alias("__s"), F.count(F.lit(1)).alias("n_occurrences"))
-    return s.crossJoin(span).withColumn("mean_value", F.round(F.try_divide(F.col("__s"), F.col("__y")), 4)).drop("__s", "__y")
+    return attach_one(s, span).withColumn("mean_value", F.round(F.try_divide(F.col("__s"), F.col("__y")), 4)).drop("__s", "__y")
 
 
 def depth_scaled(groups: DataFrame, grid: DataFrame, *, value: str, depth: str = "depth", tow_share: float = 1.0, digits: int = 2) -> DataFrame:
     """Domain mean of depth x tow share x concentration. The product is linear in depth, so the grid contributes
     one number, its mean depth."""
     mean = grid.agg(F.avg(depth).alias("__d"))
-    return groups.crossJoin(mean).withColumn("areal", F.round(F.col("__d") * tow_share * F.col(value) * 1e-3, digits)).drop("__d")
+    return attach_one(groups, mean).withColumn("areal", F.round(F.col("__d") * tow_share * F.col(value) * 1e-3, digits)).drop("__d")
 
 
 def dedupe_mean_mode(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], text: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Keep a small stage table (one row per day, step, cell-year or bin) that a query reads several times.
+
+    Without it every use would repeat the scan behind the table. Lost blocks are recomputed from lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @dataclass(frozen=True)
 class Query:
     name: str

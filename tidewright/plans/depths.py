@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import depth as D
-from .base import Tables, query
+from .base import Tables, query, stage
 from .bindings import PROFILES, profiles
 
 SEG = """pd AS (SELECT {k}, depth AS z, avg(conc) AS c FROM {src} GROUP BY ALL),
@@ -72,7 +72,7 @@ def casts_for_matching(t: Tables):
 def cast_pool(t: Tables):
     from ..operators.nutrient import pool_by
 
-    c = bound_casts(t).withColumns({"year": F.year("date"), "biweek": cal.biweek(F.col("date"))})
+    c = stage(bound_casts(t).withColumns({"year": F.year("date"), "biweek": cal.biweek(F.col("date"))}))
     return pool_by(c, ["year", "biweek", "row", "col"], ["average"], how="median", counts=["n_depths"], flags=["pad_surface", "pad_deep"])
 
 

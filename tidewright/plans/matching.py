@@ -8,7 +8,7 @@ from ..functions import calendar as cal
 from ..operators import joins as J
 from ..operators import skill as K
 from ..operators.quantiles import grouped_quantiles
-from .base import Tables, query
+from .base import Tables, query, stage
 from .bindings import DAILY_OBS, MODEL_SERIES, PAIRED, SERIES, daily_obs, model_series, paired, season_sql, series_table
 
 MATCH_SQL = """near AS (SELECT * FROM (SELECT o.*, m.mdate, m.model, row_number() OVER (PARTITION BY o.date
@@ -27,12 +27,12 @@ DAY_MEDIAN = "day_obs AS (SELECT CAST(l_shipdate AS DATE) AS date, median(l_exte
 
 
 def matched_pairs(t: Tables):
-    o = day_median(t).withColumn("t", cal.days(F.col("date")))
-    m = model_series(t).withColumn("mt", cal.days(F.col("mdate")))
+    o = stage(day_median(t).withColumn("t", cal.days(F.col("date"))))
+    m = stage(model_series(t).withColumn("mt", cal.days(F.col("mdate"))))
     near = J.asof_nearest(o, m, obs_t="t", model_t="mt", values=["model"], tolerance=3, bucket_width=366)
     near = near.where("model IS NOT NULL")
-    return near.groupBy(F.year("date").alias("year"), cal.biweek(F.col("date")).alias("biweek")).agg(
-        F.avg("obs").alias("obs"), F.avg("model").alias("model"), F.count(F.lit(1)).alias("n_days"))
+    return stage(near.groupBy(F.year("date").alias("year"), cal.biweek(F.col("date")).alias("biweek")).agg(
+        F.avg("obs").alias("obs"), F.avg("model").alias("model"), F.count(F.lit(1)).alias("n_days")))
 
 
 SKILL_SQL = """mean_obs AS (SELECT avg(obs) AS om FROM pairs),

@@ -9,7 +9,7 @@ from ..functions import calendar as cal
 from ..operators import joins as J
 from ..operators import onset as O
 from ..operators import skill as K
-from .base import Tables, query
+from .base import Tables, query, stage
 from .bindings import CUBE, MODEL_SERIES, SERIES, cube, model_series, series_table
 
 LEADS = "lead(v, 1) OVER w AS n1, lead(v, 2) OVER w AS n2, lead(v, 3) OVER w AS n3, lead(v, 4) OVER w AS n4"
@@ -85,7 +85,7 @@ CELL = f"""{CUBE}, series AS (SELECT row * 10 + col AS grp, year, step AS date,
 
 def cell_onsets(t: Tables):
     c = cube(t).withColumn("date", cal.step_date(F.col("year"), F.col("step")))
-    return O.threshold_onset(c, ["row", "col"], value="value"), c
+    return stage(O.threshold_onset(c, ["row", "col"], value="value")), c
 
 
 @query("onset_per_cell", "row:i col:i year:i onset_doy:f0 peak:f4 weak:b",
@@ -300,18 +300,17 @@ BLOCK = """cw AS (SELECT l_suppkey % 10 AS row, l_partkey % 10 AS col, year(l_sh
 
 
 def block_table(t: Tables):
-    from ..operators.joins import null_safe_join
-    from ..operators.quantiles import grouped_quantiles
+    from ..operators.quantiles import grouped_medians
 
     d = F.col("l_shipdate")
     c = t.lineitem.groupBy(
         (F.col("l_suppkey") % 10).alias("row"), (F.col("l_partkey") % 10).alias("col"), F.year(d).alias("year"), cal.week8(d).alias("week"),
     ).agg(F.avg("l_extendedprice").alias("a"), F.avg("l_quantity").alias("b"))
-    for v in ("a", "b"):
-        c = null_safe_join(c, grouped_quantiles(c, ["year"], v, {f"m{v}": 0.5}), ["year"])
+    med = grouped_medians(c, ["year"], ["a", "b"]).withColumnsRenamed({"a": "ma", "b": "mb"})
+    c = J.salted_join(c, med, ["year"], ["row", "col", "week"])
     c = c.withColumns({"block": cal.week_block(F.col("week")), "ra": F.try_divide("a", "ma"), "rb": F.try_divide("b", "mb")})
     y = c.groupBy("row", "col", "block", "year").agg(F.avg("ra").alias("ra"), F.avg("rb").alias("rb"))
-    return y.groupBy("row", "col", "block").agg(F.median("ra").alias("ra"), F.median("rb").alias("rb"))
+    return stage(y.groupBy("row", "col", "block").agg(F.median("ra").alias("ra"), F.median("rb").alias("rb")))
 
 
 @query("block_climatology", "row:i col:i block:i ra:f6 rb:f6", f"{BLOCK}, final AS (SELECT * FROM cb)", covers="BLM-13 CAL-13 BLM-12")

@@ -10,7 +10,7 @@ from ..functions import taxa as TX
 from ..operators import skill as K
 from ..operators import survey as S
 from ..operators.quantiles import grouped_quantiles
-from .base import Tables, query
+from .base import Tables, query, stage
 from .bindings import PAIRED, paired, season_sql
 
 
@@ -249,7 +249,7 @@ def seasonal_dist(t: Tables):
 @query("per_tow_factor", "median:f6 q25:f6 q75:f6 n:i", f"""{RECORDS}, f AS (SELECT tow, sum(adjusted)/sum(raw) AS factor FROM records WHERE grp = 'ZC1-EUP' GROUP BY 1),
   final AS (SELECT median(factor) AS median, quantile_cont(factor, 0.25) AS q25, quantile_cont(factor, 0.75) AS q75, count(*) AS n FROM f)""", covers="AGG-32 PRJ-13 AGG-24")
 def per_tow_factor(t: Tables):
-    f = S.per_tow_factor(records(t).where("grp = 'ZC1-EUP'"), "tow", "raw", F.col("adjusted"))
+    f = stage(S.per_tow_factor(records(t).where("grp = 'ZC1-EUP'"), "tow", "raw", F.col("adjusted")))
     n = f.agg(F.count("factor").alias("n"))
     return grouped_quantiles(f, [], "factor", {"median": 0.5, "q25": 0.25, "q75": 0.75}).crossJoin(n)
 

@@ -32,6 +32,7 @@ def compare(spark, con, q, folder) -> tuple[bool, str]:
     t0 = time.time()
     got = q.run(spark, folder).toPandas()
     t1 = time.time()
+    spark.catalog.clearCache()
     if q.sql is None:
         return len(got) > 0, f"rows {len(got)} (no SQL) {t1 - t0:.1f}s"
     want = con.sql(q.sql).df()
