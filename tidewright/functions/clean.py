@@ -91,4 +91,4 @@ def named_series(df: DataFrame, definition: dict[str, Sequence[str]]) -> DataFra
 
 
 def try_ratio(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
+    return F.try_divide(a, b)

@@ -40,7 +40,7 @@ def in_ring(lat: Column, lon: Column, ring: Sequence[tuple[float, float]]) -> Co
     crossings = F.size(F.filter(
         edges,
         lambda e: ((e.y1 > lat) != (e.y2 > lat))
-        & (lon < (e.x2 - e.x1) * (lat - e.y1) / (e.y2 - e.y1) + e.x1),
+        & (lon < F.try_divide((e.x2 - e.x1) * (lat - e.y1), e.y2 - e.y1) + e.x1),
     ))
     return crossings % 2 == 1
 

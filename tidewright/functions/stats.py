@@ -58,3 +58,25 @@ def normal_two_sided(z: Column) -> Column:
 
 def partial_corr(rxy: Column, rxz: Column, ryz: Column) -> Column:
     return F.try_divide(rxy - rxz * ryz, F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz)))
+
+
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Correlation of the pairs where both are present; NULL when either does not vary (the built-in raises then)."""
+    x, y = _col(x), _col(y)
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
+def line_slope(y: Column | str, x: Column | str) -> Column:
+    """Least-squares slope; NULL when x does not vary."""
+    x, y = _col(x), _col(y)
+    return F.try_divide(F.covar_pop(x, y), F.var_pop(F.when(y.isNotNull(), x)))
+
+
+def line_intercept(y: Column | str, x: Column | str) -> Column:
+    x, y = _col(x), _col(y)
+    return F.avg(F.when(x.isNotNull(), y)) - line_slope(y, x) * F.avg(F.when(y.isNotNull(), x))

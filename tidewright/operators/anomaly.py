@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import pearson
 from ..functions.clean import log_offset
 from .joins import null_safe_join, salted_join, with_group_stats
 from .skill import finite
@@ -208,10 +209,10 @@ def seasonal_check(std: DataFrame, *, group: str, obs: str, model: str) -> DataF
     o, m, oc, mc = F.col(f"{obs}_std"), F.col(f"{model}_std"), F.col(f"{obs}_clim"), F.col(f"{model}_clim")
     return std.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_month_years"),
-        finite(F.corr(o, m)).alias("r_model"),
-        finite(F.corr(o, mc)).alias("r_model_clim"),
-        finite(F.corr(o, oc)).alias("r_obs_clim"),
-        finite(F.corr(o - oc, m - mc)).alias("r_deseasoned"),
+        finite(pearson(o, m)).alias("r_model"),
+        finite(pearson(o, mc)).alias("r_model_clim"),
+        finite(pearson(o, oc)).alias("r_obs_clim"),
+        finite(pearson(o - oc, m - mc)).alias("r_deseasoned"),
     )
 
 
@@ -261,5 +262,5 @@ def recipe_search(df: DataFrame, reference: DataFrame, *, date_year: str, month:
         parts.append(a.withColumn("summary", F.lit(label)))
     j = parts[0].unionByName(parts[1]).join(reference, "year")
     return j.groupBy("unit", "december", "summary").agg(
-        finite(F.corr("anom", "ref")).alias("r"), F.max(F.abs(F.col("anom") - F.col("ref"))).alias("max_diff"),
+        finite(pearson("anom", "ref")).alias("r"), F.max(F.abs(F.col("anom") - F.col("ref"))).alias("max_diff"),
         F.count(F.lit(1)).alias("n"))

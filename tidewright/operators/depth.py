@@ -125,7 +125,7 @@ def _weighted(arr: Column) -> Column:
     use = F.filter(arr, lambda x: x.e != 0)
     acc = F.aggregate(use, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")),
                       lambda a, x: F.struct((a.s + x.v * x.e).alias("s"), (a.w + x.e).alias("w")))
-    return F.when(acc.w > 0, acc.s / acc.w)
+    return F.try_divide(acc.s, acc.w)
 
 
 def value_at(z: float) -> Callable[[Column], Column]:
@@ -177,7 +177,7 @@ def plain_mean(level_range: tuple[int, int]) -> Callable[[Column], Column]:
     def fn(arr: Column) -> Column:
         use = F.filter(arr, lambda x: (x.level >= level_range[0]) & (x.level < level_range[1]))
         total = F.aggregate(use, F.lit(0.0), lambda a, x: a + x.v)
-        return F.when(F.size(use) > 0, total / F.size(use))
+        return F.try_divide(total, F.size(use))
     return fn
 
 

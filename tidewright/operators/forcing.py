@@ -35,7 +35,7 @@ def mean_par(light: Column, salinity: Column, mixing: Column) -> Column:
     k = F.greatest(F.lit(K_INTERCEPT) + F.lit(K_SLOPE) * salinity, F.lit(K_MIN))
     kz = k * mixing
     surface = light * PAR_SHARE * (1 - ALBEDO)
-    return F.when(salinity == 0, F.lit(0.0)).otherwise(surface * (1 - F.exp(-kz)) / F.when(kz != 0, kz))
+    return F.when(salinity == 0, F.lit(0.0)).otherwise(F.try_divide(surface * (1 - F.exp(-kz)), kz))
 
 
 def par_fields(df: DataFrame, light: str, salinity: str, mixing: str) -> DataFrame:
@@ -90,7 +90,7 @@ def centred_mean_padded(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     zero = F.lit(0.0)
     total = F.coalesce(F.sum(value).over(frame), zero) + left * F.coalesce(first, zero) + right * F.coalesce(last, zero)
     count = F.count(value).over(frame) + F.when(first.isNotNull(), left).otherwise(0) + F.when(last.isNotNull(), right).otherwise(0)
-    return df.withColumn(out or value, F.when(count > 0, total / count))
+    return df.withColumn(out or value, F.try_divide(total, count))
 
 
 def multiplier_series(df: DataFrame, value: str, *, order: Sequence[str] = ("year", "step"), cap: float = 22.0, log_eps: float | None = None,

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import pearson
 from .joins import attach_one, null_safe_join, with_group_stats
 from .quantiles import grouped_median
 
@@ -173,7 +174,7 @@ def score_recipes(onsets: DataFrame, keys: Sequence[str], doy: str, ref: str) ->
     out = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(gap == 0).alias("same_week"), F.count_if(gap <= 1).alias("within_one"),
         F.avg(F.col(doy) - F.col(ref)).alias("bias"), F.avg(F.abs(F.col(doy) - F.col(ref))).alias("mae"),
-        F.corr(doy, ref).alias("__r"))
+        pearson(doy, ref).alias("__r"))
     return out.withColumn("r", F.when((F.col("n") > 3) & ~F.isnan("__r"), F.col("__r"))).drop("__r")
 
 
@@ -200,5 +201,5 @@ def block_pattern(blocks: DataFrame, keys: Sequence[str], a: str, b: str) -> Dat
 
 def pattern_agreement(pattern: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spatial r of the log values and the share of cells whose standardised difference exceeds one."""
-    return pattern.groupBy(*keys).agg(F.corr("__a", "__b").alias("r"), F.count(F.lit(1)).alias("n"),
+    return pattern.groupBy(*keys).agg(pearson("__a", "__b").alias("r"), F.count(F.lit(1)).alias("n"),
                                       F.avg(F.when(F.abs("dz") > 1, 1.0).otherwise(0.0)).alias("share_over_one"))

@@ -275,34 +275,35 @@ def thermal_curve_grid(binned: DataFrame, keys: Sequence[str], *, temp: str = "t
         F.array_sort(F.collect_list(F.struct(F.col(temp).cast("double").alias("x"), F.col(value).cast("double").alias("y")))).alias("pts"),
         F.count(F.lit(1)).alias("n"),
     ).where(F.col("n") >= min_rows)
-    d = d.withColumns({f"lo{i}": F.lit(lo) for i, (lo, _) in enumerate(box)} | {f"hi{i}": F.lit(hi) for i, (_, hi) in enumerate(box)})
+    d = d.withColumns({f"__lo{i}": F.lit(lo) for i, (lo, _) in enumerate(box)} | {f"__hi{i}": F.lit(hi) for i, (_, hi) in enumerate(box)})
     cand = F.sequence(F.lit(0), F.lit(points**3 - 1))
     for _ in range(rounds):
-        c = d.select("*", F.explode(cand).alias("k"))
-        p = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.floor(F.col("k") / points**i) % points) / (points - 1) for i in range(3)]
-        c = c.withColumns({"t": p[0], "a": p[1], "b": p[2]})
+        c = d.select("*", F.explode(cand).alias("__k"))
+        p = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (F.floor(F.col("__k") / points**i) % points) / (points - 1) for i in range(3)]
+        c = c.withColumns({"__t": p[0], "__a": p[1], "__b": p[2]})
 
         def shape(q: Column) -> Column:
-            dt = q.x - F.col("t")
-            return F.exp(-F.when(q.x <= F.col("t"), F.col("a")).otherwise(F.col("b")) * dt * dt)
+            dt = q.x - F.col("__t")
+            return F.exp(-F.when(q.x <= F.col("__t"), F.col("__a")).otherwise(F.col("__b")) * dt * dt)
 
         zero = F.struct(F.lit(0.0).alias("sy"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("yy"))
         curve = F.transform("pts", lambda q: F.struct(shape(q).alias("s"), q.y.alias("y")))
         acc = F.aggregate(curve, zero, lambda s, q: F.struct(
             (s.sy + q.s * q.y).alias("sy"), (s.ss + q.s * q.s).alias("ss"), (s.yy + q.y * q.y).alias("yy")))
-        c = c.withColumn("m", acc)
-        height = F.greatest(F.lit(0.0), F.col("m.sy") / F.greatest(F.col("m.ss"), F.lit(1e-300)))
-        c = c.withColumn("c", height)
-        sse = F.greatest(F.lit(0.0), F.col("m.yy") - 2 * F.col("c") * F.col("m.sy") + F.col("c") * F.col("c") * F.col("m.ss"))
+        c = c.withColumn("__m", acc)
+        c = c.withColumn("__c", F.greatest(F.lit(0.0), F.col("__m.sy") / F.greatest(F.col("__m.ss"), F.lit(1e-300))))
+        h = F.col("__c")
+        sse = F.greatest(F.lit(0.0), F.col("__m.yy") - 2 * h * F.col("__m.sy") + h * h * F.col("__m.ss"))
         best = c.groupBy(*keys).agg(
-            F.min(F.struct(sse.alias("sse"), "t", "a", "b", "c")).alias("f"), F.first("pts").alias("pts"), F.first("n").alias("n"),
-            *[F.first(F.col(f"hi{i}") - F.col(f"lo{i}")).alias(f"w{i}") for i in range(3)])
-        mid = [F.col("f.t"), F.col("f.a"), F.col("f.b")]
-        d = best.select(*keys, "pts", "n", "f",
-                        *[F.greatest(mid[i] - F.col(f"w{i}") * 0.15, F.lit(lo)).alias(f"lo{i}") for i, (lo, _) in enumerate(box)],
-                        *[F.least(mid[i] + F.col(f"w{i}") * 0.15, F.lit(hi)).alias(f"hi{i}") for i, (_, hi) in enumerate(box)])
-    rmse = F.sqrt(F.col("f.sse") / F.col("n"))
-    return d.select(*keys, F.col("f.t").alias("topt"), F.col("f.a").alias("a"), F.col("f.b").alias("b"), F.col("f.c").alias("c"), "n",
+            F.min(F.struct(sse.alias("sse"), F.col("__t").alias("t"), F.col("__a").alias("a"), F.col("__b").alias("b"), h.alias("c"))).alias("__f"),
+            F.first("pts").alias("pts"), F.first("n").alias("n"),
+            *[F.first(F.col(f"__hi{i}") - F.col(f"__lo{i}")).alias(f"__w{i}") for i in range(3)])
+        mid = [F.col("__f.t"), F.col("__f.a"), F.col("__f.b")]
+        d = best.select(*keys, "pts", "n", "__f",
+                        *[F.greatest(mid[i] - F.col(f"__w{i}") * 0.15, F.lit(lo)).alias(f"__lo{i}") for i, (lo, _) in enumerate(box)],
+                        *[F.least(mid[i] + F.col(f"__w{i}") * 0.15, F.lit(hi)).alias(f"__hi{i}") for i, (_, hi) in enumerate(box)])
+    rmse = F.sqrt(F.col("__f.sse") / F.col("n"))
+    return d.select(*keys, F.col("__f.t").alias("topt"), F.col("__f.a").alias("a"), F.col("__f.b").alias("b"), F.col("__f.c").alias("c"), "n",
                     rmse.alias("rmse"), (F.col("n") * F.log(rmse * rmse) + 8).alias("aic"))
 
 

@@ -32,8 +32,9 @@ def detrended(df: DataFrame, keys: Sequence[str], x: str, values: Sequence[str])
     w = W.partitionBy(*keys)
     out = {}
     for v in values:
-        slope, icept = F.regr_slope(v, x).over(w), F.regr_intercept(v, x).over(w)
-        out[f"{v}_detrended"] = F.col(v) - (slope * F.col(x) + icept)
+        xs = F.when(F.col(v).isNotNull(), F.col(x))
+        slope = F.try_divide(F.covar_pop(v, x).over(w), F.var_pop(xs).over(w))
+        out[f"{v}_detrended"] = F.col(v) - F.avg(v).over(w) - slope * (F.col(x) - F.avg(xs).over(w))
     return df.withColumns(out)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import fisher_bound, pearson_p
+from ..functions.stats import fisher_bound, line_intercept, line_slope, pearson, pearson_p
 from .joins import with_group_stats
 
 # Column sets of the different reports.
@@ -51,19 +51,19 @@ def skill(df: DataFrame, keys: Sequence[str], obs: str, model: str, *, which: st
         finite(F.stddev_samp(m)).alias("model_std"),
         F.stddev_pop(o).alias("obs_std_pop"),
         F.stddev_pop(m).alias("model_std_pop"),
-        finite(F.corr(m, o)).alias("r"),
+        finite(pearson(m, o)).alias("r"),
         F.bool_and(o != 0).alias("__nonzero"),
-        F.avg(F.abs(F.when(o != 0, d / o))).alias("__ape"),
+        F.avg(F.abs(F.try_divide(d, o))).alias("__ape"),
     ).where(F.col("n") >= min_pairs)
     rmse = F.sqrt("mse")
     out = agg.withColumns({
         "rmse": rmse,
-        "nrmse": rmse if standardised else F.when(F.col("__om") != 0, rmse / F.col("__om")),
+        "nrmse": rmse if standardised else F.try_divide(rmse, F.col("__om")),
         "r2": F.col("r") * F.col("r"),
         "mape": F.when(F.col("__nonzero"), F.col("__ape") * 100),
-        "nse": F.when(F.col("__ov") > 0, 1 - F.col("__sse") / (F.col("__ov") * F.col("n"))),
-        "wss": F.when(F.col("__wd") != 0, 1 - F.col("__sse") / F.col("__wd")),
-    }).withColumn("wss_floor", F.greatest(F.col("wss"), F.lit(0.0)))
+        "nse": 1 - F.try_divide(F.col("__sse"), F.col("__ov") * F.col("n")),
+        "wss": 1 - F.try_divide("__sse", "__wd"),
+    }).withColumn("wss_floor", F.when(F.col("wss").isNotNull(), F.greatest(F.col("wss"), F.lit(0.0))))
     return out.select(*keys, *(SKILL_SETS[which] if isinstance(which, str) else which))
 
 
@@ -75,7 +75,7 @@ def with_overall(df: DataFrame, col: str, label: str = "All") -> DataFrame:
 def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, min_pairs: int = 5, z: float = 1.96) -> DataFrame:
     """r with Fisher interval, two-sided p and pair count; r is NULL below ``min_pairs``."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    out = both.groupBy(*keys).agg(finite(F.corr(x, y)).alias("r"), F.count(F.lit(1)).alias("n"))
+    out = both.groupBy(*keys).agg(finite(pearson(x, y)).alias("r"), F.count(F.lit(1)).alias("n"))
     out = out.withColumn("r", F.when(F.col("n") >= min_pairs, F.col("r")))
     return out.withColumns({
         "lo": fisher_bound(F.col("r"), F.col("n"), -1, z),
@@ -99,16 +99,16 @@ def best_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return both.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        finite(F.regr_slope(y, x)).alias("slope"),
-        finite(F.regr_intercept(y, x)).alias("intercept"),
-        finite(F.regr_r2(y, x)).alias("r2"),
+        finite(line_slope(y, x)).alias("slope"),
+        finite(line_intercept(y, x)).alias("intercept"),
+        (pearson(y, x) * pearson(y, x)).alias("r2"),
     ).where("n >= 2")
 
 
 def trend_per_decade(df: DataFrame, keys: Sequence[str], year: str, value: str, first: int, last: int) -> DataFrame:
     """Linear trend per ten years inside a window of years."""
     d = df.where(F.col(year).between(first, last) & F.col(value).isNotNull())
-    return d.groupBy(*keys).agg((finite(F.regr_slope(value, year)) * 10).alias("trend"), F.count(F.lit(1)).alias("n"))
+    return d.groupBy(*keys).agg((finite(line_slope(value, year)) * 10).alias("trend"), F.count(F.lit(1)).alias("n"))
 
 
 def export_order(df: DataFrame, season_order: Sequence[str], total: str = "Total") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stats import pearson
 from ..functions import calendar as cal
 from ..functions import clean as C
 from ..operators import quantiles as Q
@@ -103,7 +104,7 @@ def step_percent_changes(t: Tables):
 def detrended_agreement(t: Tables):
     y = paired(t).groupBy("grp", "year").agg(F.avg("obs").alias("o"), F.avg("model").alias("m"))
     d = SR.first_differences(SR.detrended(y, ["grp"], "year", ["o", "m"]), ["grp"], "year", ["o", "m"])
-    return d.groupBy("grp").agg(F.corr("o", "m").alias("r_raw"), F.corr("o_detrended", "m_detrended").alias("r_detrended"), F.corr("o_diff", "m_diff").alias("r_diff"))
+    return d.groupBy("grp").agg(pearson("o", "m").alias("r_raw"), pearson("o_detrended", "m_detrended").alias("r_detrended"), pearson("o_diff", "m_diff").alias("r_diff"))
 
 
 @query("lagged_index", "year:i index:f4 lagged:f4", "y AS (SELECT year(o_orderdate) AS year, avg(o_totalprice) AS index FROM orders WHERE month(o_orderdate) IN (3, 4, 5) GROUP BY 1), final AS (SELECT y.year, y.index, p.index AS lagged FROM y LEFT JOIN y p ON p.year = y.year - 1)", covers="SRC-13")
@@ -225,7 +226,7 @@ def day_adjusted_anomaly(t: Tables):
 @query("residual_correlation", "season:s grp:s r_raw:f6 r_removed:f6", f"{DOS}, final AS (SELECT season, grp, corr(y, y2) AS r_raw, corr(res, res2) AS r_removed FROM d4 GROUP BY 1, 2)", covers="SKL-11")
 def residual_correlation(t: Tables):
     d = R.poly_residuals(with_day(t), ["season", "grp"], "dos", ["y", "y2"])
-    return d.groupBy("season", "grp").agg(F.corr("y", "y2").alias("r_raw"), F.corr("y_res", "y2_res").alias("r_removed"))
+    return d.groupBy("season", "grp").agg(pearson("y", "y2").alias("r_raw"), pearson("y_res", "y2_res").alias("r_removed"))
 
 
 @query("year_index", "grp:s year:i index:f6", f"""{PAIRED}, d AS (SELECT grp, year, log10(obs) AS y, (dayofyear(date)-1)::DOUBLE AS x FROM paired), m AS (SELECT grp, year, avg(y) AS my, avg(x) AS mx FROM d GROUP BY 1, 2),
@@ -245,7 +246,7 @@ def station_effects(t: Tables):
                           F.log10("l_extendedprice").alias("lo"), F.log10(F.col("l_quantity") * 1500 + F.col("l_tax") * 200000).alias("lm"))
     o = R.factor_effects(R.fit_terms(d, [], "lo", [STATION_TERMS]), [], "station").select("level", F.col("effect").alias("o"))
     m = R.factor_effects(R.fit_terms(d, [], "lm", [STATION_TERMS]), [], "station").select("level", F.col("effect").alias("m"))
-    return o.join(m, "level").agg(F.corr("o", "m").alias("r"), F.count(F.lit(1)).alias("n"), F.stddev_samp("o").alias("sd_obs"), F.stddev_samp("m").alias("sd_model"))
+    return o.join(m, "level").agg(pearson("o", "m").alias("r"), F.count(F.lit(1)).alias("n"), F.stddev_samp("o").alias("sd_obs"), F.stddev_samp("m").alias("sd_model"))
 
 
 def ratio_rows(t: Tables):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import line_intercept, line_slope, pearson
 from ..functions import calendar as cal
 from ..operators import joins as J
 from ..operators import onset as O
@@ -126,7 +127,7 @@ def coherence_shares(t: Tables):
     q = c.groupBy("row", "col").agg(F.avg("value2").alias("q"))
     return r.join(q, ["row", "col"]).agg(
         F.count(F.lit(1)).alias("n_cells"), F.avg(F.when(F.col("r") > 0.5, 1.0).otherwise(0.0)).alias("share_over_half"),
-        F.corr("mean", "q").alias("spatial_r"))
+        pearson("mean", "q").alias("spatial_r"))
 
 
 REGION = f"""{CUBE}, rs AS (SELECT year, step, median(value + 1000*value2) AS v FROM cube WHERE row BETWEEN 2 AND 6 GROUP BY 1, 2),
@@ -289,8 +290,8 @@ def weekly_ratio_agreement(t: Tables):
     w = W.partitionBy("week")
     d = wide_ratio(t).withColumns({"la": F.log("A"), "lb": F.log("N"), "ga": F.log10("A"), "gb": F.log10("N")})
     d = d.withColumns({"da": F.col("la") - F.avg("la").over(w), "db": F.col("lb") - F.avg("lb").over(w)})
-    return d.agg(F.count(F.lit(1)).alias("n"), F.corr("la", "lb").alias("r_log"), F.corr("da", "db").alias("r_anom"),
-                 F.regr_slope("gb", "ga").alias("slope"), F.regr_intercept("gb", "ga").alias("intercept"))
+    return d.agg(F.count(F.lit(1)).alias("n"), pearson("la", "lb").alias("r_log"), pearson("da", "db").alias("r_anom"),
+                 line_slope("gb", "ga").alias("slope"), line_intercept("gb", "ga").alias("intercept"))
 
 
 BLOCK = """cw AS (SELECT l_suppkey % 10 AS row, l_partkey % 10 AS col, year(l_shipdate) AS year, least((dayofyear(l_shipdate)-1)//8, 45) AS week, avg(l_extendedprice) AS a, avg(l_quantity) AS b FROM lineitem GROUP BY ALL),

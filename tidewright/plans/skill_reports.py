@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stats import pearson
 from ..operators import skill as K
 from .base import Tables, query
 from .bindings import PAIRED, paired
@@ -88,7 +89,7 @@ def weighted_r(t: Tables):
 def partial_corr(t: Tables):
     from ..functions.stats import partial_corr as pc
 
-    c = monthly(t).groupBy("grp").agg(F.corr("obs", "model").alias("r"), F.corr("obs", "doy").alias("a"), F.corr("model", "doy").alias("b"))
+    c = monthly(t).groupBy("grp").agg(pearson("obs", "model").alias("r"), pearson("obs", "doy").alias("a"), pearson("model", "doy").alias("b"))
     return c.withColumn("partial", pc(F.col("r"), F.col("a"), F.col("b")))
 
 
