@@ -112,11 +112,16 @@ def seasonal_anomalies(paired: DataFrame, *, group: str = "grp", min_seasons: in
     a = a.select(*extra, group, "season", "year", "obs_anom", "model_anom", "n_tows")
     if not with_all:
         return a
-    total = a.groupBy(*extra, group, "year").agg(
-        F.avg("obs_anom").alias("obs_anom"), F.avg("model_anom").alias("model_anom"),
-        F.sum("n_tows").alias("n_tows"), F.count(F.lit(1)).alias("__ns"),
-    ).where(F.col("__ns") >= min_seasons).drop("__ns").withColumn("season", F.lit("All"))
-    return a.unionByName(total)
+    return _with_all_seasons(a, [*extra, group], ["obs_anom", "model_anom"], min_seasons, sums=["n_tows"])
+
+
+def _with_all_seasons(a: DataFrame, keys: Sequence[str], values: Sequence[str], min_seasons: int = 1, sums: Sequence[str] = ()) -> DataFrame:
+    """Add 'All' rows with the mean over seasons. Every row counts once for its season, where it is alone, and
+    once for 'All', so the table is read a single time."""
+    both = a.withColumn("season", F.explode(F.array(F.col("season"), F.lit("All"))))
+    out = both.groupBy(*keys, "season", "year").agg(
+        *[F.avg(v).alias(v) for v in values], *[F.sum(s).alias(s) for s in sums], F.count(F.lit(1)).alias("__ns"))
+    return out.where((F.col("season") != "All") | (F.col("__ns") >= min_seasons)).drop("__ns")
 
 
 def pooled_anomalies(paired: DataFrame, keys: Sequence[str], year: str = "year", sides: Sequence[str] = ("obs", "model")) -> DataFrame:
@@ -154,9 +159,7 @@ def compare_summaries(paired: DataFrame, group: str = "grp",
     long = long.select(group, "season", "year", "n_tows", "model_value", "__m.method", "__m.obs_value")
     a = climatology_anomalies(long, ["method", group, "season"], **clim)
     a = a.select("method", group, "season", "year", "obs_anom", "model_anom")
-    total = a.groupBy("method", group, "year").agg(
-        F.avg("obs_anom").alias("obs_anom"), F.avg("model_anom").alias("model_anom")).withColumn("season", F.lit("All"))
-    return a.unionByName(total)
+    return _with_all_seasons(a, ["method", group], ["obs_anom", "model_anom"])
 
 
 def model_only_anomalies(series: DataFrame, *, group: str = "grp", value: str = "value", method: str = "mean_raw",
@@ -165,9 +168,7 @@ def model_only_anomalies(series: DataFrame, *, group: str = "grp", value: str =
     s = series.where(F.col(value).isNotNull()).groupBy(group, "season", "year").agg(
         summarise(F.col(value), method, "log10", offset).alias("v"))
     s = s.withColumn("anom", zscore_bounded([group, "season"], "v")).select(group, "season", "year", "anom")
-    total = s.groupBy(group, "year").agg(F.avg("anom").alias("anom"), F.count(F.lit(1)).alias("__ns")).where(
-        F.col("__ns") >= min_seasons).drop("__ns").withColumn("season", F.lit("All"))
-    return s.unionByName(total)
+    return _with_all_seasons(s, [group], ["anom"], min_seasons)
 
 
 def monthly_normalised(df: DataFrame, *, group: str, year: str = "year", month: str = "month", value: str,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import fisher_bound, line_intercept, line_slope, pearson, pearson_p
@@ -25,16 +26,20 @@ def finite(c: Column) -> Column:
 
 
 def skill(df: DataFrame, keys: Sequence[str], obs: str, model: str, *, which: str | Sequence[str] = "classic",
-          standardised: bool = False, min_pairs: int = 1) -> DataFrame:
+          standardised: bool = False, min_pairs: int = 1, summary: bool = False) -> DataFrame:
     """Skill measures per group over rows where both values are present.
 
     ``standardised`` data (logs, anomalies) report NRMSE = RMSE. The Willmott denominator needs the observed
     mean first, so the mean is aggregated and joined back; everything else comes from one more aggregate.
+    ``summary`` says that the rows are yearly or seasonal summaries, few per key: a window then gives the mean.
     """
     keys = list(keys)
     pairs = df.where(F.col(obs).isNotNull() & F.col(model).isNotNull())
     pairs = pairs.select(*keys, F.col(obs).cast("double").alias("__o"), F.col(model).cast("double").alias("__m"))
-    pairs = with_group_stats(pairs, keys, ["__o", "__m"], __mean=F.avg("__o"))
+    if summary:
+        pairs = pairs.withColumn("__mean", F.avg("__o").over(W.partitionBy(*keys)))
+    else:
+        pairs = with_group_stats(pairs, keys, ["__o", "__m"], __mean=F.avg("__o"))
     o, m, d = F.col("__o"), F.col("__m"), F.col("__m") - F.col("__o")
     spread = F.abs(m - F.col("__mean")) + F.abs(o - F.col("__mean"))
     agg = pairs.groupBy(*keys).agg(

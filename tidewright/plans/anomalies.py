@@ -75,7 +75,7 @@ def anomaly_weighted(t: Tables):
   {core(['method', 'grp', 'season'], 'd')}, final AS (SELECT * FROM agg)""", covers="ANM-05 SET-07")
 def anomaly_compare(t: Tables):
     a = A.compare_summaries(paired(t))
-    return K.skill(a, ["method", "grp", "season"], "obs_anom", "model_anom", which=["n", "rmse", "r", "wss"], standardised=True)
+    return K.skill(a, ["method", "grp", "season"], "obs_anom", "model_anom", which=["n", "rmse", "r", "wss"], standardised=True, summary=True)
 
 
 @query("model_box_anomaly", "grp:s season:s year:i anom:f6", f"""{CUBE},
@@ -137,7 +137,7 @@ def period_stats(t: Tables):
     w = p.groupBy(iso.alias("iy"), F.weekofyear("date").alias("w")).agg(F.avg("obs").alias("obs"), F.avg("model").alias("model"))
     mid = F.date_add(F.lit("2001-01-01").cast("date"), F.least((F.col("w") - 1) * 7 + 3, F.lit(364)))
     w = w.select(F.lit("weekly").alias("level"), cal.season(mid).alias("season"), "obs", "model")
-    return K.skill(K.with_overall(m.unionByName(w), "season"), ["level", "season"], "obs", "model", which="centred", min_pairs=2)
+    return K.skill(K.with_overall(m.unionByName(w), "season"), ["level", "season"], "obs", "model", which="centred", min_pairs=2, summary=True)
 
 
 @query("domain_anomaly", "grp:s season:s seasonal_mean:f4 anomaly:f6", f"""{PAIRED}, x AS (SELECT grp, season, avg(obs) AS seasonal_mean FROM paired GROUP BY 1, 2),

@@ -44,7 +44,7 @@ SKILL_SQL = """mean_obs AS (SELECT avg(obs) AS om FROM pairs),
 @query("asof_skill", "n:i bias:f4 obs_std:f4 model_std:f4 mae:f4 rmse:f4 r:f6 wss:f6",
        f"{DAY_MEDIAN}, {MODEL_SERIES}, {MATCH_SQL}, {SKILL_SQL}", covers="JOI-01 CAL-04 AGG-16 NUT-07 SKL-01")
 def asof_skill(t: Tables):
-    return K.skill(matched_pairs(t), [], "obs", "model", which="paired")
+    return K.skill(matched_pairs(t), [], "obs", "model", which="paired", summary=True)
 
 
 @query("asof_biweek_pairs", "year:i biweek:i obs:f4 model:f4 n_days:i",

@@ -209,7 +209,7 @@ def window_overlap(t: Tables):
 def onset_skill(t: Tables):
     a = O.threshold_onset(series_table(t), ["grp"], value="v").select("grp", "year", F.col("onset_doy").alias("o"))
     b = model_onset(t).select("year", F.col("onset_doy").alias("m"))
-    return K.skill(a.join(b, "year"), ["grp"], "o", "m", which="timing")
+    return K.skill(a.join(b, "year"), ["grp"], "o", "m", which="timing", summary=True)
 
 
 WEEKLY = """wk AS (SELECT l_returnflag AS grp, year(l_shipdate) AS year, least((dayofyear(l_shipdate)-1)//8, 45) AS week, avg(l_extendedprice) AS v, count(*) AS c FROM lineitem GROUP BY 1, 2, 3),
