@@ -147,3 +147,19 @@ def calendar_table(spark: SparkSession, first_year: int, last_year: int, last_mo
         "date", step_date(F.col("year"), F.col("step"))
     )
     return cal.where((F.col("year") < last_year) | (F.month("date") <= last_month))
+
+
+def nearest_step(date: Column) -> Column:
+    """struct(date, year, step, gap): calendar step nearest to a day, the earlier one on a tie.
+
+    On the complete regular calendar this replaces an as-of join by an equality join.
+    """
+    y, s = F.year(date), model_step(date)
+
+    def candidate(year: Column, step: Column) -> Column:
+        d = step_date(year, step)
+        return F.struct(F.abs(F.datediff(d, date)).alias("gap"), d.alias("date"), year.alias("year"), step.alias("step"))
+
+    before = candidate(F.when(s > 1, y).otherwise(y - 1), F.when(s > 1, s - 1).otherwise(F.lit(STEPS_PER_YEAR)))
+    after = candidate(F.when(s < STEPS_PER_YEAR, y).otherwise(y + 1), F.when(s < STEPS_PER_YEAR, s + 1).otherwise(F.lit(1)))
+    return F.when(date.isNotNull(), F.array_min(F.array(before, candidate(y, s), after)))

@@ -174,10 +174,11 @@ def model_only_anomalies(series: DataFrame, *, group: str = "grp", value: str =
 def monthly_normalised(df: DataFrame, *, group: str, year: str = "year", month: str = "month", value: str,
                        offset: float = 1e-4) -> DataFrame:
     """Rows with departures from the climatological months: mean, SD and median over months, five columns."""
-    months = df.groupBy(group, month, year).agg(F.avg(value).alias("__mm"))
-    clim = months.groupBy(group, month).agg(F.avg("__mm").alias("__cm"), F.median("__mm").alias("__cd"))
+    months = df.groupBy(group, month, year).agg(F.avg(value).alias("__mm"), F.min(value).alias("__lo"))
+    clim = months.groupBy(group, month).agg(F.avg("__mm").alias("__cm"), F.median("__mm").alias("__cd"), F.min("__lo").alias("__lo"))
     ann = clim.groupBy(group).agg(
-        F.avg("__cm").alias("annual_mean"), F.stddev_samp("__cm").alias("annual_sd"), F.median("__cd").alias("annual_median"))
+        F.avg("__cm").alias("annual_mean"), F.stddev_samp("__cm").alias("annual_sd"), F.median("__cd").alias("annual_median"), F.min("__lo").alias("__lo"))
+    ann = ann.withColumn("__zlo", F.try_divide(F.col("__lo") - F.col("annual_mean"), F.col("annual_sd"))).drop("__lo")
     d = salted_join(df, ann, [group], [value, year, month])
     d = d.withColumns({
         "from_mean": F.col(value) - F.col("annual_mean"),
@@ -185,9 +186,6 @@ def monthly_normalised(df: DataFrame, *, group: str, year: str = "year", month:
         "norm_mean": F.try_divide(F.col(value) - F.col("annual_mean"), F.col("annual_sd")),
         "norm_median": F.try_divide(F.col(value) - F.col("annual_median"), F.col("annual_sd")),
     })
-    low = null_safe_join(df.groupBy(group).agg(F.min(value).alias("__lo")), ann, [group]).select(
-        group, F.try_divide(F.col("__lo") - F.col("annual_mean"), F.col("annual_sd")).alias("__zlo"))
-    d = salted_join(d, low, [group], [value, year, month])
     return d.withColumn("norm_log", F.log(F.col("norm_mean") - F.col("__zlo") + offset)).drop("__zlo")
 
 

@@ -83,7 +83,8 @@ def asof_nearest(
     model_t: str,
     values: Sequence[str],
     tolerance: float | None = None,
-    bucket_width: float = 32.0,
+    bucket_width: float | None = None,
+    rows_per_bucket: int = 200_000,
     matched_as: str = "matched_t",
 ) -> DataFrame:
     """Nearest model row in time for every observation; ties go to the earlier model time.
@@ -91,7 +92,8 @@ def asof_nearest(
     Times are numbers (days or microseconds). Both sides are first reduced to one row per (key, time), then
     merged inside time buckets; each bucket also knows the last model row before it and the first after it,
     so no key needs a single ordered pass and no pair list is built. Observations without a model row inside
-    ``tolerance`` keep NULL values.
+    ``tolerance`` keep NULL values. ``bucket_width`` fixes the width for known calendars; otherwise each key gets
+    equal buckets that hold about ``rows_per_bucket`` times each.
     """
     keys = list(keys)
     payload = [model_t, *values]
@@ -104,7 +106,13 @@ def asof_nearest(
     both = points.select(*keys, "__t", "__m", F.lit(0).alias("__side")).unionByName(
         marks.select(*keys, "__t", F.lit(1).alias("__side")), allowMissingColumns=True
     )
-    both = both.withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_width)))
+    if bucket_width is not None:
+        both = both.withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_width)))
+    else:
+        span = with_group_stats(both, keys, ["__t"], __n=F.count(F.lit(1)), __from=F.min("__t"), __to=F.max("__t"))
+        parts = F.ceil(F.col("__n") / rows_per_bucket)
+        share = F.coalesce(F.try_divide(F.col("__t") - F.col("__from"), F.col("__to") - F.col("__from")), F.lit(0.0))
+        both = span.withColumn("__b", F.floor(share * parts)).drop("__n", "__from", "__to")
     edges = both.groupBy(*keys, "__b").agg(F.min("__m").alias("__lo"), F.max("__m").alias("__hi"))
     across = W.partitionBy(*keys).orderBy("__b")
     edges = edges.select(

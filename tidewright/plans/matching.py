@@ -68,7 +68,7 @@ def asof_keyed(t: Tables):
     o = e.where("event_type = 'view'").select("user_id", "event_id", "us")
     m = e.where("event_type = 'purchase'").select("user_id", F.col("us").alias("mus"), F.col("value").alias("purchase"))
     near = J.asof_nearest(o, m, keys=["user_id"], obs_t="us", model_t="mus", values=["purchase"],
-                          tolerance=3 * 86_400e6, bucket_width=86_400e6)
+                          tolerance=3 * 86_400e6)
     return near.withColumn("gap_s", F.abs(F.col("us") - F.col("matched_t")) / 1e6)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: int | str = "*", app: str = "tidewright", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own settings."""
-    return (
+    return prepare(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,6 +22,17 @@ def local_session(cpus: int | str = "*", app: str = "tidewright", shuffle_partit
     )
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings that the operators count on, for sessions made elsewhere.
+
+    A sort-merge join whose output feeds an aggregate on the same key is only split at a hot key when adaptive
+    execution may add a shuffle for it.
+    """
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(key, "true")
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there.
 
