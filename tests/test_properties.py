@@ -215,3 +215,29 @@ def test_row_sums(spark):
     d = spark.createDataFrame([(1.0, None), (None, None)], "a double, b double")
     r = d.select(C.row_sum(["a", "b"]).alias("x"), C.row_sum(["a", "b"], 1).alias("y")).collect()
     assert [tuple(x) for x in r] == [(1.0, 1.0), (0.0, None)]
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """With half of the rows on one key and no broadcast, the salted join keeps them in many partitions."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        d = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").cast("double").alias("v"))
+        r = J.with_group_stats(d, ["k"], m=F.avg("v")).withColumn("p", F.spark_partition_id())
+        hot = r.where("k = 'hot'").groupBy("p").count().collect()
+        assert sum(x["count"] for x in hot) == 10_000 and len(hot) >= 6 and max(x["count"] for x in hot) < 5_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_quantile_ranges_stay_small(spark):
+    """The rows ranked for a hot group are a small part of it."""
+    d = spark.range(50_000).select(F.lit("hot").alias("k"), F.sqrt(F.col("id")).alias("v"))
+    vals = Q.grouped_quantiles(d, ["k"], "v", {"m": 0.5})
+    assert vals.first().m == pytest.approx((math.sqrt(24_999) + math.sqrt(25_000)) / 2)
+    cuts = d.agg(F.percentile_approx("v", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1280)).alias("c")).first().c
+    sizes = np.histogram(np.sqrt(np.arange(50_000)), bins=[-1, *cuts, 1e9])[0]
+    assert sizes.max() < 50_000 / 64 * 3
