@@ -241,3 +241,12 @@ def test_quantile_ranges_stay_small(spark):
     cuts = d.agg(F.percentile_approx("v", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1280)).alias("c")).first().c
     sizes = np.histogram(np.sqrt(np.arange(50_000)), bins=[-1, *cuts, 1e9])[0]
     assert sizes.max() < 50_000 / 64 * 3
+
+
+def test_stage_counts_from_tables_and_flags(spark):
+    from tidewright.operators import survey as V
+
+    d = spark.createDataFrame([(2000, "a", 1), (2000, "a", 5), (2000, "b", 9), (2001, "c", 1), (2001, None, 9)], "year int, tow string, v int")
+    a = V.stage_counts({"raw": d, "filtered": d.where("v > 4"), "matched": d.where("v > 8")}, ["year"], "tow").orderBy("year").collect()
+    b = V.stage_flag_counts(d, ["year"], "tow", {"raw": F.lit(True), "filtered": F.col("v") > 4, "matched": F.col("v") > 8}).orderBy("year").collect()
+    assert [tuple(x) for x in a] == [tuple(x) for x in b] == [(2000, 2, 2, 1, 1.0, 0.5, 0.5), (2001, 1, 0, 0, 0.0, None, 0.0)]

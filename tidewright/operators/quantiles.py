@@ -88,7 +88,9 @@ def median_timestamp(df: DataFrame, keys: Sequence[str], ts: str, name: str = "m
     return q.withColumn(name, F.timestamp_micros(F.floor(name).cast("long") + F.lit(1_500_000_000_000_000)))
 
 
-def mode_by_count(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
-    """Most frequent value, smallest on ties, from counts (no value map in one task)."""
-    c = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__c"))
-    return c.groupBy(*keys).agg(F.min(F.struct((-F.col("__c")).alias("c"), F.col(col).alias("v"))).getField("v").alias(name))
+def modes_by_count(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Most frequent text of each column per key (smallest on ties), from counts: no value map in one task."""
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("string").alias("__v")) for c in columns]))
+    n = df.select(*keys, rows).where("__v IS NOT NULL").groupBy(*keys, "__col", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    best = [F.min(F.when(F.col("__col") == c, F.struct((-F.col("__c")).alias("c"), F.col("__v").alias("v")))).getField("v").alias(c) for c in columns]
+    return n.groupBy(*keys).agg(*best)

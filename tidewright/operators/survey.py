@@ -10,23 +10,27 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import row_sum
 from .joins import attach_one, complete_axis, null_safe_join, with_group_stats
-from .quantiles import grouped_quantiles, mode_by_count
+from .quantiles import grouped_quantiles, modes_by_count
 
 
 def tow_range(start: Column, end: Column) -> Column:
     return F.abs(start) - F.abs(end)
 
 
+def is_eligible(*, start: str = "start_depth", end: str = "end_depth", bottom: str = "bottom_depth", min_share: float = 0.7,
+                min_start: float = 150.0, max_bottom: float | None = None) -> Column:
+    """Does a tow cover enough of the water column, or start deep enough? Missing ratios count as no."""
+    share = F.try_divide(tow_range(F.col(start), F.col(end)), F.col(bottom))
+    keep = F.coalesce(share >= min_share, F.lit(False)) | F.coalesce(F.col(start) >= min_start, F.lit(False))
+    return keep if max_bottom is None else keep & F.coalesce(F.col(bottom) <= max_bottom, F.lit(False))
+
+
 def eligible_tows(df: DataFrame, *, start: str = "start_depth", end: str = "end_depth", bottom: str = "bottom_depth", mode: str = "coverage",
                   min_share: float = 0.7, min_start: float = 150.0, max_bottom: float | None = None) -> DataFrame:
     """Tows that cover enough of the water column or start deep enough; tables without depths pass unchanged."""
     if mode in ("none", "all", "") or any(c not in df.columns for c in (start, end, bottom)):
         return df
-    share = F.try_divide(tow_range(F.col(start), F.col(end)), F.col(bottom))
-    keep = F.coalesce(share >= min_share, F.lit(False)) | F.coalesce(F.col(start) >= min_start, F.lit(False))
-    if max_bottom is not None:
-        keep = keep & (F.col(bottom) <= max_bottom)
-    return df.where(keep)
+    return df.where(is_eligible(start=start, end=end, bottom=bottom, min_share=min_share, min_start=min_start, max_bottom=max_bottom))
 
 
 def without_stations(df: DataFrame, stations: Sequence[str], station: str = "station") -> DataFrame:
@@ -106,9 +110,7 @@ def depth_scaled(groups: DataFrame, grid: DataFrame, *, value: str, depth: str =
 def dedupe_mean_mode(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
     """One row per key: mean of numbers, most frequent text."""
     out = df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in numeric])
-    for c in text:
-        out = null_safe_join(out, mode_by_count(df, keys, c, c), list(keys), "left")
-    return out
+    return null_safe_join(out, modes_by_count(df, keys, text), list(keys), "left") if text else out
 
 
 def stage_counts(stages: Mapping[str, DataFrame], keys: Sequence[str], tow: str | None) -> DataFrame:
@@ -120,7 +122,17 @@ def stage_counts(stages: Mapping[str, DataFrame], keys: Sequence[str], tow: str
         long = part if long is None else long.unionByName(part)
     names = list(stages)
     wide = long.groupBy(*keys).pivot("stage", names).agg(F.sum("n")).fillna(0, names)
-    wide = wide.withColumnsRenamed({n: f"n_{n}" for n in names})
+    return _stage_fractions(wide.withColumnsRenamed({n: f"n_{n}" for n in names}), names)
+
+
+def stage_flag_counts(df: DataFrame, keys: Sequence[str], tow: str, stages: Mapping[str, Column]) -> DataFrame:
+    """As ``stage_counts`` for stages that are conditions on one table: one scan, tows reduced before counting."""
+    per_tow = df.groupBy(*keys, tow).agg(*[F.max(F.coalesce(c, F.lit(False))).alias(f"__{n}") for n, c in stages.items()])
+    wide = per_tow.groupBy(*keys).agg(*[F.count_if(F.col(f"__{n}") & F.col(tow).isNotNull()).alias(f"n_{n}") for n in stages])
+    return _stage_fractions(wide, list(stages))
+
+
+def _stage_fractions(wide: DataFrame, names: list[str]) -> DataFrame:
     fr = {f"frac_{b}_of_{a}": F.try_divide(F.col(f"n_{b}"), F.when(F.col(f"n_{a}") != 0, F.col(f"n_{a}")))
           for a, b in [*zip(names[:-1], names[1:]), (names[0], names[-1])]}
     return wide.withColumns(fr)

@@ -319,14 +319,19 @@ def relative_series(t: Tables):
     return TB.relative_series(extra.unionByName(text), "Pane", "DE1-POC")
 
 
-@query("series_groups", "date:d ZC1-EUP:f2 ZF1-ICT:f2 total:f2", """final AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) FILTER (o_orderpriority LIKE '5%') AS "ZC1-EUP", sum(o_totalprice) FILTER (o_orderpriority LIKE '4%') AS "ZF1-ICT",
-  coalesce(sum(o_totalprice) FILTER (o_orderpriority LIKE '5%'), 0) + coalesce(sum(o_totalprice) FILTER (o_orderpriority LIKE '4%'), 0) AS total FROM orders GROUP BY 1)""", covers="MAP-03 SET-03 PRJ-11 PRJ-08")
+PRIORITIES = {"1-URGENT": ("4", "ZF1-ICT"), "2-HIGH": ("5", "ZC1-EUP"), "3-MEDIUM": ("6", "ZC2-AMP"), "4-NOT SPECIFIED": ("7", "ZC3-DEC"), "5-LOW": ("8", "ZC4-CLG")}
+SUMS = {g: f"sum(o_totalprice) FILTER (o_orderpriority = '{p}')" for p, (_, g) in PRIORITIES.items()}
+
+
+@query("series_groups", "date:d " + " ".join(f"{g}:f2" for g in SUMS) + " crustaceans:f2", "final AS (SELECT CAST(o_orderdate AS DATE) AS date, "
+       + ", ".join(f'{e} AS "{g}"' for g, e in SUMS.items()) + ", " + " + ".join(f"coalesce({e}, 0)" for g, e in SUMS.items() if g.startswith("ZC"))
+       + " AS crustaceans FROM orders GROUP BY 1)", covers="MAP-03 SET-03 PRJ-11 PRJ-08")
 def series_groups(t: Tables):
     from ..functions.taxa import rename_series
 
-    w = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).pivot("o_orderpriority", ["4-NOT SPECIFIED", "5-LOW"]).agg(F.sum("o_totalprice"))
-    w = rename_series(w.withColumnsRenamed({"4-NOT SPECIFIED": "4", "5-LOW": "5"}))
-    return w.withColumn("total", C.row_sum([F.col("`ZC1-EUP`"), F.col("`ZF1-ICT`")]))
+    w = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).pivot("o_orderpriority", list(PRIORITIES)).agg(F.sum("o_totalprice"))
+    w = rename_series(w.withColumnsRenamed({p: i for p, (i, _) in PRIORITIES.items()}))
+    return w.withColumn("crustaceans", C.row_sum([F.col(f"`{g}`") for g in SUMS if g.startswith("ZC")]))
 
 
 @query("output_keys", "scenario:s pass:s season:s n:i", f"""{PAIRED}, final AS (SELECT 'SC_' || grp AS scenario, CASE WHEN obs > 30000 THEN 'ZC' ELSE 'ZS' END AS pass, season, count(*) AS n FROM paired GROUP BY 1, 2, 3)""", covers="SNK-04")

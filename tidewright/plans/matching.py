@@ -84,6 +84,16 @@ def closest_date(t: Tables):
     return near.withColumn("gap", F.abs(F.col("t") - F.col("mdate_day")))
 
 
+@query("closest_step", "date:d year:i step:i gap:i obs:f4 model:f4", f"""{DAILY_OBS}, {MODEL_SERIES},
+  c AS (SELECT y AS year, s AS step, make_date(y, 1, 1) + CAST(CASE WHEN s < 120 THEN s*3-1 WHEN (y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0 THEN 361 ELSE 360 END - 1 AS INTEGER) AS cd FROM range(1994, 2004) a(y), range(1, 121) b(s)),
+  n AS (SELECT o.date, o.obs, c.year, c.step, abs(date_diff('day', o.date, cd)) AS gap FROM daily_obs o JOIN c ON abs(date_diff('day', o.date, cd)) <= 8
+   QUALIFY row_number() OVER (PARTITION BY o.date ORDER BY abs(date_diff('day', o.date, cd)), cd) = 1),
+  final AS (SELECT n.*, model FROM n LEFT JOIN model_series USING (year, step))""", covers="JOI-02 JOI-09 CAL-01")
+def closest_step(t: Tables):
+    o = daily_obs(t).withColumn("s", cal.nearest_step(F.col("date"))).select("date", "obs", "s.year", "s.step", "s.gap")
+    return o.join(model_series(t).select("year", "step", "model"), ["year", "step"], "left")
+
+
 @query("closest_depth", "l_linenumber:i depth:f2 level:f2 n:i", """
   lv AS (SELECT unnest([0.5, 1.5, 2.5, 5.0, 7.5, 10.5, 14.0, 18.0, 25.0]) AS level, unnest(range(9)) AS i),
   d AS (SELECT l_linenumber, l_linenumber * 2.5 AS depth, count(*) AS n FROM lineitem GROUP BY 1, 2),

@@ -156,9 +156,8 @@ def station_means(t: Tables):
   j AS (SELECT year, season, a.n AS n_raw, coalesce(b.n, 0) AS n_filtered, coalesce(c.n, 0) AS n_matched FROM a LEFT JOIN b USING (year, season) LEFT JOIN c USING (year, season)),
   final AS (SELECT *, n_filtered/n_raw AS frac_filtered_of_raw, n_matched/nullif(n_filtered, 0) AS frac_matched_of_filtered, n_matched/n_raw AS frac_matched_of_raw FROM j)""", covers="AGG-19")
 def stage_counts(t: Tables):
-    r = records(t)
-    f = S.eligible_tows(r)
-    return S.stage_counts({"raw": r, "filtered": f, "matched": f.where("biomass > 0")}, ["year", "season"], "tow")
+    ok = S.is_eligible()
+    return S.stage_flag_counts(records(t), ["year", "season"], "tow", {"raw": F.lit(True), "filtered": ok, "matched": ok & (F.col("biomass") > 0)})
 
 
 @query("tow_replication", "year:s season:s n_station_groups:i n_stations:i n_rows:i n_unique_tows:i mean_tows:f4 median_tows:f2 max_tows:i min_tows:i n_multi:i pct_multi:f4 n_extra:i stations_multi:s", f"""
@@ -254,11 +253,10 @@ def per_tow_factor(t: Tables):
     return grouped_quantiles(f, [], "factor", {"median": 0.5, "q25": 0.25, "q75": 0.75}).crossJoin(n)
 
 
-@query("sample_counts", "domain:s month:i n:i", """c AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'north' WHEN 'O' THEN 'mid' ELSE 'south' END AS domain, month(o_orderdate) AS month, count(*) AS n FROM orders WHERE o_totalprice > 490000 GROUP BY 1, 2),
+@query("sample_counts", "domain:i month:i n:i", """c AS (SELECT o_custkey AS domain, month(o_orderdate) AS month, count(*) AS n FROM orders GROUP BY 1, 2),
   k AS (SELECT DISTINCT domain FROM c), final AS (SELECT domain, m AS month, coalesce(n, 0) AS n FROM k CROSS JOIN range(1, 13) r(m) LEFT JOIN c ON c.domain = k.domain AND c.month = m)""".replace("SELECT domain, m AS month", "SELECT k.domain, m AS month"), covers="AGG-33 CAL-12")
 def sample_counts(t: Tables):
-    dom = F.when(F.col("o_orderstatus") == "F", "north").when(F.col("o_orderstatus") == "O", "mid").otherwise("south")
-    d = t.orders.where("o_totalprice > 490000").select(dom.alias("domain"), F.month("o_orderdate").alias("month"))
+    d = t.orders.select(F.col("o_custkey").alias("domain"), F.month("o_orderdate").alias("month"))
     return S.zero_filled_counts(d, ["domain"], {"month": list(range(1, 13))})
 
 
