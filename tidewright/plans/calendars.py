@@ -91,7 +91,7 @@ def step_changes(t: Tables):
     return SR.change_summary(SR.step_changes(model_series(t), [], "mdate", "model"), [])
 
 
-@query("step_percent_changes", "grp:s year:i change:f4 pct_change:f4", f"{PAIRED}, y AS (SELECT grp, year, sum(obs) AS v FROM paired GROUP BY 1, 2), final AS (SELECT grp, year, v - lag(v) OVER w AS change, (v - lag(v) OVER w)/lag(v) OVER w*100 AS pct_change FROM y WINDOW w AS (PARTITION BY grp ORDER BY year))", covers="WIN-05")
+@query("step_percent_changes", "grp:s year:i change:f0 pct_change:f4", f"{PAIRED}, y AS (SELECT grp, year, sum(obs) AS v FROM paired GROUP BY 1, 2), final AS (SELECT grp, year, v - lag(v) OVER w AS change, (v - lag(v) OVER w)/lag(v) OVER w*100 AS pct_change FROM y WINDOW w AS (PARTITION BY grp ORDER BY year))", covers="WIN-05")
 def step_percent_changes(t: Tables):
     y = paired(t).groupBy("grp", "year").agg(F.sum("obs").alias("v"))
     return SR.step_changes(y, ["grp"], "year", "v")

@@ -53,7 +53,7 @@ def asof_biweek_pairs(t: Tables):
     return matched_pairs(t)
 
 
-@query("asof_keyed", "user_id:i event_id:i gap_s:f3 purchase:f2", """
+@query("asof_keyed", "user_id:i event_id:i gap_s:f6 purchase:f2", """
   m AS (SELECT user_id, ts, min(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
   o AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'),
   back AS (SELECT o.*, m.ts AS bt, m.value AS bv FROM o ASOF LEFT JOIN m ON o.user_id = m.user_id AND o.ts >= m.ts),

@@ -98,31 +98,27 @@ def onset_per_cell(t: Tables):
 
 
 @query("cell_coherence", "row:i col:i n_years:i mean:f4 sd:f4 r:f6", f"""{CELL},
-  rg AS (SELECT year, median(onset_doy) AS rd FROM on1 GROUP BY 1), rm AS (SELECT avg(rd) AS rm FROM rg),
+  rg AS (SELECT year, avg(onset_doy) AS rd FROM on1 GROUP BY 1), rm AS (SELECT avg(rd) AS rm FROM rg),
   st AS (SELECT row, col, avg(onset_doy) AS mean, stddev_pop(onset_doy) AS sd, count(onset_doy) AS n_years FROM on1 GROUP BY 1, 2),
   final AS (SELECT row, col, any_value(n_years) AS n_years, any_value(mean) AS mean, any_value(sd) AS sd,
     CASE WHEN sum((onset_doy-mean)^2) > 0 AND sum((rd-rm)^2) > 0 THEN sum((onset_doy-mean)*(rd-rm))/sqrt(sum((onset_doy-mean)^2)*sum((rd-rm)^2)) END AS r
    FROM on1 JOIN st USING (row, col) JOIN rg USING (year), rm GROUP BY 1, 2)""", covers="BLM-11")
 def cell_coherence(t: Tables):
-    from ..operators.quantiles import grouped_median
-
     on, _ = cell_onsets(t)
-    region = grouped_median(on, ["year"], "onset_doy", "region_doy")
+    region = on.groupBy("year").agg(F.avg("onset_doy").alias("region_doy"))
     return O.cell_coherence(on, region, ["row", "col"])
 
 
 @query("coherence_shares", "n_cells:i share_over_half:f6 spatial_r:f6", f"""{CELL},
-  rg AS (SELECT year, median(onset_doy) AS rd FROM on1 GROUP BY 1), rm AS (SELECT avg(rd) AS rm FROM rg),
+  rg AS (SELECT year, avg(onset_doy) AS rd FROM on1 GROUP BY 1), rm AS (SELECT avg(rd) AS rm FROM rg),
   st AS (SELECT row, col, avg(onset_doy) AS mean FROM on1 GROUP BY 1, 2),
   cr AS (SELECT row, col, any_value(mean) AS mean, sum((onset_doy-mean)*(rd-rm))/sqrt(sum((onset_doy-mean)^2)*sum((rd-rm)^2)) AS r
-   FROM on1 JOIN st USING (row, col) JOIN rg USING (year), rm GROUP BY 1, 2 HAVING sum((onset_doy-mean)^2) > 0),
+   FROM on1 JOIN st USING (row, col) JOIN rg USING (year), rm GROUP BY 1, 2 HAVING sum((onset_doy-mean)^2) > 0 AND sum((rd-rm)^2) > 0),
   q AS (SELECT row, col, avg(value2) AS q FROM cube GROUP BY 1, 2),
   final AS (SELECT count(*) AS n_cells, avg(CASE WHEN r > 0.5 THEN 1.0 ELSE 0.0 END) AS share_over_half, corr(mean, q) AS spatial_r FROM cr JOIN q USING (row, col))""", covers="BLM-11")
 def coherence_shares(t: Tables):
-    from ..operators.quantiles import grouped_median
-
     on, c = cell_onsets(t)
-    region = grouped_median(on, ["year"], "onset_doy", "region_doy")
+    region = on.groupBy("year").agg(F.avg("onset_doy").alias("region_doy"))
     r = O.cell_coherence(on, region, ["row", "col"]).where("r IS NOT NULL")
     q = c.groupBy("row", "col").agg(F.avg("value2").alias("q"))
     return r.join(q, ["row", "col"]).agg(

@@ -31,7 +31,7 @@ def skill_classic(t: Tables):
     return K.skill(paired(t), ["grp"], "obs", "model", which="classic")
 
 
-@query("skill_timing", "year:i n:i mse:f2 rmse:f4 mae:f4 bias:f4 r:f6 wss_floor:f6 obs_std_pop:f4 model_std_pop:f4",
+@query("skill_timing", "year:i n:i mse:f0 rmse:f4 mae:f4 bias:f4 r:f6 wss_floor:f6 obs_std_pop:f4 model_std_pop:f4",
        f"{PAIRED}, {core(['year'], 'paired')}, final AS (SELECT *, greatest(wss, 0.0) AS wss_floor FROM agg)", covers="SKL-03")
 def skill_timing(t: Tables):
     return K.skill(paired(t), ["year"], "obs", "model", which="timing")

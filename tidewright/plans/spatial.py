@@ -26,8 +26,8 @@ def haversine(t: Tables):
   gg AS (SELECT lat, lon, min(row * 100000 + col) AS rc FROM grid WHERE depth > 0 GROUP BY 1, 2),
   u AS (SELECT DISTINCT lat, lon FROM stations),
   c AS (SELECT p.lat, p.lon, g.rc, {HAV} AS d FROM u p JOIN gg g ON abs(g.lat-p.lat) < 0.02 AND abs(g.lon-p.lon) < 0.02),
-  b AS (SELECT lat, lon, min((round(d, 9), rc)) AS m FROM c GROUP BY 1, 2),
-  final AS (SELECT station, m[2] // 100000 AS row, m[2] % 100000 AS col, m[1] AS dist_km FROM stations LEFT JOIN b USING (lat, lon))""", covers="JOI-04 JOI-05 PRJ-05")
+  b AS (SELECT lat, lon, min((round(d, 9), rc)) AS m, min(d) AS d FROM c GROUP BY 1, 2),
+  final AS (SELECT station, m[2] // 100000 AS row, m[2] % 100000 AS col, d AS dist_km FROM stations LEFT JOIN b USING (lat, lon))""", covers="JOI-04 JOI-05 PRJ-05")
 def nearest_cell(t: Tables):
     return S.nearest_cell_in_box(stations(t), grid(t), lat="lat", lon="lon", glat="lat", glon="lon", cell=["row", "col"],
                                  dx=0.02, mask=F.col("depth") > 0)
@@ -35,11 +35,11 @@ def nearest_cell(t: Tables):
 
 PLANAR = """gg AS (SELECT lat, lon, min(row * 100000 + col) AS rc FROM grid GROUP BY 1, 2), u AS (SELECT DISTINCT lat, lon FROM stations),
   c AS (SELECT p.lat, p.lon, g.rc, sqrt(pow(g.lat-p.lat,2)+pow((g.lon-p.lon)*{k},2)) AS d FROM u p, gg g),
-  b AS (SELECT lat, lon, min((round(d, 9), rc)) AS m FROM c GROUP BY 1, 2)"""
+  b AS (SELECT lat, lon, min(d) AS d FROM c GROUP BY 1, 2)"""
 
 
 @query("nearest_pixel_max", "station:i dist_deg:f6", f"""{GRID}, {STATIONS}, {PLANAR.format(k="cos(radians(49.5))")},
-  final AS (SELECT station, CASE WHEN m[1]*111.0 <= 1.2 THEN m[1] END AS dist_deg FROM stations JOIN b USING (lat, lon))""", covers="JOI-06")
+  final AS (SELECT station, CASE WHEN d*111.0 <= 1.2 THEN d END AS dist_deg FROM stations JOIN b USING (lat, lon))""", covers="JOI-06")
 def nearest_pixel_max(t: Tables):
     import math
 
@@ -48,7 +48,7 @@ def nearest_pixel_max(t: Tables):
 
 
 @query("nearest_cell_any", "station:i dist_deg:f6", f"""{GRID}, {STATIONS}, {PLANAR.format(k="cos(radians(p.lat))")},
-  final AS (SELECT station, m[1] AS dist_deg FROM stations JOIN b USING (lat, lon))""", covers="JOI-07")
+  final AS (SELECT station, d AS dist_deg FROM stations JOIN b USING (lat, lon))""", covers="JOI-07")
 def nearest_cell_any(t: Tables):
     return S.nearest_cell_planar(stations(t), grid(t), lat="lat", lon="lon", glat="lat", glon="lon", cell=["row", "col"], lon_scale=None)
 
@@ -106,7 +106,7 @@ def box_extract(t: Tables):
     return GR.box_series(cube(t), ["value", "value2"], (1, 5), (2, 8))
 
 
-@query("clean_cells", "land:b n:i total:f2", f"""{CUBE}, z AS (SELECT row, col, CASE WHEN value2 < 20 THEN 0.0 WHEN value2 > 40 THEN -9999.0 ELSE value END AS v FROM cube),
+@query("clean_cells", "land:b n:i total:f0", f"""{CUBE}, z AS (SELECT row, col, CASE WHEN value2 < 20 THEN 0.0 WHEN value2 > 40 THEN -9999.0 ELSE value END AS v FROM cube),
   c AS (SELECT CASE WHEN v IN (-9999.0, 0.0) OR (row >= 8 AND col < 3) THEN NULL ELSE v END AS v FROM z),
   final AS (SELECT v IS NULL AS land, count(*) AS n, coalesce(sum(v), 0) AS total FROM c GROUP BY 1)""", covers="SRC-04")
 def clean_cells(t: Tables):
