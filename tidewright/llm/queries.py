@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding, token_counts
+from . import bpe, decontamination, near_duplicates, quality, sharding, substrings, token_counts
 from .common import read, shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,11 @@ MAX_TOKENS = 1024
 SHARDS = 40
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    df = decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return df.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     docs = read(spark, folder, "documents").select("doc_id", "text")
@@ -23,10 +28,19 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest_of_ids().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    df = substrings.remove_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"), SHARDS)
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judge(read(spark, folder, "documents")).select(*columns)
@@ -40,5 +54,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_sharding, op8_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_bpe, op4_substrings, op5_sharding, op6_near_duplicates, op8_quality, op10_token_counts)}
 SQL: dict[str, str] = {}
