@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, near_duplicates, quality, sharding, substrings, token_counts
+from . import bpe, chat, decontamination, lm_scores, near_duplicates, quality, revisits, sharding, substrings, token_counts
 from .common import read, shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ MAX_TOKENS = 1024
 SHARDS = 40
 
 
+def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(read(spark, folder, "conversations"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     df = decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return df.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -41,11 +45,21 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op7_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    good = read(spark, folder, "labels").where("quality = 1 and toxic = 0")
+    return lm_scores.score(read(spark, folder, "documents"), good)
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judge(read(spark, folder, "documents")).select(*columns)
 
 
+def op9_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    df = revisits.resolve(revisits.crawl_log(read(spark, folder, "pages")))
+    return df.withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
@@ -54,5 +68,11 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_bpe, op4_substrings, op5_sharding, op6_near_duplicates, op8_quality, op10_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat, op2_decontamination, op3_bpe, op4_substrings, op5_sharding, op6_near_duplicates, op7_lm_scores, op8_quality, op9_revisits,
+        op10_token_counts,
+    )
+}
+SQL: dict[str, str] = {"op1_chat": chat.SQL, "op9_revisits": revisits.SQL}
