@@ -94,16 +94,19 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def js_distance(p: str, q: str, size: int) -> Column:
-    """Jensen-Shannon distance (base 2) of two count arrays; null where one of them is empty."""
-    total = lambda name: reduce(lambda a, b: a + b, [F.get(name, F.lit(i)) for i in range(size)]).cast("double")
-    tp, tq = total(p), total(q)
-    terms = []
-    for i in range(size):
-        x, y = F.get(p, F.lit(i)) / F.nullif(tp, F.lit(0.0)), F.get(q, F.lit(i)) / F.nullif(tq, F.lit(0.0))
-        m = (x + y) / 2
-        terms += [F.when(z > 0, z * F.log2(z / m)).otherwise(F.when(z.isNotNull(), 0.0)) for z in (x, y)]
-    return F.sqrt(F.greatest(reduce(lambda a, b: a + b, terms) / 2, F.lit(0.0)))
+def _with_js_distance(df: DataFrame, p: str, q: str, out: str) -> DataFrame:
+    """Add the Jensen-Shannon distance (base 2) of two count arrays; null where one of them is empty."""
+    total = lambda c: F.nullif(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    df = df.withColumn("_tp", total(p)).withColumn("_tq", total(q))
+
+    def term(x: Column, y: Column) -> Column:
+        half = lambda z, m: F.when(z > 0, z * F.log2(z / m)).otherwise(F.lit(0.0))
+        return half(x, (x + y) / 2) + half(y, (x + y) / 2)
+
+    df = df.withColumn("_p", F.transform(p, lambda x: x / F.col("_tp"))).withColumn("_q", F.transform(q, lambda x: x / F.col("_tq")))
+    terms = F.aggregate(F.zip_with("_p", "_q", term), F.lit(0.0), lambda a, x: a + x)
+    distance = F.when(F.col("_tp").isNotNull() & F.col("_tq").isNotNull(), F.sqrt(F.greatest(terms / 2, F.lit(0.0))))
+    return df.withColumn(out, distance).drop("_tp", "_tq", "_p", "_q")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -118,8 +121,8 @@ def judge(docs: DataFrame) -> DataFrame:
     # One row for each word list and one for all other languages: at most five.
     reference = seen.where(~F.col("base_failed")).groupBy("_lang").agg(*sums)
     df = seen.join(F.broadcast(reference), "_lang", "left")
-    df = df.withColumn("js_classes", js_distance("h_classes", "r_h_classes", sizes["h_classes"]))
-    df = df.withColumn("js_common", js_distance("h_common", "r_h_common", sizes["h_common"]))
+    df = _with_js_distance(df, "h_classes", "r_h_classes", "js_classes")
+    df = _with_js_distance(df, "h_common", "r_h_common", "js_common")
     off = F.coalesce((F.col("n_words") >= MIN_WORDS_CLASSES) & (F.col("js_classes") > MAX_CLASSES), F.lit(False))
     off |= F.coalesce((F.col("n_words") >= MIN_WORDS_COMMON) & (F.col("js_common") > MAX_COMMON), F.lit(False))
     return df.withColumn("kept", ~(F.col("base_failed") | off)).drop("_lang", "h_classes", "h_common", "r_h_classes", "r_h_common")
