@@ -24,11 +24,18 @@ RULES_2025: list[tuple[str, list[Alternative]]] = [
     ("ZC2-AMP", [{"order": ["Amphipoda"]}]),
     ("ZC1-EUP", [{"order": ["Euphausiacea"]}]),
 ]
-# The earlier version: other code for fish larvae, fewer small and large copepods and decapods.
+# Fixed values of the earlier version: other code for fish larvae, fewer small and large copepods and decapods.
 RULES_EARLIER: list[tuple[str, list[Alternative]]] = [
-    ("ZF1-ICH", RULES_2025[0][1]), *RULES_2025[1:5],
-    ("ZC5-CSM", RULES_2025[5][1][:2]), ("ZC4-CLG", RULES_2025[6][1][:1]), ("ZC3-DEC", RULES_2025[7][1][:1]),
-    *RULES_2025[8:],
+    ("ZF1-ICH", [{"phylum": ["Chordata"], "!class": ["Appendicularia"]}]),
+    ("ZS1-JEL", [{"phylum": ["Cnidaria"], "class": ["Scyphozoa"]}, {"phylum": ["Cnidaria"], "family": ["Aequoreidae"]}]),
+    ("ZS2-CTH", [{"phylum": ["Ctenophora"]}, {"phylum": ["Cnidaria"], "class": ["Hydrozoa"], "!family": ["Aequoreidae"]}]),
+    ("ZS3-CHA", [{"phylum": ["Chaetognatha"]}, {"class": ["Polychaeta", "Gastropoda"]}]),
+    ("ZS4-LAR", [{"class": ["Appendicularia"]}]),
+    ("ZC5-CSM", [{"order": ["Calanoida"], "!family": ["Calanidae", "Eucalanidae"]}, {"class": ["Ostracoda"]}]),
+    ("ZC4-CLG", [{"family": ["Calanidae", "Eucalanidae"]}]),
+    ("ZC3-DEC", [{"order": ["Decapoda", "Thecostraca"]}]),
+    ("ZC2-AMP", [{"order": ["Amphipoda"]}]),
+    ("ZC1-EUP", [{"order": ["Euphausiacea"]}]),
 ]
 
 

@@ -87,7 +87,7 @@ def casts(df: DataFrame, keys: Sequence[str], depth: str, conc: str, *, min_dept
     return c
 
 
-def at_levels(df: DataFrame, keys: Sequence[str], depth: str, value: str, levels: Sequence[float], max_depth: float | None = 400.0,
+def at_levels(df: DataFrame, keys: Sequence[str], depth: str, value: str, levels: Sequence[float], max_depth: float | None = None,
               sentinels: Sequence[float] = (-999.0, -999.9)) -> DataFrame:
     """Profile values at fixed levels, linear between samples and never beyond them."""
     d = df.where(~F.col(value).isin(list(sentinels)))

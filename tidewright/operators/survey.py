@@ -66,7 +66,7 @@ def tow_table(records: DataFrame, tow_cols: Sequence[str], group: str, value: st
     return records.groupBy(*tow_cols).pivot(group, list(groups)).agg(F.sum(value))
 
 
-def paired_long(wide: DataFrame, keep: Sequence[str], groups: Sequence[str], model_prefix: str = "EWE-", total: str = "Total") -> DataFrame:
+def paired_long(wide: DataFrame, keep: Sequence[str], groups: Sequence[str], model_prefix: str, total: str = "Total") -> DataFrame:
     """One row per tow and group with observed and modelled value, plus the row total. One scan, no self-join."""
     have = [g for g in groups if g in wide.columns and f"{model_prefix}{g}" in wide.columns]
     def col(n: str) -> Column:

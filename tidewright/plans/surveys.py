@@ -104,7 +104,7 @@ def paired_long(t: Tables):
 
     w = records(t).groupBy("tow").agg(part("ZC1-EUP", "biomass").alias("ZC1-EUP"), part("ZC3-DEC", "biomass").alias("ZC3-DEC"),
                                       part("ZC1-EUP", "abundance").alias("EWE-ZC1-EUP"), part("ZC3-DEC", "abundance").alias("EWE-ZC3-DEC"))
-    return S.paired_long(w, ["tow"], ["ZC1-EUP", "ZC3-DEC", "ZC9-NONE"])
+    return S.paired_long(w, ["tow"], ["ZC1-EUP", "ZC3-DEC", "ZC9-NONE"], model_prefix="EWE-")
 
 
 @query("presence_only_mean", "year:i season:s genus:s n_surveys:i mean_value:f3", f"""{RECORDS},
