@@ -250,3 +250,16 @@ def test_stage_counts_from_tables_and_flags(spark):
     a = V.stage_counts({"raw": d, "filtered": d.where("v > 4"), "matched": d.where("v > 8")}, ["year"], "tow").orderBy("year").collect()
     b = V.stage_flag_counts(d, ["year"], "tow", {"raw": F.lit(True), "filtered": F.col("v") > 4, "matched": F.col("v") > 8}).orderBy("year").collect()
     assert [tuple(x) for x in a] == [tuple(x) for x in b] == [(2000, 2, 2, 1, 1.0, 0.5, 0.5), (2001, 1, 0, 0, 0.0, None, 0.0)]
+
+
+def test_radius_search_near_the_pole(spark):
+    rng = random.Random(5)
+    pts = [(i, rng.uniform(78, 89.9) * rng.choice([-1, 1]), rng.uniform(-20, 20)) for i in range(60)] + [(60, 85.0, 10.0)]
+    cells = [(i, la + rng.uniform(-0.03, 0.03), lo + rng.uniform(-1, 1)) for i, la, lo in pts[:60]] + [(60, 85.0, 10.5)]
+    p, g = spark.createDataFrame(pts, "id int, lat double, lon double"), spark.createDataFrame(cells, "cell int, glat double, glon double")
+    got = {r.id: r.cell for r in S.nearest_cell_planar(p, g, lat="lat", lon="lon", glat="glat", glon="glon", cell=["cell"], lon_scale=None, max_km=5).collect()}
+    want = {}
+    for i, la, lo in pts:
+        near = min((math.hypot(y - la, (x - lo) * math.cos(math.radians(la))), c) for c, y, x in cells)
+        want[i] = near[1] if near[0] <= 5 / 111 else None
+    assert got == want and got[60] == 60

@@ -52,7 +52,7 @@ def nearest_cell_planar(points: DataFrame, grid: DataFrame, *, lat: str, lon: st
                         first_width: float = 0.01, mask: Column | None = None) -> DataFrame:
     """Nearest cell by scaled degree distance; ``lon_scale=None`` uses the cosine of the point's latitude.
 
-    With ``max_km`` one bucket pass of that width is enough. Without it, one cell per occupied bucket of a
+    With ``max_km`` one bucket pass is enough; longitude buckets widen with the latitude, so no match is lost near the poles. Without it, one cell per occupied bucket of a
     pyramid of widths gives each point an upper bound on its distance; the pyramid level just wider than that
     bound then holds the answer in nine buckets. Candidates per point follow the local cell density.
     """
@@ -65,10 +65,19 @@ def nearest_cell_planar(points: DataFrame, grid: DataFrame, *, lat: str, lon: st
     dist = F.sqrt(F.pow(F.col("g_lat") - F.col("p_lat"), 2) + F.pow((F.col("g_lon") - F.col("p_lon")) * F.col("k"), 2))
 
     if max_km is not None:
-        floor_k = 0.25 if lon_scale is None else min(float(lon_scale), 1.0)
         limit = max_km / KM_PER_DEGREE
-        b = p.withColumns({"by": F.floor(F.col("p_lat") / F.lit(limit / floor_k)), "bx": F.floor(F.col("p_lon") / F.lit(limit / floor_k))})
-        c = b.join(_spread(g, limit / floor_k), ["by", "bx"])
+
+        def lon_width(by: Column) -> Column:
+            """Longitudes within reach of any point of a latitude bucket: limit over the least factor in it."""
+            edge = F.least(F.greatest(F.abs(by * limit), F.abs((by + 1) * limit)), F.lit(90.0))
+            least = F.cos(F.radians(edge)) if lon_scale is None else F.lit(min(float(lon_scale), 1.0))
+            return F.lit(limit * (1 + 1e-9)) / F.greatest(least, F.lit(1e-12))
+
+        b = p.withColumn("by", F.floor(F.col("p_lat") / limit))
+        b = b.withColumn("bx", F.floor(F.col("p_lon") / lon_width(F.col("by"))))
+        c = g.withColumn("by", F.explode(F.array(*[F.floor(F.col("g_lat") / limit) + i for i in (-1, 0, 1)])))
+        at = F.floor(F.col("g_lon") / lon_width(F.col("by")))
+        c = b.join(c.withColumn("bx", F.explode(F.array(at - 1, at, at + 1))), ["by", "bx"])
         best = c.groupBy("p_lat", "p_lon").agg(F.min(F.struct(dist.alias("d"), "cell")).alias("m")).where(F.col("m.d") <= limit)
     else:
         n_levels = 1
