@@ -76,6 +76,21 @@ def test_superminhash_estimates_similarity():
     assert parts.max() < 512 and near_duplicates.superminhash(x[:0], np.array([0, 0]), 8).shape == (1, 8)
 
 
+def test_odd_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 50, 300, 5000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.concatenate([x[n // 5 :], rng.integers(0, 1 << 63, n // 7).astype(np.uint64)])
+        odd = near_duplicates.odd_sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        apart = int(np.bitwise_count(odd[0] ^ odd[1]).sum())
+        assert apart <= n // 5 + n // 7 and (n != 300 or apart > 85)
+
+
+def test_shared_folder_without_setting(spark):
+    folder = shared_folder(spark)
+    assert folder and folder == shared_folder(spark)
+
+
 def test_encoding_equals_the_library():
     from tokenizers import Tokenizer
 

@@ -46,12 +46,14 @@ def _ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors reach, named by ``spark.checkpoint.dir``; only a local session may lack it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
+    if named:
+        return named
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        named = tempfile.mkdtemp(prefix="spark-llm-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-llm-", dir="/tmp"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,10 +4,12 @@ Documents with equal shingle sets are one node. Signatures are banded, and the m
 full sets, but never two that are known to be in one group:
 
 * every member is compared with one centre, the member of least doc_id. Links found so far are grouped by union-find;
-* buckets whose members are not all grouped yet are then compared in full between groups. Four tests come before
+* buckets whose members are not all grouped yet are then compared in full between groups. Five tests come before
   the sets are read: a pair counts in its first common band only; the sizes must allow the similarity; the Jaccard distance is a metric, so
-  distances from the centre may not differ by more than the threshold; and at most MAX_DIFFERENT signature components may
-  differ, each known by four bits (a pair at the threshold fails this with probability below 4e-6).
+  distances from the centre may not differ by more than the threshold; the odd sketches (the parity of the number of shingles in each of
+  ODD_BITS cells) may differ in no more cells than the sets may in shingles, which never rejects a link; and at most MAX_DIFFERENT
+  signature components may differ, each known by four bits (a pair at the threshold fails this with probability below 4e-6). The last
+  test is for long texts, whose differences fill the odd sketch.
 
 No bucket, however large, is skipped or cut.
 """
@@ -30,6 +32,7 @@ BANDS, ROWS = 50, 5  # a pair at the threshold of 0.75 is missed with probabilit
 PLANES = 4  # bits of each signature component that are compared before the sets
 #: Of 250 components of which three quarters agree, 59 differ on average, standard deviation 6.7 at most; this is 4.5 of them more.
 MAX_DIFFERENT = 88
+ODD_BITS = 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,23 +93,25 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signatures(bands: int, rows: int):
-    kind = pa.struct([("n_shingles", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    kind = pa.struct([("n_shingles", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<n_shingles: long, node: binary, keys: array<long>, bits: array<long>>")
+    @F.arrow_udf("struct<n_shingles: long, node: binary, keys: array<long>, bits: array<long>, odd: array<long>>")
     def run(texts: pa.Array) -> pa.Array:
-        n, nodes, keys, bits = [], [], [], []
+        n, nodes, keys, bits, odd = [], [], [], [], []
         for part in batches(texts.to_pylist(), lower=True):
             b = Batch(part, SPACED)
             sets = [shingle_set(b.h[b.first[d] : b.first[d + 1]]) for d in range(len(part))]
             sizes = [len(s) for s in sets]
             flat = np.concatenate(sets)
-            sig = superminhash(flat, np.cumsum([0, *sizes]), bands * rows)
+            first = np.cumsum([0, *sizes])
+            sig = superminhash(flat, first, bands * rows)
             keys.append(band_keys(sig, bands, rows))
             bits.append(bit_planes(sig))
+            odd.append(odd_sketches(flat, first))
             n += sizes
             # The node is the set: two independent sums over its shingles.
             nodes += [np.array([mix(s).sum(), mix(s ^ GOLDEN).sum()], np.uint64).tobytes() if len(s) else None for s in sets]
-        lists = [_lists(keys, len(n)), _lists(bits, len(n))]
+        lists = [_lists(x, len(n)) for x in (keys, bits, odd)]
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), *lists], fields=list(kind))
 
     return run
@@ -119,6 +124,17 @@ def bit_planes(sig: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
 
 
+def odd_sketches(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements of each set in each of ODD_BITS cells, packed into longs.
+
+    Two sets that differ in d elements have sketches that differ in d cells at most.
+    """
+    counts = np.diff(first)
+    cell = (mix(elements + GOLDEN) % np.uint64(ODD_BITS)).astype(np.int64)
+    held = np.bincount(np.repeat(np.arange(len(counts)), counts) * ODD_BITS + cell, minlength=len(counts) * ODD_BITS)
+    return np.packbits((held & 1).astype(np.uint8).reshape(len(counts), ODD_BITS), axis=1).view(np.int64)
+
+
 def _lists(parts: list[np.ndarray], n: int) -> pa.Array:
     flat = np.concatenate(parts) if parts else np.empty((0, 1), np.int64)
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.reshape(-1)))
@@ -208,7 +224,7 @@ def _open(buckets: DataFrame) -> DataFrame:
 def find_links(nodes: DataFrame, sets_of, share: int = 75) -> DataFrame:
     """Enough verified links (a, b) to give the groups of all pairs with 100 * common >= ``share`` * all.
 
-    ``nodes`` has node, first (an order that puts likely originals first), size, keys (one per band) and bits; ``sets_of``
+    ``nodes`` has node, first (an order that puts likely originals first), size, keys (one per band), bits and odd; ``sets_of``
     gives (node, set) for the nodes of a table.
     """
     limit = 1 - share / 100 + 1e-9
@@ -224,14 +240,16 @@ def find_links(nodes: DataFrame, sets_of, share: int = 75) -> DataFrame:
 
     far = star.join(seen.select("a", "b", (1 - F.col("common") / F.col("all")).alias("far")), ["a", "b"]).select("key", "band", "node", "far")
     rest = far.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialize(_open(rest).join(nodes.select("node", "size", "keys", "bits"), "node"), "rest")
+    rest = materialize(_open(rest).join(nodes.select("node", "size", "keys", "bits", "odd"), "node"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     close = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     close &= F.abs(F.col("x.far") - F.col("y.far")) <= limit
     close &= F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * share
     words = -(-BANDS * ROWS // 64)
-    apart = lambda i: F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))
-    differ = sum(F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), [apart(plane * words + i) for plane in range(PLANES)])) for i in range(words))
+    apart = lambda name, i: F.get(f"x.{name}", F.lit(i)).bitwiseXOR(F.get(f"y.{name}", F.lit(i)))
+    odd = sum(F.bit_count(apart("odd", i)) for i in range(ODD_BITS // 64))
+    close &= odd * (100 + share) <= (F.col("x.size") + F.col("y.size")) * (100 - share)
+    differ = sum(F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), [apart("bits", plane * words + i) for plane in range(PLANES)])) for i in range(words))
     close &= F.coalesce(differ, F.lit(0)) <= MAX_DIFFERENT
     earlier = lambda side: F.slice(f"{side}.keys", F.lit(1), F.col("x.band"))  # noqa: E731  the bands before this one
     close &= ~F.arrays_overlap(earlier("x"), earlier("y"))
@@ -250,7 +268,7 @@ def near_duplicates(docs: DataFrame, share: int = 75, bands: int = BANDS, rows:
     seen = materialize(keyed.select("doc_id", "_key", "s.*"), "signatures")
     some = seen.where(F.col("node").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
-    nodes = materialize(some.groupBy("node").agg(F.min(order).alias("first"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes")
+    nodes = materialize(some.groupBy("node").agg(F.min(order).alias("first"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("odd").alias("odd")), "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         own = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"))
