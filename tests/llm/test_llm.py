@@ -82,7 +82,7 @@ def test_odd_sketches_never_exceed_the_difference():
         x = rng.integers(0, 1 << 63, n).astype(np.uint64)
         y = np.concatenate([x[n // 5 :], rng.integers(0, 1 << 63, n // 7).astype(np.uint64)])
         odd = near_duplicates.odd_sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
-        apart = int(np.bitwise_count(odd[0] ^ odd[1]).sum())
+        apart = int(np.bitwise_count((odd[0] ^ odd[1]).view(np.uint64)).sum())
         assert apart <= n // 5 + n // 7 and (n != 300 or apart > 85)
 
 
