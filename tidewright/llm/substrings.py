@@ -165,11 +165,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     keyed = docs.select("doc_id", "text", _key().alias("_key"))
     seg = keyed.select(large, "_key", F.explode(_segments(window, anchor)("text")).alias("s")).select("_doc", "_key", "s.*")
     seg = materialize(seg, "segments")
+    # The aggregates are written before they are joined: only a join right above its shuffles is split at a hot anchor.
     shared = seg.groupBy("anchor").agg(F.min("_doc").alias("a"), F.max("_doc").alias("b")).where("a < b").select("anchor")
+    shared = materialize(shared, "anchors")
     seg = materialize(seg.join(shared, "anchor", "left_semi"), "shared")
 
-    first = seg.groupBy("anchor", "digest").agg(F.min("_doc").alias("first"))
-    several = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    first = materialize(seg.groupBy("anchor", "digest").agg(F.min("_doc").alias("first")), "first")
+    several = materialize(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
     seg = materialize(seg.join(first, ["anchor", "digest"]), "classes")
     whole = seg.where(F.col("_doc") > F.col("first")).select("_doc", "_key", "lo", "hi")
 
@@ -180,6 +182,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     parts = texts.select("_doc", "_key", F.explode(_windows(window)("text", "ranges")).alias("w")).select("_doc", "_key", "w.*")
     parts = materialize(parts, "windows")
     least = parts.groupBy("anchor", "digest").agg(F.min("_doc").alias("a"), F.max("_doc").alias("b")).where("a < b").select("anchor", "digest", F.col("a").alias("first"))
+    least = materialize(least, "least")
     more = parts.join(least, ["anchor", "digest"]).where(F.col("_doc") > F.col("first"))
     found = whole.unionByName(more.select("_doc", "_key", F.col("start").alias("lo"), F.col("start").alias("hi")))
     return found.groupBy("_doc", "_key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
