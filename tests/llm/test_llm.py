@@ -158,6 +158,41 @@ def test_quality_counts(docs, rows):
         assert r.base_failed == (len(w) < 50 or 100 * len(repeat) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+@pytest.mark.parametrize("lang", ["en", "xx"])
+def test_quality_with_a_third_of_junk(spark, lang):
+    """Junk in a third of the rows, among it one very long text, is still rejected, and the verdict is that of brute force."""
+    rng = random.Random(3)
+    shares = {w: n for w, n in zip(quality.COMMON["en"], quality.REFERENCES["en"][1])}
+    made = lambda: "".join(rng.choice("bcdfgklmnprstz") + rng.choice("aeiou") for _ in range(rng.randint(2, 3)))
+
+    def text(common, n):
+        return " ".join(rng.choices(list(shares), shares.values())[0] if rng.random() < common else made() for _ in range(n)) + "."
+
+    texts = [text(0.25, 400) for _ in range(40)] + [text(0.0, 400) for _ in range(19)] + [text(0.0, 60_000)]
+    texts += texts[-2:-1] * 30  # copies have one vote
+    df = ready(spark).createDataFrame([(i, t, lang) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.judge(df).where("kept").collect()}
+    seen = {r.doc_id: r for r in quality.measure(df).collect()}
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}.values()
+
+    def reference(k, h):
+        if lang in quality.REFERENCES:
+            return quality.REFERENCES[lang][k]
+        votes = [[int(x * quality.GRAIN / sum(getattr(seen[i], h)) + 0.5) for x in getattr(seen[i], h)] for i in first]
+        return [sorted(v)[(len(v) - 1) // 2] for v in zip(*votes)]
+
+    def distance(a, b):
+        p, q = np.array(a) / sum(a), np.array(b) / sum(b)
+        half = lambda x: sum(v * np.log2(v / m) for v, m in zip(x, (p + q) / 2) if v)
+        return ((half(p) + half(q)) / 2) ** 0.5
+
+    refs = [reference(0, "h_classes"), reference(1, "h_common")]
+    good = {i for i, r in seen.items() if distance(r.h_classes, refs[0]) <= quality.MAX_CLASSES and distance(r.h_common, refs[1]) <= quality.MAX_COMMON}
+    assert not any(r.base_failed for r in seen.values()) and kept == good
+    if lang == "en":
+        assert kept == set(range(40))
+
+
 def test_scores_alike_both_ways(spark, docs):
     good = docs.where("doc_id % 2 = 0").select("doc_id")
     a, b = (got(lm_scores.score(docs, good, n)) for n in (10**6, 0))
