@@ -1,6 +1,7 @@
 """Calendars, event timing and windows on small hand-made cases."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,11 @@ def test_padded_mean(spark):
 def test_nearest_level(spark):
     r = spark.createDataFrame([(1.0,), (2.0,), (9.0,), (None,)], "z double").select(J.nearest_level(F.col("z"), [0.0, 2.0, 4.0]).alias("l")).collect()
     assert [x.l for x in r] == [0.0, 2.0, 4.0, None]
+
+
+def test_weeks_are_blanked_by_value_not_by_row_count(spark):
+    from tidewright.plans.onsets import weekly
+
+    rows = [("A", D(1995, 1, 1), 10.0)] * 30 + [("A", D(1995, 1, 9), 20.0), ("A", D(1995, 1, 17), 0.01), ("A", D(1995, 1, 25), None)]
+    items = spark.createDataFrame(rows, "l_returnflag string, l_shipdate date, l_extendedprice double")
+    assert {r.week: r.v for r in weekly(SimpleNamespace(lineitem=items)).collect()} == {0: 10.0, 1: 20.0, 2: None, 3: None}
