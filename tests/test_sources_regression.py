@@ -99,6 +99,20 @@ def design(rows, factors=("year", "station", "net"), poly=3, night=True):
     return np.column_stack(cols)
 
 
+def test_year_grids_are_written_whole(spark):
+    from tidewright.plans import REGISTRY
+    from tidewright.plans.base import Tables
+    from tidewright.plans.calendars import year_grid
+
+    folder = "/root/testdata/sf0.001"
+    want = {(r.year, r.row + 1, r.col + 1): r.value for r in year_grid(Tables(spark, folder)).collect()}
+    cells = {(r.year, r.row, r.col): r.value for r in REGISTRY["asc_parse"].run(spark, folder).collect()}
+    assert set(want) <= set(cells) and len(cells) == 700 and cells == pytest.approx({k: want.get(k, -9999) for k in cells})
+    assert {(r.ncols, r.nrows) for r in REGISTRY["asc_headers"].run(spark, folder).collect()} == {(10, 10)}
+    cube = {(r.year, r.row, r.col): (r.lat, r.value) for r in REGISTRY["grid_cube"].run(spark, folder).collect()}
+    assert set(cube) == set(cells) and all(v == (pytest.approx(48 + (k[1] - 1) / 100), pytest.approx(want.get(k))) for k, v in cube.items())
+
+
 def test_fixed_effects_match_plain_least_squares(spark, rows):
     t = R.Terms(factors=("year", "station", "net"), numeric=("night",), poly=(("x", 3),))
     got = {r.year: r["index"] for r in R.year_index(frame(spark, rows), ["k"], "y", models=[t]).collect()}

@@ -13,7 +13,7 @@ from ..operators import series as SR
 from ..operators import skill as K
 from ..sources import grids as G
 from ..sources import tables as TB
-from .base import Tables, query
+from .base import Tables, query, stage
 from .bindings import CUBE, DAILY_OBS, MODEL_SERIES, PAIRED, cube, daily_obs, model_series, paired, season_sql
 
 BIN_MID = "DATE '2001-01-01' + CAST(least((b-1)*14+8, 365) - 1 AS INTEGER)"
@@ -121,7 +121,7 @@ def first_records(t: Tables):
 
 # ---- text grids -----------------------------------------------------------------------------------------
 
-ASC_HEAD = "ncols 8\nnrows 7\nxllcorner -125.5\nyllcorner 48.0\ncellsize 0.1\nNODATA_value -9999"
+ASC_HEAD = "ncols %d\nnrows %d\nxllcorner -125.5\nyllcorner 48.0\ncellsize 0.1\nNODATA_value -9999\n"
 ASCF = f"""{CUBE}, yr AS (SELECT year, row, col, avg(value) AS value FROM cube GROUP BY 1, 2, 3),
   rows_ AS (SELECT year, row, string_agg(CAST(CAST(round(value + 3e-5, 2) AS DECIMAL(18, 2)) AS VARCHAR), ' ' ORDER BY col) AS line FROM yr WHERE row BETWEEN 1 AND 7 AND col BETWEEN 0 AND 7 GROUP BY 1, 2)"""
 
@@ -137,10 +137,16 @@ def asc_lines(t: Tables):
 
 
 def asc_texts(t: Tables):
-    lines = G.asc_lines(year_grid(t), ["year"], row_range=(1, 7), col_range=(0, 7))
+    """One text per year with all rows and columns of the grid; cells without a value hold the header's NODATA_value."""
+    g = stage(year_grid(t))
+    size = g.agg(F.max("row").alias("r"), F.max("col").alias("c"))
+    cells = size.select(F.explode(F.sequence(F.lit(0), "r")).alias("row"), "c").select("row", F.explode(F.sequence(F.lit(0), "c")).alias("col"))
+    full = g.select("year").distinct().crossJoin(cells).join(g, ["year", "row", "col"], "left")
+    lines = G.asc_lines(full, ["year"], fill=-9999)
     body = lines.groupBy("year").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     name = F.concat(F.lit("/in/price_"), F.col("year"), F.lit("_02.asc"))
-    return body.select(name.alias("file"), F.concat(F.lit(ASC_HEAD + "\n"), F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("text"))
+    head = F.format_string(ASC_HEAD, F.size(F.split(F.col("l")[0].line, " ")), F.size("l"))
+    return body.select(name.alias("file"), F.concat(head, F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("text"))
 
 
 @query("asc_parse", "var:s year:i step:i row:i col:i value:f2", f"{ASCF}, final AS (SELECT 'price' AS var, year, 1 AS step, row, col + 1 AS col, value FROM yr WHERE row BETWEEN 1 AND 7 AND col BETWEEN 0 AND 7)", covers="SRC-01 SRC-02")
@@ -156,7 +162,8 @@ def asc_headers(t: Tables):
 @query("grid_cube", "year:i row:i col:i lat:f2 value:f2", f"""{ASCF}, g AS (SELECT p_partkey % 10 AS row, (p_partkey // 10) % 10 AS col, min(48.0 + (p_partkey % 10)/100) AS lat FROM part GROUP BY 1, 2),
   final AS (SELECT year, row, col, lat, value FROM (SELECT year, row, col + 1 AS col, value FROM yr WHERE row BETWEEN 1 AND 7 AND col BETWEEN 0 AND 7) JOIN g USING (row, col))""", covers="SRC-05 SRC-04")
 def grid_cube(t: Tables):
-    g = t.part.groupBy((F.col("p_partkey") % 10).cast("int").alias("row"), (F.floor(F.col("p_partkey") / 10) % 10).cast("int").alias("col")).agg(
+    # 1-based codes, as a text grid is read.
+    g = t.part.groupBy((F.col("p_partkey") % 10 + 1).cast("int").alias("row"), (F.floor(F.col("p_partkey") / 10) % 10 + 1).cast("int").alias("col")).agg(
         F.min(F.lit(48.0) + (F.col("p_partkey") % 10) / 100).alias("lat"))
     return G.build_cube(G.with_step(G.parse_asc(asc_texts(t))), g)
 
