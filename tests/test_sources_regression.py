@@ -144,6 +144,25 @@ def test_rank_deficient_design_gets_minimum_norm(spark, rows):
     assert r["copy"].effect == pytest.approx(r["night"].effect) and r["(1)"].rank == r["(1)"].n_terms - 1
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_absorbed_factor_matches_the_dense_fit(spark, rows, keys):
+    d = frame(spark, rows)
+    t = R.Terms(factors=("year", "station", "net"), numeric=("night",), poly=(("x", 3),))
+    want = {r.level: r for r in R.factor_effects(R.fit_terms(d, keys, "y", [t]), keys, "station").collect()}
+    got = {r.level: r for r in R.absorbed_effects(d, keys, "y", t, "station").collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        assert (got[k].effect, got[k].r2, got[k].n) == (pytest.approx(r.effect, abs=1e-8), pytest.approx(r.r2), r.n)
+
+
+def test_absorbed_factor_of_many_levels(spark):
+    """More levels than the former limit of 4,000 terms."""
+    d = spark.range(20_000).selectExpr("id div 4 AS station", "id % 4 AS year", "(id div 4) % 7 + 2.0D * (id % 4) AS y")
+    got = {int(r.level): r.effect for r in R.absorbed_effects(d, [], "y", R.Terms(factors=("station", "year")), "station").collect()}
+    mean = np.mean([i % 7 for i in range(5000)])
+    assert len(got) == 5000 and all(got[i] == pytest.approx(i % 7 - mean, abs=1e-8) for i in got)
+
+
 def test_term_limit_is_checked(spark, rows):
     with pytest.raises(Exception, match="more than 3"):
         R.fit_terms(frame(spark, rows), ["k"], "y", [R.Terms(factors=("year",))], max_terms=3).collect()

@@ -11,13 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import attach_one, null_safe_join, salted_join, with_group_stats
 
-MAX_TERMS = 4000
-
 
 def _poly_solver(degree: int):
     size = degree + 1
@@ -185,11 +184,12 @@ def _solve_models(g: np.ndarray, names: list[str], models: Sequence[Terms]) -> p
     return pd.concat(out, ignore_index=True)
 
 
-def fit_terms(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[Terms], max_terms: int = MAX_TERMS) -> DataFrame:
+def fit_terms(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[Terms], max_terms: int | None = None) -> DataFrame:
     """Fit several linear models per group in one job; one row per model and term (baseline levels included).
 
     Rows with a missing response or numeric term are left out. The sums of a group are bounded by the square of
-    its number of terms, which is checked before solving. The first level of a factor in text order is the
+    its number of terms, so a factor whose levels grow with the data belongs in ``absorbed_effects``; ``max_terms``
+    checks the number before solving. The first level of a factor in text order is the
     baseline with effect 0.
     """
     keys = list(keys)
@@ -198,7 +198,7 @@ def fit_terms(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[Terms
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["i"]) | set(pdf["j"]))
-        if len(names) > max_terms:
+        if max_terms is not None and len(names) > max_terms:
             raise ValueError(f"{len(names)} terms in group {key}: more than {max_terms}")
         pos = {n: i for i, n in enumerate(names)}
         g = np.zeros((len(names), len(names)))
@@ -225,6 +225,57 @@ def factor_effects(fits: DataFrame, keys: Sequence[str], factor: str) -> DataFra
     return f.select(*keys, "model", F.col("level"), (F.col("effect") - F.avg("effect").over(w)).alias("effect"), "r2", "n")
 
 
+def absorbed_effects(df: DataFrame, keys: Sequence[str], y: str, model: Terms, factor: str) -> DataFrame:
+    """``factor_effects`` of one model for a factor of any number of levels; only the other terms are solved densely.
+
+    The between-level part is taken off the sums of the other terms, which leaves their within-level system. A level's
+    effect is its mean response less the other terms' part, and the effects are centred on their unweighted mean.
+    """
+    keys = list(keys)
+    gram = cross_products(df, keys, y, [model]).persist(StorageLevel.MEMORY_AND_DISK)
+    of_i, of_j = (F.startswith(F.col(c), F.lit(f"{factor}=")) for c in ("i", "j"))
+    cross = gram.where(of_i != of_j).select(*keys, F.when(of_i, F.col("i")).otherwise(F.col("j")).alias("level"),
+                                            F.struct(F.when(of_i, F.col("j")).otherwise(F.col("i")).alias("t"), "p").alias("c"))
+    # A level's sums with the other terms; the one with the intercept is its number of rows.
+    levels = cross.groupBy(*keys, "level").agg(F.collect_list("c").alias("c"), F.max(F.when(F.col("c.t") == "(1)", F.col("c.p"))).alias("n_level"))
+    pairs = levels.select(*keys, "n_level", "c", F.explode("c").alias("a")).select(*keys, "n_level", "a", F.explode("c").alias("b"))
+    between = pairs.where("a.t <= b.t").select(*keys, F.col("a.t").alias("i"), F.col("b.t").alias("j"), (F.col("a.p") * F.col("b.p") / F.col("n_level")).alias("b"))
+    rest = gram.where(~of_i & ~of_j).withColumn("b", F.lit(0.0)).unionByName(between.withColumn("p", F.lit(0.0)))
+    rest = rest.groupBy(*keys, "i", "j").agg(F.sum("p").alias("p"), F.sum("b").alias("b"))
+    others = model.without(factor)
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["i"]) | set(pdf["j"]))
+        pos = {n: i for i, n in enumerate(names)}
+        ii, jj = pdf["i"].map(pos).to_numpy(), pdf["j"].map(pos).to_numpy()
+        g, w = np.zeros((2, len(names), len(names)))
+        for m, v in ((g, pdf["p"].to_numpy()), (w, (pdf["p"] - pdf["b"]).to_numpy())):
+            m[ii, jj] = v
+            m[jj, ii] = v
+        use = [n for f in others.factors for n in [n for n in names if n.startswith(f"{f}=")][1:]]
+        use += list(others.numeric) + [f"{c}^{k}" for c, deg in others.poly for k in range(1, deg + 1)]
+        k, yi, one = [pos[n] for n in use], pos["(y)"], pos["(1)"]
+        xtx, xty = w[np.ix_(k, k)], w[k, yi]
+        # What the levels explain whole is noise beside the raw sum, and gets the effect 0.
+        scale = np.sqrt(np.maximum(np.diag(xtx), 0.0))
+        scale = np.where(scale**2 > 1e-11 * np.diag(g)[k], scale, np.inf)
+        beta = (np.linalg.pinv(xtx / np.outer(scale, scale), rcond=1e-11, hermitian=True) @ (xty / scale)) / scale
+        sse = w[yi, yi] - 2 * beta @ xty + beta @ xtx @ beta
+        sst = g[yi, yi] - g[one, yi] ** 2 / g[one, one]
+        out = {"beta": [dict(zip(use, map(float, beta)))], "r2": [float(1 - sse / sst) if sst > 0 else np.nan], "n": [int(round(g[one, one]))]}
+        return pd.DataFrame({kk: [v] for kk, v in zip(keys, key)} | out)
+
+    schema = ", ".join([*[f"`{k}` {t}" for k, t in gram.dtypes if k in keys], "beta map<string,double>, r2 double, n long"])
+    fits = rest.groupBy(*(keys or [F.lit(1).alias("__all")])).applyInPandas(solve, schema)
+    attach = lambda a, b: null_safe_join(a, b, keys) if keys else attach_one(a, b)
+    part = lambda x: F.when(x.t == "(y)", x.p).otherwise(-x.p * F.coalesce(F.try_element_at("beta", x.t), F.lit(0.0)))
+    e = attach(levels, fits)
+    e = e.withColumn("effect", F.aggregate("c", F.lit(0.0), lambda s, x: s + part(x)) / F.col("n_level"))
+    e = attach(e, e.groupBy(*keys).agg(F.avg("effect").alias("__mean")))
+    return e.select(*keys, F.lit(model.name).alias("model"), F.expr(f"substr(level, {len(factor) + 2})").alias("level"),
+                    (F.col("effect") - F.col("__mean")).alias("effect"), "r2", "n")
+
+
 def year_index(df: DataFrame, keys: Sequence[str], y: str, *, year: str = "year", models: Sequence[Terms]) -> DataFrame:
     """Centred year effects for each control set."""
     e = factor_effects(fit_terms(df, keys, y, models), keys, year)

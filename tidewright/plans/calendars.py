@@ -251,8 +251,8 @@ STATION_TERMS = R.Terms(factors=("station", "year", "month"))
 def station_effects(t: Tables):
     d = t.lineitem.select(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
                           F.log10("l_extendedprice").alias("lo"), F.log10(F.col("l_quantity") * 1500 + F.col("l_tax") * 200000).alias("lm"))
-    o = R.factor_effects(R.fit_terms(d, [], "lo", [STATION_TERMS]), [], "station").select("level", F.col("effect").alias("o"))
-    m = R.factor_effects(R.fit_terms(d, [], "lm", [STATION_TERMS]), [], "station").select("level", F.col("effect").alias("m"))
+    o = R.absorbed_effects(d, [], "lo", STATION_TERMS, "station").select("level", F.col("effect").alias("o"))
+    m = R.absorbed_effects(d, [], "lm", STATION_TERMS, "station").select("level", F.col("effect").alias("m"))
     return o.join(m, "level").agg(pearson("o", "m").alias("r"), F.count(F.lit(1)).alias("n"), F.stddev_samp("o").alias("sd_obs"), F.stddev_samp("m").alias("sd_model"))
 
 
