@@ -226,6 +226,15 @@ def test_revisit_edges(spark):
     assert r[2].headers == {"etag": 'W/"e"', "content-type": "t", "date": "2"} and r[2].resolved_id == 1
 
 
+def test_repeated_responses_give_one_row_per_revisit(spark):
+    """Copies of a response neither multiply the revisits of its range nor reach one before it."""
+    tag = {"etag": "e"}
+    rows = [(1, "revisit", "http://a.com/x", 1, tag, None)] + [(2, "response", "http://a.com/x", 2, tag, None)] * 3
+    rows += [(3, "revisit", "http://a.com/x", 3, tag, None), (4, "revisit", "http://a.com/x", 4, tag, None)]
+    df = revisits.resolve(ready(spark).createDataFrame(rows, "record_id long, kind string, url string, ts long, headers map<string,string>, digest string"))
+    assert sorted((r.record_id, r.status, r.resolved_id) for r in df.collect()) == [(1, "no_response", None), (3, "resolved", 2), (4, "resolved", 2)]
+
+
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_sql(spark, name):
     clean = lambda df: canon(df.astype(object).where(df.notna(), None))

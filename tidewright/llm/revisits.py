@@ -59,9 +59,8 @@ def latest_before(records: DataFrame) -> DataFrame:
     order = W.partitionBy("_range", "url").orderBy("ts", "_rank", "record_id").rowsBetween(W.unboundedPreceding, 0)
     here = rows.withColumn("_here", F.last(response, ignorenulls=True).over(order))
     # One row for each URL and range, so at most as many rows of a URL as there are ranges.
-    last = rows.where(valid & (F.col("kind") == "response")).groupBy("url", "_range").agg(F.max(F.struct("ts", "record_id")).alias("_m"))
-    info = rows.select(F.col("url").alias("_u"), F.col("_range").alias("_r"), F.struct("ts", "record_id").alias("_k"), F.struct("ts", "record_id", "info").alias("_last"))
-    last = last.join(info, (F.col("url") == F.col("_u")) & (F.col("_range") == F.col("_r")) & (F.col("_m") == F.col("_k"))).select("url", "_range", "_last")
+    newest = F.max_by(F.struct("ts", "record_id", "info"), F.struct("ts", "record_id"))
+    last = rows.where(valid & (F.col("kind") == "response")).groupBy("url", "_range").agg(newest.alias("_last"))
     ranges = rows.where(valid).select("url", "_range").distinct().join(last, ["url", "_range"], "left")
     before = W.partitionBy("url").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carry = ranges.select("url", "_range", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
