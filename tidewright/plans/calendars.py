@@ -126,6 +126,12 @@ ASCF = f"""{CUBE}, yr AS (SELECT year, row, col, avg(value) AS value FROM cube G
   rows_ AS (SELECT year, row, string_agg(CAST(CAST(round(value + 3e-5, 2) AS DECIMAL(18, 2)) AS VARCHAR), ' ' ORDER BY col) AS line FROM yr WHERE row BETWEEN 1 AND 7 AND col BETWEEN 0 AND 7 GROUP BY 1, 2)"""
 
 
+# The whole grid: a cell without a value in a year holds the header's NODATA_value.
+ASC_FULL = f"""{CUBE}, yr AS (SELECT year, row, col, round(avg(value) + 3e-5, 2) AS value FROM cube GROUP BY 1, 2, 3),
+  axis AS (SELECT year, row, col FROM (SELECT DISTINCT year FROM yr), (SELECT unnest(range(max(row) + 1)) AS row FROM yr), (SELECT unnest(range(max(col) + 1)) AS col FROM yr)),
+  full_ AS (SELECT year, row + 1 AS row, col + 1 AS col, coalesce(value, -9999) AS value FROM axis LEFT JOIN yr USING (year, row, col))"""
+
+
 def year_grid(t: Tables):
     g = cube(t).groupBy("year", "row", "col").agg(F.avg("value").alias("value"))
     return g.withColumn("value", F.round(F.col("value") + 3e-5, 2))
@@ -149,18 +155,18 @@ def asc_texts(t: Tables):
     return body.select(name.alias("file"), F.concat(head, F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("text"))
 
 
-@query("asc_parse", "var:s year:i step:i row:i col:i value:f2", f"{ASCF}, final AS (SELECT 'price' AS var, year, 1 AS step, row, col + 1 AS col, value FROM yr WHERE row BETWEEN 1 AND 7 AND col BETWEEN 0 AND 7)", covers="SRC-01 SRC-02")
+@query("asc_parse", "var:s year:i step:i row:i col:i value:f2", f"{ASC_FULL}, final AS (SELECT 'price' AS var, year, 1 AS step, row, col, value FROM full_)", covers="SRC-01 SRC-02")
 def asc_parse(t: Tables):
     return G.with_step(G.parse_asc(asc_texts(t)))
 
 
-@query("asc_headers", "file:s ncols:i nrows:i xllcorner:f2 yllcorner:f2 cellsize:f2 nodata_value:f0", f"{ASCF}, final AS (SELECT DISTINCT '/in/price_' || year || '_02.asc' AS file, 8 AS ncols, 7 AS nrows, -125.5 AS xllcorner, 48.0 AS yllcorner, 0.1 AS cellsize, -9999 AS nodata_value FROM rows_)", covers="SRC-01")
+@query("asc_headers", "file:s ncols:i nrows:i xllcorner:f2 yllcorner:f2 cellsize:f2 nodata_value:f0", f"{ASC_FULL}, final AS (SELECT '/in/price_' || year || '_02.asc' AS file, max(col) AS ncols, max(row) AS nrows, -125.5 AS xllcorner, 48.0 AS yllcorner, 0.1 AS cellsize, -9999 AS nodata_value FROM full_ GROUP BY year)", covers="SRC-01")
 def asc_headers(t: Tables):
     return G.asc_header(asc_texts(t))
 
 
-@query("grid_cube", "year:i row:i col:i lat:f2 value:f2", f"""{ASCF}, g AS (SELECT p_partkey % 10 AS row, (p_partkey // 10) % 10 AS col, min(48.0 + (p_partkey % 10)/100) AS lat FROM part GROUP BY 1, 2),
-  final AS (SELECT year, row, col, lat, value FROM (SELECT year, row, col + 1 AS col, value FROM yr WHERE row BETWEEN 1 AND 7 AND col BETWEEN 0 AND 7) JOIN g USING (row, col))""", covers="SRC-05 SRC-04")
+@query("grid_cube", "year:i row:i col:i lat:f2 value:f2", f"""{ASC_FULL}, g AS (SELECT p_partkey % 10 + 1 AS row, (p_partkey // 10) % 10 + 1 AS col, min(48.0 + (p_partkey % 10)/100) AS lat FROM part GROUP BY 1, 2),
+  final AS (SELECT year, row, col, lat, CASE WHEN value NOT IN (-9999, 0) THEN value END AS value FROM full_ JOIN g USING (row, col))""", covers="SRC-05 SRC-04")
 def grid_cube(t: Tables):
     # 1-based codes, as a text grid is read.
     g = t.part.groupBy((F.col("p_partkey") % 10 + 1).cast("int").alias("row"), (F.floor(F.col("p_partkey") / 10) % 10 + 1).cast("int").alias("col")).agg(
