@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, lm_scores, near_duplicates, quality, revisits, sharding, substrings, token_counts
+from . import alignment, bpe, chat, decontamination, lm_scores, near_duplicates, quality, revisits, sharding, substrings, token_counts
 from .common import read, shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 MAX_TOKENS = 1024
 SHARDS = 40
 
@@ -68,11 +69,15 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(read(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat, op2_decontamination, op3_bpe, op4_substrings, op5_sharding, op6_near_duplicates, op7_lm_scores, op8_quality, op9_revisits,
-        op10_token_counts,
+        op10_token_counts, op12_alignment,
     )
 }
 SQL: dict[str, str] = {"op1_chat": chat.SQL, "op9_revisits": revisits.SQL}
