@@ -16,6 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,11 +28,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.joins import salted_join
-from .bpe import byte_letters
+from .bpe import KEPT_PIECES, NARROW, PRETOKEN, WIDE, byte_letters
 from .common import materialize, text_or_empty
 
 BLOCK = 256  # ends of the shorter list that are looked up together
-BATCH_CHARS = 1 << 20  # characters encoded at once
+BATCH_CHARS = 1 << 20  # characters handled together
+UNIT = re.compile(" +[^ ]*")
 BROADCAST_PAIRS = 2_000_000  # rows of the count table that are sent to workers: 24 bytes each
 
 
@@ -64,8 +68,38 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
     return (other, mine, cut_long, cut_short) if swap else (mine, other, cut_short, cut_long)
 
 
+class Known:
+    """Packed ids of pieces that no merge leaves. Two generations bound its size: what is still in use moves to the young one."""
+
+    def __init__(self, encode_many):
+        self.encode_many, self.young, self.old = encode_many, {}, {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the pieces not seen lately, many at once; must precede :meth:`ids` for these texts."""
+        if len(self.young) >= KEPT_PIECES:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for piece in {p for pieces in texts for p in pieces if p not in young}:
+            if (found := old.get(piece)) is None:
+                new.append(piece)
+            else:
+                young[piece] = found
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            for piece, ids in zip(part, self.encode_many(part)):
+                young[piece] = array("i", ids).tobytes()
+
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.young.__getitem__, pieces)), np.int32)
+
+
 class Pair:
-    """The two tokenizers with the bytes of their tokens: A of the ``tokenizers`` library, B of ``sentencepiece``."""
+    """The two tokenizers with the bytes of their tokens: A of the ``tokenizers`` library, B of ``sentencepiece``.
+
+    The libraries encode pieces that no merge leaves, each once for a worker: pretokens for A, spaces with the word that follows
+    for B, none of whose pieces has a space after another character (the constructor checks it).
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import json
@@ -88,23 +122,32 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if any(" " in x.lstrip(b" ").decode(errors="replace") for x in self.bytes_b if len(x) > 1):
+            raise ValueError(f"a piece of {path_b} holds a space after another character")
+        self.space = self.b.piece_to_id("▁")
+        self.known_a = Known(lambda many: (x.ids for x in self.a.encode_batch_fast(many, add_special_tokens=False)))
+        self.known_b = Known(self._encode_units)
         self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         names_a, names_b = ([str(i) for i in range(len(side))] for side in (self.bytes_a, self.bytes_b))
         #: Each id as text followed by a comma, then by the mark that ends its side of a group.
         self.text_a = [x + "," for x in names_a] + [x + "|" for x in names_a]
         self.text_b = [x + "," for x in names_b] + [x + ";" for x in names_b]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    def _encode_units(self, units: list[str]) -> list[list[int]]:
+        """Ids of spaces with a word; the library puts the first space in front itself, but nothing for an empty text."""
+        return [ids or [self.space] for ids in self.b.encode([u[1:] for u in units], num_threads=1)]
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides; None for an empty text or where a side's bytes are not those of space and text."""
-        out: list = []
-        found_a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        found_b = self.b.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, found_a, found_b):
-            a = a.ids
-            data = (" " + text).encode()
-            same = text and b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
-            out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
-        return out
+        wholes = [" " + t if t and "▁" not in t else "" for t in texts]  # B's mark of a space comes back as a space
+        pieces_a = [(PRETOKEN if WIDE.search(t) else NARROW).findall(t) for t in wholes]
+        pieces_b = [UNIT.findall(t) for t in wholes]
+        self.known_a.learn(pieces_a)
+        self.known_b.learn(pieces_b)
+        for whole, parts_a, parts_b in zip(wholes, pieces_a, pieces_b):
+            a, b, data = self.known_a.ids(parts_a), self.known_b.ids(parts_b), whole.encode()
+            same = data and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == data and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == data
+            yield (a.astype(np.int64), b.astype(np.int64)) if same else None
 
     def groups_text(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group, A before B."""
@@ -135,7 +178,7 @@ ALIGNED = "struct<n_a: long, n_b: long, n_groups: long, n_links: long, groups_sh
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _bounded(texts: list[str]):
+def batches(texts: list[str]) -> Iterator[list[str]]:
     """Consecutive texts of about BATCH_CHARS characters together; a longer text comes alone."""
     part, size = [], 0
     for t in texts:
@@ -159,7 +202,7 @@ def _aligned(path_a: str, path_b: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         pair = pair_of(path_a, path_b)
         numbers, digests, all_keys, all_times = [], [], [], []
-        for part in _bounded(texts.to_pylist()):
+        for part in batches(texts.to_pylist()):
             for found in pair.encode(part):
                 keys = times = np.empty(0, np.int64)
                 if found is None:
