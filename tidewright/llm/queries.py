@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, decontamination, lm_scores, near_duplicates, quality, revisits, sharding, substrings, token_counts
+from . import alignment, bpe, chat, decontamination, lm_scores, near_duplicates, quality, quality_classifier, revisits, sharding, substrings, token_counts
 from .common import read, shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -73,11 +73,16 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(read(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
 
 
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.train_and_classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat, op2_decontamination, op3_bpe, op4_substrings, op5_sharding, op6_near_duplicates, op7_lm_scores, op8_quality, op9_revisits,
         op10_token_counts, op12_alignment,
+        op13_quality_classifier,
     )
 }
 SQL: dict[str, str] = {"op1_chat": chat.SQL, "op9_revisits": revisits.SQL}
