@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, decontamination, lm_scores, near_duplicates, quality, quality_classifier, revisits, sharding, substrings, token_counts
+from . import alignment, bpe, chat, conversation_trie, decontamination, lm_scores, near_duplicates, quality, quality_classifier, revisits, sharding, substrings, token_counts
 from .common import read, shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read(spark, folder, "conversations"))
+
+
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(read(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
 
@@ -81,8 +85,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat, op2_decontamination, op3_bpe, op4_substrings, op5_sharding, op6_near_duplicates, op7_lm_scores, op8_quality, op9_revisits,
-        op10_token_counts, op12_alignment,
+        op10_token_counts, op11_conversation_trie, op12_alignment,
         op13_quality_classifier,
     )
 }
-SQL: dict[str, str] = {"op1_chat": chat.SQL, "op9_revisits": revisits.SQL}
+SQL: dict[str, str] = {"op1_chat": chat.SQL, "op9_revisits": revisits.SQL, "op11_conversation_trie": conversation_trie.SQL}
