@@ -249,7 +249,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("_y"), F.max("quality").alias("_y2"))
     known = known.where("_y = _y2").select(F.col("doc_id").alias("_id"), "_y")
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # at most max_rows ids
     # Of the copies of an id only the first counts, so that the sample stays bounded before its texts are measured.
     rows = rows.groupBy("_id", "_y").agg(F.min("text").alias("text"))
     got = rows.select("_id", "_y", _features_column()(text_or_empty()).alias("x")).orderBy("_id").toArrow()
