@@ -80,3 +80,68 @@ def near_duplicates(docs, share=75):
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return [(d, len(s), find(d), find(d) == d) for d, s in sets.items()]
+
+
+def prefix_trie(rows):
+    """Nodes of the rebuilt conversations from (conv_id, turn, role, text) rows."""
+    import zlib
+
+    conv = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            conv[c].append((turn is not None, turn or 0, sha(f"{len(role)}:{role}{text}"), role, text))
+    conv = {c: [v[3:] for v in sorted(turns)] for c, turns in conv.items()}
+    built = {}
+    for c, turns in conv.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        built[c] = conv.get(c - c % 20, [])[:h] + turns[h:]
+    members, children = defaultdict(list), defaultdict(int)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    for path in members:
+        if path:
+            children[path[:-1]] += 1
+    below = {path: [0, 0] for path in members}
+    for path, held in members.items():
+        n = len(words(path[-1][1])) if path else 0
+        for d in range(len(path) + 1):
+            below[path[:d]][0] += (len(held) - 1) * n
+            below[path[:d]][1] += path not in children
+    return [
+        (min(held), len(path), min(members[path[:-1]]) if path else None, len(held), children.get(path, 0), below[path][1], below[path][0],
+         sha(",".join(str(c) for c in sorted(held) if len(built[c]) == len(path))))
+        for path, held in members.items()
+    ]
+
+
+def alignment(texts, pair):
+    """Per text: n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, from the whole encodings of the two libraries."""
+    found, total = [], defaultdict(int)
+    for text in texts:
+        a, b = pair.a.encode(" " + (text or ""), add_special_tokens=False).ids, pair.b.encode(text or "")
+        parts = [[pair.bytes_a[i] for i in a], [pair.bytes_b[i] for i in b]]
+        if not text or any(b"".join(p) != (" " + text).encode() for p in parts):
+            found.append(None)
+            continue
+        ends = [[sum(map(len, p[: i + 1])) for i in range(len(p))] for p in parts]
+        spans = [list(zip([0, *e], e)) for e in ends]
+        links = [(a[i], b[j]) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if x[0] < y[1] and y[0] < x[1]]
+        common = sorted(set(ends[0]) & set(ends[1]))
+        groups, i, j = [], 0, 0
+        for end in common:
+            i2, j2 = ends[0].index(end) + 1, ends[1].index(end) + 1
+            groups.append(",".join(map(str, a[i:i2])) + "|" + ",".join(map(str, b[j:j2])))
+            i, j = i2, j2
+        for link in links:
+            total[link] += 1
+        found.append((len(a), len(b), links, groups))
+    top = defaultdict(int)
+    for (_, b), n in total.items():
+        top[b] = max(top[b], n)
+    return [
+        (0, 0, 0, 0, 0, 0, "") if f is None else
+        (f[0], f[1], len(f[3]), len(f[2]), sum(total[x] == top[x[1]] for x in f[2]), sum(total[x] for x in f[2]), sha(";".join(f[3])))
+        for f in found
+    ]

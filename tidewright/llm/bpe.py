@@ -249,7 +249,7 @@ def decode_ids(bpe: ByteBpe, ids: np.ndarray, chunk: int = CHUNK) -> str:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", chunk: int = CHUNK) -> DataFrame:
-    """Add the array column ``out`` of token ids; null text gives an empty array. No shuffle, other columns stay."""
+    """Add the array column ``out`` of token ids; null text gives an empty array. No shuffle; a column called ``out`` is replaced, all others stay."""
     return docs.withColumn(out, _encode_column(path, chunk)(F.col(f"`{text}`")))
 
 
@@ -265,7 +265,7 @@ def _encode_column(path: str, chunk: int):
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", chunk: int = CHUNK) -> DataFrame:
-    """Add the column ``out`` with the text of the ids; null ids give null. No shuffle."""
+    """Add the column ``out`` with the text of the ids; null ids give null. No shuffle; a column called ``out`` is replaced."""
 
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:

@@ -71,5 +71,10 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return ready(spark).read.parquet(f"{folder}/{table}.parquet")
 
 
+def row_key(*more: str) -> Column:
+    """A hash of what a row of documents holds, which tells rows of equal doc_id apart; ``more`` names further columns."""
+    return F.xxhash64("doc_id", text_or_empty(), *more)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))

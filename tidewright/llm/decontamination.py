@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 from .words import ALNUM, Batch, batches, grams
 
 WINDOW = 13
@@ -129,8 +129,8 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     distinct = windows.groupBy("text").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
     shingles = distinct.select("text", "size", F.explode("shingles").alias("s")).select("text", "size", F.col("s.at").alias("at"), F.col("s.gram").alias("gram"))
     bloom = spark.sparkContext.broadcast(_bloom(shingles))
-    seen = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", _stretches(bloom, sizes or [SHINGLE])("text").alias("s"))
-    seen = materialize(seen.select("_row", "doc_id", F.col("s.n_words").alias("n_words"), F.col("s.stretches").alias("stretches")), "stretches")
+    seen = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", row_key().alias("row_key"), _stretches(bloom, sizes or [SHINGLE])("text").alias("s"))
+    seen = materialize(seen.select("_row", "doc_id", "row_key", F.col("s.n_words").alias("n_words"), F.col("s.stretches").alias("stretches")), "stretches")
 
     stretch = seen.select("_row", F.explode("stretches").alias("s")).select("_row", F.col("s.start").alias("begin"), F.col("s.text").alias("words"), "s.shingles")
     occ = stretch.select("_row", "begin", F.col("shingles")[F.size("shingles") - 1]["at"].alias("_last"), F.explode("shingles").alias("s"))
@@ -145,7 +145,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     # Each window once per place, whatever shingle sizes led there.
     sure = materialize(sure.select("_row", "start", "size", "window").distinct(), "occurrences")
     owners = windows.select(F.col("text").alias("window"), "item_id").distinct()
-    return seen.select("_row", "doc_id", "n_words"), sure.join(owners, "window").select("_row", "start", "size", "item_id")
+    return seen.select("_row", "doc_id", "row_key", "n_words"), sure.join(owners, "window").select("_row", "start", "size", "item_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
@@ -160,4 +160,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     df = seen.join(hit.join(named, "_row", "left"), "_row", "left")
     n_hit, n_words = F.coalesce("n_hit", F.lit(0)).cast("long"), F.col("n_words").cast("long")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return df.select("doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"), "_row")
+    return df.select("doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"), "_row", "row_key")

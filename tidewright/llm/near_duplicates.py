@@ -7,7 +7,7 @@ full sets, but never two that are known to be in one group:
 * buckets whose members are not all grouped yet are then compared in full between groups. Five tests come before
   the sets are read: a pair counts in its first common band only; the sizes must allow the similarity; the Jaccard distance is a metric, so
   distances from the centre may not differ by more than the threshold; the odd sketches (the parity of the number of shingles in each of
-  ODD_BITS cells) may differ in no more cells than the sets may in shingles, which never rejects a link; and at most MAX_DIFFERENT
+  ODD_BITS cells) may differ in no more cells than the sets may in shingles, which never rejects a link; and at most :func:`most_different`
   signature components may differ, each known by four bits (a pair at the threshold fails this with probability below 4e-6). The last
   test is for long texts, whose differences fill the odd sketch.
 
@@ -18,24 +18,41 @@ from __future__ import annotations
 
 
 from functools import reduce
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 from .words import MASK, SPACED, Batch, batches, grams, mix
 
 SHINGLE = 5
-BANDS, ROWS = 50, 5  # a pair at the threshold of 0.75 is missed with probability (1 - 0.75^5)^50 = 1.3e-6
+MISSED = 1.4e-6  # largest probability that a pair at the threshold shares no band
 PLANES = 4  # bits of each signature component that are compared before the sets
-#: Of 250 components of which three quarters agree, 59 differ on average, standard deviation 6.7 at most; this is 4.5 of them more.
-MAX_DIFFERENT = 88
 ODD_BITS = 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def banding(share: int) -> tuple[int, int]:
+    """Bands and rows for a threshold: the most rows, five at most, with which 150 bands miss a pair at it by MISSED at most;
+    50 bands of 5 for 75. A low threshold needs bands of one row, as many as it takes."""
+    for rows in (5, 4, 3, 2, 1):
+        bands = ceil(log(MISSED) / log(1 - min(share / 100, 1 - 1e-9) ** rows))
+        if bands <= 150 or rows == 1:
+            return bands, rows
+
+
+def most_different(components: int, share: int) -> int:
+    """Components that may look different in a pair at the threshold: the mean and 4.4 standard deviations (88 of 250 for 75).
+
+    The components of SuperMinHash agree with the probability of the similarity and vary less than independent ones.
+    """
+    p = (1 - share / 100) * (1 - 2.0**-PLANES)
+    return int(components * p + 4.4 * sqrt(components * p * (1 - p)))
+
+
 def superminhash(elements: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     """Signatures (sets x size) of the sets ``elements[first[i]:first[i + 1]]``, all sets at once.
 
@@ -166,7 +183,7 @@ def _overlap():
 
 
 def _key() -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    return row_key()
 
 
 def _local_union(pairs):
@@ -221,11 +238,11 @@ def _open(buckets: DataFrame) -> DataFrame:
     return buckets.join(size.select("key"), "key")
 
 
-def find_links(nodes: DataFrame, sets_of, share: int = 75) -> DataFrame:
+def find_links(nodes: DataFrame, sets_of, share: int, components_: int) -> DataFrame:
     """Enough verified links (a, b) to give the groups of all pairs with 100 * common >= ``share`` * all.
 
     ``nodes`` has node, first (an order that puts likely originals first), size, keys (one per band), bits and odd; ``sets_of``
-    gives (node, set) for the nodes of a table.
+    gives (node, set) for the nodes of a table; a signature has ``components_`` components.
     """
     limit = 1 - share / 100 + 1e-9
     linked = F.col("common") * 100 >= F.col("all") * share
@@ -245,25 +262,27 @@ def find_links(nodes: DataFrame, sets_of, share: int = 75) -> DataFrame:
     close = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     close &= F.abs(F.col("x.far") - F.col("y.far")) <= limit
     close &= F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * share
-    words = -(-BANDS * ROWS // 64)
+    words = -(-components_ // 64)
     apart = lambda name, i: F.get(f"x.{name}", F.lit(i)).bitwiseXOR(F.get(f"y.{name}", F.lit(i)))
     odd = sum(F.bit_count(apart("odd", i)) for i in range(ODD_BITS // 64))
     close &= odd * (100 + share) <= (F.col("x.size") + F.col("y.size")) * (100 - share)
     differ = sum(F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), [apart("bits", plane * words + i) for plane in range(PLANES)])) for i in range(words))
-    close &= F.coalesce(differ, F.lit(0)) <= MAX_DIFFERENT
+    close &= F.coalesce(differ, F.lit(0)) <= most_different(components_, share)
     earlier = lambda side: F.slice(f"{side}.keys", F.lit(1), F.col("x.band"))  # noqa: E731  the bands before this one
     close &= ~F.arrays_overlap(earlier("x"), earlier("y"))
     pairs = x.join(y, close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     return links.union(verify(pairs, sets).where(linked).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, share: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = 75, bands: int | None = None, rows: int | None = None, with_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that can be reached) and kept, one row per row of ``docs``.
 
     Words are runs of other characters than white space, with A-Z lowered. Null or wordless texts have no shingles and are linked
     with nothing. A null doc_id is larger than any other; a row whose component has no id keeps the null. Repeated rows
-    have equal sets and are all in one component.
+    have equal sets and are all in one component. Bands and rows follow from ``share`` unless given. ``with_key`` adds the ``row_key``.
     """
+    if bands is None or rows is None:
+        bands, rows = banding(share)
     keyed = docs.select("doc_id", _key().alias("_key"), _signatures(bands, rows)("text").alias("s"))
     seen = materialize(keyed.select("doc_id", "_key", "s.*"), "signatures")
     some = seen.where(F.col("node").isNotNull())
@@ -276,11 +295,11 @@ def near_duplicates(docs: DataFrame, share: int = 75, bands: int = BANDS, rows:
         df = text.join(own.hint("shuffle_hash"), "_key").where(F.col("_id2").eqNullSafe(F.col("_id")))
         return df.groupBy("node").agg(F.first("text").alias("text")).select("node", _set_bytes()("text").alias("set"))
 
-    group = materialize(components(find_links(nodes, sets_of, share)), "groups")
+    group = materialize(components(find_links(nodes, sets_of, share, bands * rows)), "groups")
     named = group.join(nodes.select("node", "first"), "node")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     of_node = nodes.join(named.join(least, "root").select("node", "least"), "node", "left")
     of_node = of_node.select("node", F.coalesce("least.id", "first.id").alias("component_id"))
-    df = seen.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    df = seen.select("doc_id", "n_shingles", "node", "_key").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return df.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return df.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *([F.col("_key").alias("row_key")] if with_key else []))

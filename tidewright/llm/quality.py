@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, row_key, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -82,7 +82,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """One row per document: the base counts and the two histograms ``h_classes`` and ``h_common``. Null text is empty."""
     lang = F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise(F.lit("*"))
     common = reduce(lambda c, k: c.when(F.col("_lang") == k, F.array(*map(F.lit, COMMON[k]))), COMMON, F.when(F.lit(False), F.array(*map(F.lit, COMMON["en"]))))
-    df = docs.select("doc_id", lang.alias("_lang"), text_or_empty().alias("_text"))
+    df = docs.select("doc_id", lang.alias("_lang"), text_or_empty().alias("_text"), row_key("lang").alias("row_key"))
     df = df.withColumn("_common", common.otherwise(F.array(*map(F.lit, COMMON["en"]))))
     df = df.withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
     df = df.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
@@ -96,7 +96,7 @@ def measure(docs: DataFrame) -> DataFrame:
     hits = [(F.size("_hits") - F.size(F.array_remove("_hits", k + 1))).cast("long") for k in range(N_COMMON)]
     rest = lambda total, parts: total - reduce(lambda a, b: a + b, parts)
     return df.select(
-        "doc_id", "_lang", F.sha2("_text", 256).alias("_sha"), "n_words", "word_chars",
+        "doc_id", "row_key", "_lang", F.sha2("_text", 256).alias("_sha"), "n_words", "word_chars",
         F.regexp_count("_marks", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
@@ -142,7 +142,7 @@ def median_reference(seen: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Base counts, both distances and ``kept`` for every row of ``docs``.
+    """Base counts, both distances and ``kept`` for every row of ``docs``, with its ``row_key``.
 
     Languages without a word list share one reference of medians and the English list. If no document of theirs passes the
     base rules, they have no reference; then the distance is null and does not reject. Equal rows are judged alike.

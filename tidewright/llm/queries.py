@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +61,7 @@ def op9_revisits(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    cache = f"{shared_folder(spark)}/token-counts"  # kept from run to run; only contents not counted yet are encoded
     df = token_counts.count_tokens(docs, cache, public_tokenizers.path(BYTE_BPE))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return df.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))

@@ -191,10 +191,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Add n_words, n_removed and ``kept`` (the words that stay, joined by one space) to every row of ``docs``.
 
-    Null text has no words and keeps the empty text. Repeated rows get the same result.
+    Null text has no words and keeps the empty text. Repeated rows get the same result. Columns of ``docs`` with one of the three
+    names are replaced; all others stay, whatever they are called.
     """
     found = materialize(repeats(docs, window, anchor), "repeats")
-    df = docs.withColumn("_doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("_key", _key())
+    # The columns of the input travel as one, so that none of their names can clash.
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), _key().alias("_key"))
     df = df.join(found.hint("shuffle_hash"), ["_doc", "_key"], "left")
-    df = df.withColumn("_cut", _cut(window)("text", "ranges"))
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_cut.n_words").alias("n_words"), F.col("_cut.n_removed").alias("n_removed"), F.col("_cut.kept").alias("kept"))
+    df = df.withColumn("_cut", _cut(window)("_given.text", "ranges"))
+    given = [F.col(f"_given.`{c}`") for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    return df.select(*given, F.col("_cut.n_words").alias("n_words"), F.col("_cut.n_removed").alias("n_removed"), F.col("_cut.kept").alias("kept"))

@@ -127,9 +127,13 @@ def fill_cache(docs: DataFrame, cache: str, path: str, text: str = "text") -> No
 
 
 def count_tokens(docs: DataFrame, cache: str, path: str, text: str = "text") -> DataFrame:
-    """Add ``n_tokens`` to every row of ``docs``; null text counts as empty, repeated rows stay."""
+    """Add ``n_tokens`` to every row of ``docs``; null text counts as empty, repeated rows stay.
+
+    A column of ``docs`` called n_tokens is replaced; all others stay, whatever they are called.
+    """
     fill_cache(docs, cache, path, text)
     known = _stored(docs.sparkSession, cache).where(F.col("version") == tokenizer_version(path))
     known = known.groupBy("digest").agg(F.max("n_tokens").alias("_n_tokens")).withColumnRenamed("digest", "_digest")
-    df = docs.withColumn("_key", content_digest(text)).join(known, F.col("_key") == F.col("_digest"), "left")
-    return df.withColumn("n_tokens", F.col("_n_tokens")).drop("_key", "_digest", "_n_tokens")
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given"), content_digest(text).alias("_key"))
+    df = df.join(known, F.col("_key") == F.col("_digest"), "left")
+    return df.select(*[F.col(f"_given.`{c}`") for c in docs.columns if c != "n_tokens"], F.col("_n_tokens").alias("n_tokens"))

@@ -23,14 +23,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-UP, DOWN = powers(_BASE, BLOCK + LONG_WORD + 1), powers(pow(_BASE, -1, 1 << 64), BLOCK + LONG_WORD + 1)
+# A random factor for each place, so that no pattern of two letters cancels as it would in a polynomial modulo 2^64.
+PLACE = mix(np.arange(1, LONG_WORD + 2, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(1))
 
 # Which bytes belong to words. All bytes of a character beyond ASCII do, in both kinds.
 SPACED = np.ones(256, bool)
@@ -48,26 +43,22 @@ def spans(buffer: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word's bytes: a polynomial over scrambled letters, for very long words a byte hash."""
+    """A hash of each word's bytes: a sum of scrambled letters times a factor of their place, for very long words a byte hash."""
     out = np.empty(len(starts), np.uint64)
     long = ends - starts > LONG_WORD
     for i in np.flatnonzero(long):
         out[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]].tobytes())
     rest = np.flatnonzero(~long)
-    begin = starts[rest]
+    size = (ends - starts)[rest]
+    upto = np.concatenate(([0], np.cumsum(size)))
     at = 0
     while at < len(rest):
-        first = begin[at]
-        stop = max(at + 1, int(np.searchsorted(begin, first + BLOCK)))
-        own = rest[at:stop]
-        last = ends[own[-1]]
-        if last - first > len(UP) - 1:  # a very long word lies between
-            stop = at + 1
-            own, last = rest[at:stop], ends[rest[at]]
-        total = np.zeros(last - first + 1, np.uint64)
-        np.cumsum(LETTER[buffer[first:last]] * UP[: last - first], out=total[1:])
-        s, e = starts[own] - first, ends[own] - first
-        out[own] = mix((total[e] - total[s]) * DOWN[s] + (e - s).astype(np.uint64))
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK)) - 1)
+        own, n = rest[at:stop], size[at:stop]
+        begin = upto[at:stop] - upto[at]
+        place = np.arange(upto[stop] - upto[at]) - np.repeat(begin, n)
+        terms = LETTER[buffer[np.repeat(starts[own], n) + place]] * PLACE[place]
+        out[own] = mix(np.add.reduceat(terms, begin) + n.astype(np.uint64))
         at = stop
     return out
 
@@ -97,7 +88,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each word on; meaningless where fewer are left."""
     out = h.copy()
     for j in range(1, k):
-        out[: len(h) - j] += h[j:] * np.uint64(pow(_BASE, j, 1 << 64))
+        out[: len(h) - j] += h[j:] * (PLACE[j] | np.uint64(1))
     return mix(out + np.uint64(k))
 
 
