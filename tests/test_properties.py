@@ -42,18 +42,39 @@ def test_asof_tie_gap_and_duplicates(spark):
     assert sorted(((x.t is None, x.t, x.v) for x in r), key=str) == sorted([(False, 2.0, 5.0), (False, 2.0, 5.0), (False, 50.0, None), (True, None, None)], key=str)
 
 
-@pytest.mark.parametrize("splits", [4, 64])
-def test_quantiles_with_a_hot_group_and_ties(spark, splits):
+def test_order_codes_keep_the_order(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 64, 3000, np.uint64).view(np.float64)
+    near = [f(2.0**k) for k in range(-1074, 1024, 7) for f in (float, lambda v: np.nextafter(v, 0), lambda v: -np.nextafter(v, 9e300))]
+    x = sorted(float(v) for v in [*x[np.isfinite(x)], *near, 0.0, -0.0, 5e-324, np.inf, -np.inf])
+    one, two = Q.order_codes(F.col("v"))
+    rows = spark.createDataFrame([(v,) for v in x], "v double").select("v", one.alias("a"), two.alias("b")).collect()
+    codes = [(r.a, r.b) for r in sorted(rows, key=lambda r: r.v)]
+    assert codes == sorted(codes) and len(set(codes)) > 1000
+
+
+def test_quantiles_of_a_million_values_in_one_group(spark):
+    """One scan, and no window over more than a part of the values."""
+    n = 1_000_003
+    d = spark.range(n).select(F.lit(1).alias("k"), ((F.col("id") * 7919) % n / 1000 - 300).alias("v"))
+    q = Q.grouped_quantiles(d, ["k"], "v", {"lo": 0.0, "a": 0.1, "b": 0.5, "hi": 1.0})
+    r = q.collect()[0]
+    assert (r.lo, r.a, r.b, r.hi) == pytest.approx((-300, (n - 1) / 10 / 1000 - 300, (n - 1) / 2 / 1000 - 300, (n - 1) / 1000 - 300), abs=1e-9)
+    plan = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Range (") <= 1
+
+
+def test_quantiles_with_a_hot_group_and_ties(spark):
     rnd = random.Random(3)
     rows = [("hot", rnd.gauss(0, 5)) for _ in range(3000)] + [("hot", 1.5)] * 2000 + [("small", float(i)) for i in range(7)] + [("one", 4.0), ("none", None)]
     d = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r for r in Q.grouped_quantiles(d, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.9, "lo": 0.0, "hi": 1.0}, splits=splits).collect()}
+    got = {r.k: r for r in Q.grouped_quantiles(d, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.9, "lo": 0.0, "hi": 1.0}).collect()}
     assert set(got) == {"hot", "small", "one"}
     for k in got:
         v = [x for kk, x in rows if kk == k]
         for name, p in (("a", 10), ("b", 50), ("c", 90), ("lo", 0), ("hi", 100)):
             assert got[k][name] == pytest.approx(np.percentile(v, p), rel=1e-12, abs=1e-12)
-    total = Q.grouped_quantiles(d, [], "v", {"m": 0.5}, splits=splits).first().m
+    total = Q.grouped_quantiles(d, [], "v", {"m": 0.5}).first().m
     assert total == pytest.approx(np.median([x for _, x in rows if x is not None]))
 
 

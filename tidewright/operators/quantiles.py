@@ -1,4 +1,11 @@
-"""Exact grouped quantiles whose memory does not grow with the group."""
+"""Exact grouped quantiles whose memory does not grow with the group: radix selection on counts.
+
+A number gets two codes that keep its order: the first follows its logarithm (1,024 ranges for each factor of e), the second
+cuts such a range into 2^22 equal parts. Counts by the first code find the ranges that hold a wanted rank; inside them counts
+by the second code; inside those the values themselves, at most 2^21 different doubles. Every count is combined before its
+shuffle, only ranges that hold a wanted rank go on, and no window orders more rows than there are codes, however many rows
+and distinct values a group has. (Numbers below 1e-307 in size share one range, whose parts may hold more.)
+"""
 
 from __future__ import annotations
 
@@ -8,66 +15,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import attach_one, salted_join
+from .joins import salted_join
+
+STEPS = 1024  # ranges of the first code for each factor of e
+PARTS = 1 << 22  # parts of a range
+LEAST, SHIFT = -708 * STEPS, 709 * STEPS  # smallest logarithm, and what makes all of them positive
 
-SPLITS = 64  # a power of two
 
+def order_codes(v: Column) -> tuple[Column, Column]:
+    """Two longs that order like the double ``v``, the second among equals of the first; equal codes say nothing.
 
-def _count_at_or_below(cuts: Column, v: Column, splits: int) -> Column:
-    """How many of the ``splits - 1`` ordered cuts are <= v: a binary search that stays in generated code."""
-    i, step = F.lit(0), splits // 2
-    while step >= 1:
-        i = i + F.when(F.get(cuts, i + (step - 1)) <= v, step).otherwise(0)
-        step //= 2
-    return i
+    Logarithm, quotient by a number fixed for the range, and floor never fall as the number grows, so the order holds whatever they
+    round. Both zeros are one, infinities lie outside and NaN is the largest, as Spark orders it.
+    """
+    a = F.abs(v)
+    plain = (a > 0) & (a < float("inf"))
+    k = F.greatest(F.floor(F.ln(F.when(plain, a)) * STEPS), F.lit(LEAST))
+    size = F.when(a == float("inf"), 3 * SHIFT).otherwise(F.coalesce(k + SHIFT, F.lit(0)))
+    part = F.coalesce(F.floor((a * F.exp(-k / STEPS) - 1) * (STEPS * PARTS)).cast("long"), F.lit(0))
+    first = F.when(F.isnan(v), 4 * SHIFT).when(v < 0, -size).otherwise(size)
+    return first.cast("long"), F.when(v < 0, -part).otherwise(part)
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                      splits: int = SPLITS) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group, as one column per entry of ``probs``.
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) per group, as one column per entry of ``probs``; nulls do not count.
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Here a bounded sketch cuts
-    each group into ``splits`` value ranges, exact counts per range locate the range that holds each wanted rank,
-    and only that range is ranked. The sketch decides how even the ranges are, never the answer: the chosen range
-    travels on as a value interval together with the exact count below it.
+    ``df`` is read once: its distinct values with their counts are shuffled once and used by all levels.
     """
     keys = list(keys)
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    vals = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    cuts = [F.lit(i / splits) for i in range(1, splits)]
-    sketch = src.groupBy(*keys).agg(
-        F.percentile_approx("__v", F.array(*cuts), F.lit(splits * 20)).alias("__cuts"), F.count(F.lit(1)).alias("__n"))
-    ranged = salted_join(vals, sketch, keys, ["__v"]) if keys else attach_one(vals, sketch)
-    below = _count_at_or_below(F.col("__cuts"), F.col("__v"), splits)
-    counts = ranged.groupBy(*keys, F.get("__cuts", below - 1).alias("__lo")).agg(F.sum("__c").alias("__rc"), F.first("__n").alias("__n"))
-    by_range = W.partitionBy(*keys).orderBy(F.col("__lo").asc_nulls_first())
-    counts = counts.withColumns({
-        "__below": F.sum("__rc").over(by_range) - F.col("__rc"),
-        "__hi": F.lead("__lo").over(by_range),
-    })
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), fn(F.lit(p) * (F.col("__n") - 1)).alias("rank"))
-        for i, p in enumerate(probs.values()) for side, fn in ((0, F.floor), (1, F.ceil))
-    ])
-    picks = (
-        counts.withColumn("__w", F.explode(wanted))
-        .where("__w.rank >= __below AND __w.rank < __below + __rc")
-        .select(*keys, "__lo", "__hi", "__below", "__n", "__w.q", "__w.side", "__w.rank")
-    )
-    # Two picks per probability and key, so without keys the picks are a handful of rows.
-    cand = salted_join(vals, picks, keys, ["__v"]) if keys else vals.crossJoin(F.broadcast(picks))
-    cand = cand.where("(__lo IS NULL OR __v >= __lo) AND (__hi IS NULL OR __v < __hi)")
-    ordered = W.partitionBy(*keys, "q", "side").orderBy("__v")
-    cand = cand.withColumn("__cum", F.col("__below") + F.sum("__c").over(ordered)).where(
-        "rank < __cum AND rank >= __cum - __c"
-    )
+    one, two = order_codes(F.col("__v"))
+    vals = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")).select(*keys, "__v", "__c", one.alias("__b1"), two.alias("__b2"))
+
+    def at(p: float, fn) -> Column:
+        return fn(F.lit(p) * (F.col("__n") - 1)).cast("long")
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("__below")) & (rank < F.col("__below") + F.col("__own"))
+
+    def wanted() -> Column:
+        found = [holds(at(p, fn)) for p in probs.values() for fn in (F.floor, F.ceil)]
+        out = found[0]
+        for f in found[1:]:
+            out = out | f
+        return out
+
+    whole = W.partitionBy(*keys)
+    first = vals.groupBy(*keys, "__b1").agg(F.sum("__c").alias("__own"))
+    first = first.withColumns({"__n": F.sum("__own").over(whole), "__below": F.sum("__own").over(whole.orderBy("__b1")) - F.col("__own")})
+    first = first.where(wanted()).select(*keys, "__b1", "__n", F.col("__below").alias("__base"))
+    cand = salted_join(vals, first, [*keys, "__b1"], ["__v"])
+
+    inside = W.partitionBy(*keys, "__b1").orderBy("__b2")
+    # The values of a part travel along, at most 2^21 of them, so that the few parts that hold a rank need no join.
+    second = cand.groupBy(*keys, "__b1", "__b2").agg(
+        F.sum("__c").alias("__own"), F.first("__n").alias("__n"), F.first("__base").alias("__base"), F.collect_list(F.struct("__v", "__c")).alias("__held"))
+    second = second.withColumn("__below", F.col("__base") + F.sum("__own").over(inside) - F.col("__own")).where(wanted())
+    last = second.select(*keys, "__b1", "__b2", "__n", F.col("__below").alias("__start"), F.inline("__held"))
+
+    ordered = W.partitionBy(*keys, "__b1", "__b2").orderBy("__v")
+    last = last.withColumns({"__own": F.col("__c"), "__below": F.col("__start") + F.sum("__c").over(ordered) - F.col("__c")}).where(wanted())
     out = []
-    for i, (name, p) in enumerate(probs.items()):
-        low = F.max(F.when((F.col("q") == i) & (F.col("side") == 0), F.col("__v")))
-        high = F.max(F.when((F.col("q") == i) & (F.col("side") == 1), F.col("__v")))
+    for name, p in probs.items():
+        low, high = (F.max(F.when(holds(at(p, fn)), F.col("__v"))) for fn in (F.floor, F.ceil))
         pos = F.lit(p) * (F.max("__n") - 1)
         out.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
-    return cand.groupBy(*keys).agg(*out)
+    return last.groupBy(*keys).agg(*out)
 
 
 def grouped_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
