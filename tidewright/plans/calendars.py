@@ -314,12 +314,31 @@ def binned_response(t: Tables):
     return R.degree_bins(temp_rows(t), ["grp"], "temp", "v")
 
 
-@query("thermal_curve", "grp:s source:s n:i topt:f1 best:b", covers="REG-08 WIN-10 REG-07")
+# The same refined grid in SQL: each step of the recursion scores the 11 x 11 x 11 candidates of every group's box and narrows it.
+CURVES = f"""RECURSIVE {BINS}, sd AS (SELECT grp, 'shallow' AS source, v, temp FROM d UNION ALL SELECT grp, 'deep', v, temp*1.3 + 1 FROM d),
+  sl AS (SELECT source, floor(min(temp)) AS low FROM sd GROUP BY 1),
+  sb AS (SELECT grp, source, median(v) AS y, avg(temp) AS x FROM sd JOIN sl USING (source) WHERE temp > low GROUP BY grp, source, ceil(temp - low) HAVING count(*) >= 3),
+  g AS (SELECT grp, source, count(*) AS n, sum(ln(1 + y)*ln(1 + y)) AS yy, list({{'x': x, 'y': ln(1 + y)}} ORDER BY x) AS pts FROM sb GROUP BY 1, 2 HAVING count(*) >= 5),
+  fit AS (SELECT 0 AS k, grp, source, 0.0::DOUBLE AS lt, 30.0::DOUBLE AS ht, 0.0::DOUBLE AS la, 1.0::DOUBLE AS ha, 0.0::DOUBLE AS lb, 1.0::DOUBLE AS hb,
+      {{'off': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'sse': 0.0::DOUBLE}} AS f FROM g
+    UNION ALL SELECT k + 1, grp, source, greatest(f.t - (ht-lt)*0.15, 0), least(f.t + (ht-lt)*0.15, 30), greatest(f.a - (ha-la)*0.15, 0), least(f.a + (ha-la)*0.15, 1),
+      greatest(f.b - (hb-lb)*0.15, 0), least(f.b + (hb-lb)*0.15, 1), f FROM (
+      SELECT k, grp, source, lt, ht, la, ha, lb, hb, min({{'off': round(sse/greatest(yy, 1e-300), 9), 't': t, 'a': a, 'b': b, 'c': c, 'sse': sse}}) AS f FROM (
+        SELECT *, greatest(0, yy - 2*c*sy + c*c*ss) AS sse FROM (SELECT *, greatest(0, sy/greatest(ss, 1e-300)) AS c FROM (
+          SELECT * EXCLUDE (pts), list_sum(list_transform(pts, lambda q: exp(-(CASE WHEN q.x <= t THEN a ELSE b END)*(q.x-t)*(q.x-t))*q.y)) AS sy,
+            list_sum(list_transform(pts, lambda q: exp(-2*(CASE WHEN q.x <= t THEN a ELSE b END)*(q.x-t)*(q.x-t)))) AS ss FROM (
+            SELECT fit.* EXCLUDE (f), g.yy, g.pts, lt + (ht-lt)*i/10 AS t, la + (ha-la)*j/10 AS a, lb + (hb-lb)*l/10 AS b
+            FROM fit JOIN g USING (grp, source), range(11) r(i), range(11) s(j), range(11) u(l) WHERE k < 8))))
+      GROUP BY k, grp, source, lt, ht, la, ha, lb, hb)),
+  o AS (SELECT grp, source, n, f.t AS topt, f.a AS a, f.b AS b, f.c AS c, sqrt(f.sse/n) AS rmse, n*ln(f.sse/n) + 8 AS aic FROM fit JOIN g USING (grp, source) WHERE k = 8)"""
+
+
+@query("thermal_curve", "grp:s source:s n:i topt:f2 a:f3 b:f3 c:f3 rmse:f4 aic:f3 best:b",
+       f"{CURVES}, final AS (SELECT *, aic = min(aic) OVER (PARTITION BY grp) AS best FROM o)", covers="REG-08 WIN-10 REG-07")
 def thermal_curve(t: Tables):
-    d = temp_rows(t)
-    a = R.degree_bins(d, ["grp"], "temp", "v").withColumn("source", F.lit("shallow"))
-    b = R.degree_bins(d.withColumn("temp", F.col("temp") * 1.3 + 1), ["grp"], "temp", "v").withColumn("source", F.lit("deep"))
-    return R.flag_best(R.thermal_curve_grid(a.unionByName(b), ["grp", "source"]), ["grp"])
+    temps = {"shallow": F.col("temp"), "deep": F.col("temp") * 1.3 + 1}
+    fits = R.thermal_curve_grid(R.degree_bins(temp_rows(t), ["grp"], temps, "v"), ["grp", "source"], log=True)
+    return R.flag_best(fits, ["grp"])
 
 
 @query("relative_series", "step_no:i rel:f6", f"""{CUBE}, s AS (SELECT year, step, avg(value2) AS v FROM cube GROUP BY 1, 2),
