@@ -1,5 +1,7 @@
 """Text grids, tables, stores and least squares."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +206,53 @@ def test_taxon_rules(spark):
     r = d.select(TX.group_of(TX.RULES_2025, c).alias("a"), TX.group_of(TX.RULES_EARLIER, c).alias("b")).collect()
     assert [x.a for x in r] == ["ZS4-LAR", "ZF1-ICT", "ZS1-JEL", "misc", "ZC4-CLG", "ZC5-CSM", "ZC4-CLG", "misc"]
     assert [x.b for x in r][1] == "ZF1-ICH" and r[6].b == "misc"
+
+
+def test_cube_store_prunes_folders_and_columns(spark, tmp_path):
+    rows = [(v, y, s, r, c, float(y + s)) for v in ("a", "b") for y in (2000, 2001, 2002) for s in (1, 40, 120) for r in (1, 2) for c in (1, 2)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one task anyway
+    try:
+        G.write_cube(spark.createDataFrame(rows, "var string, year int, step int, row int, col int, v double"), str(tmp_path / "c"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    c = G.read_cube(spark, str(tmp_path / "c"), variables=["a"], years=(2001, 2001), steps=(30, 60)).groupBy("year").agg(F.sum("v").alias("v"))
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*var#\d+[^\]]*year#\d+", plan) and "GreaterThanOrEqual(step,30)" in plan and "LessThanOrEqual(step,60)" in plan
+    assert "ReadSchema: struct<step:int,v:double>" in plan
+    assert [tuple(r) for r in c.collect()] == [(2001, 4 * 2041.0)]
+    assert len(list((tmp_path / "c" / "var=a" / "year=2001").glob("*.parquet"))) > 1  # a year is not one task's work
+
+
+def test_preamble_over_many_splits(spark, tmp_path):
+    """Files longer than a split, and a preamble that ends in a later split, empty lines and a file that is only preamble."""
+    for name, n in (("a", 3000), ("b", 10), ("c", 0)):
+        lines = [f"note {i} " + "x" * 30 for i in range(14)] + ["k,v"] + [f"{i},{i}.5" for i in range(n)]
+        (tmp_path / f"{name}.csv").write_text("\n\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("200b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            d = TB.read_csv_skipping(spark, str(tmp_path / "*.csv"), "k int, v double", 14)
+            assert split != "200b" or d.rdd.getNumPartitions() >= 3
+            got = {r.f[-5]: (r.n, r.lo, r.v) for r in d.groupBy(F.col("file").alias("f")).agg(F.count("k").alias("n"), F.min("k").alias("lo"), F.sum("v").alias("v")).collect()}
+            assert got == {"a": (3000, 0, 3000 * 2999 / 2 + 1500), "b": (10, 0, 50.0)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_first_offset_wins(spark):
+    names = ["v_2001_001", "v_2001_003", "v_2001_004", "v_2001_006", "v__2001_006", "v_2001_363", "v_2001_361", "v_2000_363", "v_2000_359", "v_2002_359", "x"]
+    files = spark.createDataFrame([(f"/d/{n}.asc",) for n in names], "file string")
+    got = {(r.year, r.step): (r.offset, r.file[3:-4]) for r in G.resolve_files(G.calendar_of(spark.createDataFrame([(2000,), (2002,)], "year int")), files).collect()}
+    # Centres 2 and 5 of 2001: +1 beats -1, then +1 by the single underscore; the last steps end at 360 and 361 (leap year).
+    assert got == {(2001, 1): (1, "v_2001_003"), (2001, 2): (1, "v_2001_006"), (2001, 120): (1, "v_2001_361"), (2001, 3): (-2, "v_2001_006"),
+                   (2000, 120): (2, "v_2000_363"), (2002, 120): (-1, "v_2002_359")}
+
+
+def test_stage_tables_come_back_with_their_types(spark, tmp_path):
+    d = spark.createDataFrame([("a", None, 1, 2000), (None, 2.5, 2, 2001)], "g string, v double, n long, year int")
+    for fmt in ("csv", "parquet"):
+        U.write_stage(d, str(tmp_path / fmt), fmt=fmt, partition_by=["year"])
+        back = U.read_stage(spark, str(tmp_path / fmt), "g string, v double, n long, year int", fmt=fmt)
+        assert dict(back.dtypes) == {"g": "string", "v": "double", "n": "bigint", "year": "int"}
+        assert sorted(map(str, back.select(d.columns).collect())) == sorted(map(str, d.collect()))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import joins as J
 from ..operators import nutrient as N
-from .base import Tables, query
+from ..sources.grids import calendar_of
+from .base import Tables, query, stage
 from .bindings import CUBE, DAILY_OBS, MODEL_SERIES, cube, daily_obs, model_series, season_sql
 from .matching import DAY_MEDIAN, MATCH_SQL, matched_pairs
 
@@ -103,21 +104,23 @@ def annual_from_climatology(t: Tables):
 
 
 @query("box_at_biweeks", "year:i biweek:i row:i col:i step:i value:f4", f"""{CUBE},
-  bm AS (SELECT y AS year, b AS biweek, make_date(y, 1, 1) + CAST((b-1)*14 + 6 AS INTEGER) AS date FROM range(1995, 2002) a(y), range(1, 27) c(b)),
-  st AS (SELECT y AS year, s AS step, make_date(y, 1, 1) + CAST(CASE WHEN s < 120 THEN s*3-1 WHEN y % 4 = 0 THEN 361 ELSE 360 END - 1 AS INTEGER) AS mdate FROM range(1995, 2002) a(y), range(1, 121) b(s)),
+  yr AS (SELECT unnest(range(min(year), max(year) + 1)) AS y FROM cube),
+  bm AS (SELECT y AS year, b AS biweek, make_date(y, 1, 1) + CAST((b-1)*14 + 6 AS INTEGER) AS date FROM yr, range(1, 27) c(b)),
+  st AS (SELECT y AS year, s AS step, make_date(y, 1, 1) + CAST(CASE WHEN s < 120 THEN s*3-1 WHEN (y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0 THEN 361 ELSE 360 END - 1 AS INTEGER) AS mdate FROM yr, range(1, 121) b(s)),
   nr AS (SELECT bm.year, bm.biweek, st.year AS myear, st.step FROM bm, st QUALIFY row_number() OVER (PARTITION BY bm.year, bm.biweek ORDER BY abs(date_diff('day', bm.date, mdate)), mdate) = 1),
   cells AS (SELECT r AS row, c AS col FROM range(2, 7) a(r), range(1, 8) b(c) WHERE (r-2) % 2 = 0 AND (c-1) % 2 = 0),
   final AS (SELECT nr.year, biweek, cells.row, cells.col, nr.step, value FROM nr CROSS JOIN cells LEFT JOIN cube ON cube.year = nr.myear AND cube.step = nr.step AND cube.row = cells.row AND cube.col = cells.col)""", covers="NUT-09 JOI-02 JOI-09")
 def box_at_biweeks(t: Tables):
-    years, bins = F.sequence(F.lit(1995), F.lit(2001)), F.sequence(F.lit(1), F.lit(26))
-    mid = t.spark.range(1).select(F.explode(years).alias("year")).select("year", F.explode(bins).alias("biweek"))
+    field = stage(cube(t))
+    calendar = calendar_of(field)
+    mid = calendar.where("step <= 26").select("year", F.col("step").alias("biweek"))
     mid = mid.withColumn("t", cal.days(F.date_add(F.make_date("year", F.lit(1), F.lit(1)), (F.col("biweek") - 1) * 14 + 6)))
-    steps = cal.calendar_table(t.spark, 1995, 2001).select(F.col("year").alias("myear"), "step", cal.days(F.col("date")).alias("mt"))
+    steps = calendar.select(F.col("year").alias("myear"), "step", cal.days(cal.step_date(F.col("year"), F.col("step"))).alias("mt"))
     near = J.asof_nearest(mid, steps, obs_t="t", model_t="mt", values=["myear", "step"], bucket_width=366)
     cells = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(6), F.lit(2)), lambda r: F.transform(
         F.sequence(F.lit(1), F.lit(7), F.lit(2)), lambda c: F.struct(r.alias("row"), c.alias("col")))))
     want = near.select("year", "biweek", "myear", "step", F.inline(cells))
-    c = cube(t).select(F.col("year").alias("myear"), "step", "row", "col", "value")
+    c = field.select(F.col("year").alias("myear"), "step", "row", "col", "value")
     return want.join(c, ["myear", "step", "row", "col"], "left")
 
 

@@ -10,7 +10,7 @@ from ..functions import geo as G
 from ..operators import grid as GR
 from ..operators import joins as J
 from ..operators import spatial as S
-from .base import Tables, query
+from .base import Tables, query, stage
 from .bindings import CUBE, DOMAINS, GRID, STATIONS, cube, edges_sql, grid, stations
 
 HAV = ("2*6367.0*asin(sqrt(least(1.0, pow(sin(radians(g.lat-p.lat)/2),2)+cos(radians(p.lat))*cos(radians(g.lat))"
@@ -115,23 +115,23 @@ def clean_cells(t: Tables):
     return c.groupBy(F.isnull("v").alias("land")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("total"))
 
 
-@query("late_variable", "year:i n_steps:i n_values:i", f"""{CUBE}, cal AS (SELECT y AS year, s AS step FROM range(1994, 2002) a(y), range(1, 121) b(s)),
+@query("late_variable", "year:i n_steps:i n_values:i", f"""{CUBE}, cal AS (SELECT y AS year, s AS step FROM (SELECT unnest(range(min(year), max(year) + 1)) AS y FROM cube), range(1, 121) b(s)),
   f AS (SELECT year, step, avg(value) AS v FROM cube GROUP BY 1, 2),
   final AS (SELECT year, count(*) AS n_steps, count(CASE WHEN year < 1997 THEN NULL ELSE v END) AS n_values FROM cal LEFT JOIN f USING (year, step) GROUP BY 1)""", covers="SRC-06 CAL-01")
 def late_variable(t: Tables):
-    from ..sources.grids import start_later
+    from ..sources.grids import calendar_of, start_later
 
-    f = GR.spatial_reduce(cube(t), ["value"], ["year", "step"])
-    c = cal.calendar_table(t.spark, 1994, 2001)
-    return start_later(c, f, ["value"], 1997).groupBy("year").agg(F.count(F.lit(1)).alias("n_steps"), F.count("value").alias("n_values"))
+    f = stage(GR.spatial_reduce(cube(t), ["value"], ["year", "step"]))
+    return start_later(calendar_of(f), f, ["value"], 1997).groupBy("year").agg(F.count(F.lit(1)).alias("n_steps"), F.count("value").alias("n_values"))
 
 
-@query("step_gaps", "year:i step:i", f"""{CUBE}, cal AS (SELECT y AS year, s AS step FROM range(1994, 2002) a(y), range(1, 121) b(s)),
+@query("step_gaps", "year:i step:i", f"""{CUBE}, cal AS (SELECT y AS year, s AS step FROM (SELECT unnest(range(min(year), max(year) + 1)) AS y FROM cube), range(1, 121) b(s)),
   final AS (SELECT year, step FROM cal ANTI JOIN (SELECT DISTINCT year, step FROM cube) USING (year, step))""", covers="SRC-03")
 def step_gaps(t: Tables):
-    from ..sources.grids import missing_steps
+    from ..sources.grids import calendar_of, missing_steps
 
-    return missing_steps(cube(t), cal.calendar_table(t.spark, 1994, 2001))
+    c = stage(cube(t).select("year", "step").distinct())
+    return missing_steps(c, calendar_of(c))
 
 
 @query("regrid_weights", "day:d target:i value:f1", """

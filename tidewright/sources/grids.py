@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import pool_tail_doy
+from ..functions.calendar import pool_tail_doy, step_centre_doy
 from ..functions.clean import grid_clean
 
 HEADER_LINES = 6
@@ -57,6 +57,35 @@ def with_step(df: DataFrame, file: str = "file") -> DataFrame:
     return d.withColumn("step", step).drop("n", "is_running_step")
 
 
+def calendar_of(df: DataFrame, year: str = "year", steps: int = 120) -> DataFrame:
+    """Every (year, step) from the first to the last year of ``df``; one small row is expanded."""
+    span = df.agg(F.min(year).cast("int").alias("a"), F.max(year).cast("int").alias("b")).where("a IS NOT NULL")
+    years = span.select(F.explode(F.sequence("a", "b")).alias("year"))
+    return years.select("year", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+
+
+#: Days around a block's centre at which its file is looked for, in order. Fixed values.
+OFFSETS = (0, 1, 2, -1, -2)
+
+
+def resolve_files(calendar: DataFrame, files: DataFrame, keys: Sequence[str] = (), offsets: Sequence[int] = OFFSETS) -> DataFrame:
+    """One file for each step of the calendar: (keys, year, step, offset, file), none where no file fits.
+
+    ``calendar`` has year and step, ``files`` has ``keys`` and file, named ``{var}_{year}_{day}.asc``. The first offset from the block's
+    centre for which a file exists wins; between two spellings of one day the single underscore wins. Each file is offered
+    to the few centres it could serve, and the offers of a step are reduced before they are shuffled.
+    """
+    keys = list(keys)
+    k = file_key(F.col("file"))
+    named = files.select(*keys, "file", k["year"].alias("year"), k["n"].alias("__day"), F.col("file").rlike(r"__\d{4}_+\d+\.asc$").cast("int").alias("__wide"))
+    order = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(o).alias("offset")) for i, o in enumerate(offsets)])
+    offers = named.select(*keys, "file", "year", "__day", "__wide", F.inline(order)).withColumn("__centre", F.col("__day") - F.col("offset"))
+    centres = calendar.select("year", "step").withColumn("__centre", step_centre_doy(F.col("year"), F.col("step")))
+    best = F.min(F.struct("rank", "__wide", "file", "offset")).alias("__best")
+    found = offers.join(centres, ["year", "__centre"]).groupBy(*keys, "year", "step").agg(best)
+    return found.select(*keys, "year", "step", F.col("__best.offset").alias("offset"), F.col("__best.file").alias("file"))
+
+
 def missing_steps(field: DataFrame, calendar: DataFrame) -> DataFrame:
     """Calendar steps without any value."""
     return calendar.select("year", "step").join(field.select("year", "step").distinct(), ["year", "step"], "left_anti")
@@ -68,9 +97,17 @@ def build_cube(cells: DataFrame, grid: DataFrame, *, corner: tuple[int, int] | N
     return cells.withColumn("value", v).join(grid, ["row", "col"])
 
 
-def write_cube(cube: DataFrame, path: str) -> None:
-    """Columnar store split by variable and year, clustered by time inside a file for range pruning."""
-    cube.repartition("var", "year").sortWithinPartitions("step", "row", "col").write.mode("overwrite").partitionBy("var", "year").parquet(path)
+STEPS_PER_FILE = 30
+
+
+def write_cube(cube: DataFrame, path: str, steps_per_file: int = STEPS_PER_FILE) -> None:
+    """Columnar store split by variable and year, clustered by time inside a file for range pruning.
+
+    A year of a variable is dealt out by blocks of steps, so that one task writes a block of a fine grid and not a whole year.
+    """
+    block = F.floor((F.col("step") - 1) / steps_per_file)
+    dealt = cube.repartition(F.col("var"), F.col("year"), block).sortWithinPartitions("var", "year", "step", "row", "col")
+    dealt.write.mode("overwrite").partitionBy("var", "year").parquet(path)
 
 
 def read_cube(spark: SparkSession, path: str, *, variables: Sequence[str] | None = None, years: tuple[int, int] | None = None,

@@ -19,6 +19,12 @@ def write_stage(df: DataFrame, path: str, *, fmt: str = "parquet", partition_by:
         w.parquet(path)
 
 
+def read_stage(spark: SparkSession, path: str, schema: str, *, fmt: str = "parquet") -> DataFrame:
+    """A stored stage table with its declared schema, which fixes types and order whatever the files hold; folders prune by ``partition_by``."""
+    r = spark.read.schema(schema)
+    return r.option("header", True).option("nullValue", "").csv(path) if fmt == "csv" else r.parquet(path)
+
+
 def output_key(file: Column, prefix: str, passes: Sequence[str] = ("ZC", "ZS"),
                seasons: Sequence[str] = ("All", "Winter", "Spring", "Summer", "Fall")) -> dict[str, Column]:
     """scenario, pass and season from ``{prefix}_{scenario}_{pass}_{season}.csv``; other names give empty text."""

@@ -6,21 +6,38 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no from 0, line) of the lines that are not blank, without bringing a file together.
+
+    Each split of a file counts its own lines; the splits before it, a few rows for each file, give the offset. So a long
+    file is read by many tasks, wherever its preamble ends.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"))
+    lines = lines.where(F.trim("line") != "").withColumn("__id", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "__at").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("file").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select("file", "__at", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = lines.join(splits, ["file", "__at"])
+    return rows.select("file", (F.col("__before") + F.col("__id") - F.col("__first")).alias("line_no"), "line")
+
+
 def read_csv_skipping(spark: SparkSession, path: str, schema: T.StructType | str, skip: int) -> DataFrame:
-    """CSV files whose data start after ``skip`` lines and one line of column names.
+    """CSV files whose data start after ``skip`` lines and one line of column names; blank lines do not count.
 
-    Whole files are read as one text each, which suits model output of a bounded length; long tables should be
-    stored without a preamble and read with the normal CSV source.
+    The files are read split by split like any text, see :func:`numbered_lines`.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return parse_csv_skipping(raw, schema, skip)
+    ddl = schema if isinstance(schema, str) else schema.toDDL()
+    rows = numbered_lines(spark, path).where(F.col("line_no") > skip)
+    return rows.select("file", F.from_csv("line", F.lit(ddl), {"mode": "PERMISSIVE"}).alias("r")).select("file", "r.*")
 
 
 def parse_csv_skipping(raw: DataFrame, schema: T.StructType | str, skip: int) -> DataFrame:
+    """The same for texts that hold a whole file each."""
     ddl = schema if isinstance(schema, str) else schema.toDDL()
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")
     rows = raw.select("file", F.explode(F.slice(lines, skip + 2, F.size(lines))).alias("line"))
