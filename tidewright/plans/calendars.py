@@ -15,6 +15,9 @@ from ..sources import grids as G
 from ..sources import tables as TB
 from .base import Tables, query, stage
 from .bindings import CUBE, DAILY_OBS, MODEL_SERIES, PAIRED, cube, daily_obs, model_series, paired, season_sql
+from .least_squares import ols_sql
+from .skill_reports import P_SQL
+from .spatial import WINDOW_SQL, window_index
 
 BIN_MID = "DATE '2001-01-01' + CAST(least((b-1)*14+8, 365) - 1 AS INTEGER)"
 
@@ -250,16 +253,39 @@ def year_index(t: Tables):
     return R.year_index(d, ["grp"], "y", models=[R.Terms(factors=("year",), numeric=("x",))])
 
 
-STATION_TERMS = R.Terms(factors=("station", "year", "month"))
+STATION_TERMS = R.Terms(factors=("station", "year", "month"), name="station")
 
 
-@query("station_effects", "r:f4 n:i sd_obs:f4 sd_model:f4", covers="REG-03 REG-02")
+# A baseline level has the effect 0; the mean over all levels is taken off.
+STATIONS_SQL = f"""RECURSIVE sr AS (SELECT l_suppkey AS station, year(l_shipdate) AS year, month(l_shipdate) AS month, log10(l_extendedprice) AS lo, log10(l_quantity*1500 + l_tax*200000) AS lm FROM lineitem),
+  {ols_sql('o_', 'sr', [], 'lo', [STATION_TERMS])}, {ols_sql('m_', 'sr', [], 'lm', [STATION_TERMS])},
+  st AS (SELECT DISTINCT 'station=' || station AS t FROM sr), ef AS (SELECT t, coalesce(o.beta, 0) AS o, coalesce(m.beta, 0) AS m FROM st LEFT JOIN o_effect o USING (t) LEFT JOIN m_effect m USING (t))"""
+
+
+def station_rows(t: Tables):
+    return t.lineitem.select(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
+                             F.log10("l_extendedprice").alias("lo"), F.log10(F.col("l_quantity") * 1500 + F.col("l_tax") * 200000).alias("lm"))
+
+
+def both_station_effects(t: Tables):
+    d = station_rows(t)
+    o, m = (R.absorbed_effects(d, [], y, STATION_TERMS, "station").select("level", F.col("effect").alias(a)) for y, a in (("lo", "o"), ("lm", "m")))
+    return o.join(m, "level")
+
+
+@query("station_effects", "r:f4 n:i sd_obs:f4 sd_model:f4", f"{STATIONS_SQL}, final AS (SELECT corr(o, m) AS r, count(*) AS n, stddev_samp(o) AS sd_obs, stddev_samp(m) AS sd_model FROM ef)", covers="REG-03 REG-02")
 def station_effects(t: Tables):
-    d = t.lineitem.select(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
-                          F.log10("l_extendedprice").alias("lo"), F.log10(F.col("l_quantity") * 1500 + F.col("l_tax") * 200000).alias("lm"))
-    o = R.absorbed_effects(d, [], "lo", STATION_TERMS, "station").select("level", F.col("effect").alias("o"))
-    m = R.absorbed_effects(d, [], "lm", STATION_TERMS, "station").select("level", F.col("effect").alias("m"))
-    return o.join(m, "level").agg(pearson("o", "m").alias("r"), F.count(F.lit(1)).alias("n"), F.stddev_samp("o").alias("sd_obs"), F.stddev_samp("m").alias("sd_model"))
+    return both_station_effects(t).agg(pearson("o", "m").alias("r"), F.count(F.lit(1)).alias("n"), F.stddev_samp("o").alias("sd_obs"), F.stddev_samp("m").alias("sd_model"))
+
+
+@query("station_effect_table", "station:s obs:f5 model:f5", f"{STATIONS_SQL}, final AS (SELECT substr(t, 9) AS station, o - avg(o) OVER () AS obs, m - avg(m) OVER () AS model FROM ef)", covers="REG-03")
+def station_effect_table(t: Tables):
+    return both_station_effects(t).select(F.col("level").alias("station"), F.col("o").alias("obs"), F.col("m").alias("model"))
+
+
+RR = """rr AS (SELECT p.*, split_part(o_orderpriority, '-', 1) AS net, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS night, log10(obs) - log10(model + 1) AS lr,
+    dayofyear(date) - CASE WHEN p.month = 12 THEN 365 ELSE 0 END AS dos, log10(p.month + 1.0) AS lrng, log10(obs) AS lo, log10(model + 1) AS lm, log10(obs + 1e-6) AS ly FROM paired p JOIN orders ON o_orderkey = tow)"""
+RATIO_SQL = f"{PAIRED}, {RR}"
 
 
 def ratio_rows(t: Tables):
@@ -267,9 +293,13 @@ def ratio_rows(t: Tables):
         {"lr": F.log10("obs") - F.log10(F.col("model") + 1), "dos": cal.day_of_season(F.col("date")).cast("double"), "lrng": F.log10(F.col("month") + 1.0)})
 
 
-@query("drop_one_r2", "grp:s dropped:s full_r2:f6 unique_r2:f6 n:i", covers="REG-04 REG-02")
+FULL = R.Terms(factors=("year", "month", "net"), numeric=("night",), name="full")
+
+
+@query("drop_one_r2", "grp:s dropped:s full_r2:f6 unique_r2:f6 n:i", f"""RECURSIVE {RATIO_SQL}, {ols_sql('r_', 'rr', ['grp'], 'lr', [FULL, *[FULL.without(x) for x in FULL.labels]])},
+  final AS (SELECT a.grp, substr(b.model, 9) AS dropped, a.r2 AS full_r2, a.r2 - b.r2 AS unique_r2, b.n FROM r_fit a JOIN r_fit b USING (grp) WHERE a.model = 'full' AND b.model <> 'full')""", covers="REG-04 REG-02")
 def drop_one_r2(t: Tables):
-    return R.drop_one_r2(ratio_rows(t), ["grp"], "lr", R.Terms(factors=("year", "month", "net"), numeric=("night",)))
+    return R.drop_one_r2(ratio_rows(t), ["grp"], "lr", FULL)
 
 
 CONTROL_SETS = [
@@ -280,7 +310,13 @@ CONTROL_SETS = [
 ]
 
 
-@query("control_sweep", "grp:s season:s model:s r:f4 lo:f4 hi:f4 p:f4 n:i", covers="REG-05 REG-02 SKL-07")
+SWEEP_SQL = f"""RECURSIVE {RATIO_SQL}, {ols_sql('o_', 'rr', ['grp', 'season'], 'lo', CONTROL_SETS)}, {ols_sql('m_', 'rr', ['grp', 'season'], 'lm', CONTROL_SETS)},
+  yr AS (SELECT DISTINCT rr.grp, rr.season, f.model, 'year=' || rr.year AS t FROM rr, (SELECT DISTINCT model FROM o_fit) f),
+  ef AS (SELECT grp, season, model, coalesce(o.beta, 0) AS o, coalesce(m.beta, 0) AS m FROM yr LEFT JOIN o_effect o USING (grp, season, model, t) LEFT JOIN m_effect m USING (grp, season, model, t)),
+  cr AS (SELECT grp, season, model, corr(o, m) AS r, count(*) AS n FROM ef GROUP BY ALL)"""
+
+
+@query("control_sweep", "grp:s season:s model:s r:f4 lo:f4 hi:f4 p:f4 n:i", f"{SWEEP_SQL}, final AS (SELECT *, tanh(atanh(r) - 1.96/sqrt(n - 3)) AS lo, tanh(atanh(r) + 1.96/sqrt(n - 3)) AS hi, {P_SQL} AS p FROM cr)", covers="REG-05 REG-02 SKL-07")
 def control_sweep(t: Tables):
     d = ratio_rows(t).withColumns({"lo": F.log10("obs"), "lm": F.log10(F.col("model") + 1)})
     o = R.year_index(d, ["grp", "season"], "lo", models=CONTROL_SETS).withColumnRenamed("index", "o")
@@ -288,9 +324,17 @@ def control_sweep(t: Tables):
     return K.correlation(o.join(m, ["grp", "season", "model", "year"]), ["grp", "season", "model"], "o", "m")
 
 
-@query("diagnostics", "grp:s season:s n_years:i r_naive:f6 r_sampling_day:f6 r_date_adjusted:f5 lo:f4 hi:f4", f"""{DOS}, a AS (SELECT season, grp, year, avg(y) AS o, avg(model) AS m, avg(res) AS ro, avg(res2) AS rm, avg(x) AS dd FROM d4 GROUP BY 1, 2, 3),
+# What the standardised index takes out beside the year: net, night, tow range and the day of the season.
+STANDARD = R.Terms(factors=("year", "net"), numeric=("night", "lrng"), poly=(("dos", 3),), name="standard")
+
+
+@query("diagnostics", "grp:s season:s n_years:i r_naive:f6 r_sampling_day:f6 r_date_adjusted:f5 lo:f4 hi:f4 r_standardised:f4 lo_standardised:f4 hi_standardised:f4", f"""RECURSIVE {DOS}, {RR}, {WINDOW_SQL},
+  {ols_sql('i_', 'rr', ['grp', 'season'], 'ly', [STANDARD])},
+  ix AS (SELECT y.grp, y.season, y.year, coalesce(beta, 0) AS v FROM (SELECT DISTINCT grp, season, year FROM rr) y LEFT JOIN i_effect e ON e.grp = y.grp AND e.season = y.season AND e.t = 'year=' || y.year),
+  sx AS (SELECT grp, season, corr(v, idx) AS r, count(*) AS n FROM ix JOIN wi USING (season, year) GROUP BY 1, 2), a AS (SELECT season, grp, year, avg(y) AS o, avg(model) AS m, avg(res) AS ro, avg(res2) AS rm, avg(x) AS dd FROM d4 GROUP BY 1, 2, 3),
   c AS (SELECT grp, season, count(*) AS n_years, corr(o, m) AS r_naive, corr(dd, o) AS r_sampling_day, corr(ro, rm) AS r_date_adjusted FROM a GROUP BY 1, 2),
-  final AS (SELECT *, tanh(atanh(r_date_adjusted) - 1.96/sqrt(n_years-3)) AS lo, tanh(atanh(r_date_adjusted) + 1.96/sqrt(n_years-3)) AS hi FROM c)""", covers="REG-06 ANM-13")
+  final AS (SELECT c.*, tanh(atanh(r_date_adjusted) - 1.96/sqrt(n_years-3)) AS lo, tanh(atanh(r_date_adjusted) + 1.96/sqrt(n_years-3)) AS hi,
+    sx.r AS r_standardised, tanh(atanh(sx.r) - 1.96/sqrt(sx.n-3)) AS lo_standardised, tanh(atanh(sx.r) + 1.96/sqrt(sx.n-3)) AS hi_standardised FROM c LEFT JOIN sx USING (grp, season))""", covers="REG-06 ANM-13 REG-02 AGG-26")
 def diagnostics(t: Tables):
     mid = F.coalesce(*[F.when(F.col("season") == s, F.lit(m)) for s, m in SEASON_MID.items()])
     a = R.yearly_residuals(with_day(t), ["season", "grp"], "dos", ["y", "y2", "model"], centre=mid, scale=45.0)
@@ -298,7 +342,12 @@ def diagnostics(t: Tables):
     naive = K.correlation(a, k, "y_mean", "model_mean").select(*k, F.col("r").alias("r_naive"), F.col("n").alias("n_years"))
     day = K.correlation(a, k, "mean_dos", "y_mean").select(*k, F.col("r").alias("r_sampling_day"))
     adj = K.correlation(a, k, "y_res", "y2_res").select(*k, F.col("r").alias("r_date_adjusted"), "lo", "hi")
-    return naive.join(day, k).join(adj, k)
+    rows = ratio_rows(t).withColumn("ly", F.log10(F.col("obs") + 1e-6))
+    index = R.year_index(rows, k, "ly", models=[STANDARD]).select(*k, "year", "index")
+    # The window index has a row for each season and year.
+    std = K.correlation(index.join(window_index(t), ["season", "year"]), k, "index", "idx")
+    std = std.select(*k, F.col("r").alias("r_standardised"), F.col("lo").alias("lo_standardised"), F.col("hi").alias("hi_standardised"))
+    return naive.join(day, k).join(adj, k).join(std, k, "left")
 
 
 BINS = """d AS (SELECT l_returnflag AS grp, l_quantity AS v, l_tax*100 + l_discount*90 + (l_linenumber*0.37) AS temp FROM lineitem), lo AS (SELECT floor(min(temp)) AS lo FROM d),

@@ -266,6 +266,48 @@ def onset_best_recipe(t: Tables):
     return O.best_recipe(s.withColumn("mae", F.round("mae", 9)), ["recipe"])
 
 
+# Every recipe: scale and aggregation of the cells of a week, and the rule that makes a week the onset.
+CELLS = """cw AS (SELECT l_returnflag AS grp, year(l_shipdate) AS year, least((dayofyear(l_shipdate)-1)//8, 45) AS week, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2, 3, l_suppkey % 10, l_partkey % 10),
+  ag AS (SELECT grp, year, week, avg(v) AS a, median(v) AS b, avg(log10(v)) AS c, median(log10(v)) AS d FROM cw WHERE v > 0 GROUP BY 1, 2, 3),
+  lg AS (SELECT grp, 'lin/mean' AS recipe, year, week, a AS v FROM ag UNION ALL SELECT grp, 'lin/median', year, week, b FROM ag UNION ALL SELECT grp, 'log/mean', year, week, c FROM ag UNION ALL SELECT grp, 'log/median', year, week, d FROM ag)"""
+LATTICE = f"""{CELLS}, {MODEL_ONSET}, wl AS (SELECT grp, recipe, year, week, v, count(v) OVER g AS nv, 1.05*median(v) OVER g AS thr, lead(v,1) OVER w AS n1, lead(v,2) OVER w AS n2, lead(v,3) OVER w AS n3, lead(v,4) OVER w AS n4
+    FROM lg WINDOW g AS (PARTITION BY grp, recipe, year), w AS (PARTITION BY grp, recipe, year ORDER BY week)),
+  won AS (SELECT grp, recipe, year, min(week) FILTER (v >= thr AND n2 IS NOT NULL AND nv >= 5 AND (n1 > 0.7*thr OR n2 > 0.7*thr)) AS w1,
+    min(week) FILTER (v >= thr AND n2 IS NOT NULL AND nv >= 5 AND (coalesce((n1+n2)/2 > 0.7*thr, false) OR coalesce((n3+n4)/2 > 0.7*thr, false))) AS w2 FROM wl GROUP BY 1, 2, 3),
+  r AS (SELECT grp, recipe || '/either' AS recipe, year, w1*8+1 AS doy FROM won UNION ALL SELECT grp, recipe || '/pairs', year, w2*8+1 FROM won),
+  j AS (SELECT r.grp, recipe, doy, mo.onset_doy AS ref FROM r JOIN mo USING (year) WHERE doy IS NOT NULL AND mo.onset_doy IS NOT NULL),
+  sc AS (SELECT grp, recipe, count(*) AS n, count(*) FILTER ((doy-1)//8 = (ref-1)//8) AS same_week, count(*) FILTER (abs((doy-1)//8 - (ref-1)//8) <= 1) AS within_one,
+    avg(doy-ref) AS bias, avg(abs(doy-ref)) AS mae, CASE WHEN count(*) > 3 THEN corr(doy, ref) END AS r FROM j GROUP BY 1, 2)"""
+
+
+def lattice_scores(t: Tables):
+    """Scores of all recipes from one expanded aggregate: a week holds at most one value for each cell of the grid."""
+    d = F.col("l_shipdate")
+    c = t.lineitem.groupBy(F.col("l_returnflag").alias("grp"), F.year(d).alias("year"), cal.week8(d).alias("week"), F.col("l_suppkey") % 10, F.col("l_partkey") % 10)
+    c = c.agg(F.avg("l_extendedprice").alias("v")).where("v > 0").withColumn("g", F.log10("v"))
+    w = c.groupBy("grp", "year", "week").agg(F.avg("v").alias("a"), F.median("v").alias("b"), F.avg("g").alias("c"), F.median("g").alias("d"))
+    recipes = {"lin/mean": "a", "lin/median": "b", "log/mean": "c", "log/median": "d"}
+    w = w.select("grp", "year", "week", F.inline(F.array(*[F.struct(F.lit(k).alias("scale"), F.col(v).alias("v")) for k, v in recipes.items()])))
+    w = stage(w)  # a row for each week and recipe
+    parts = [O.weekly_onset(w, ["grp", "scale"], value="v", rule=rule).select("grp", F.concat("scale", F.lit(f"/{label}")).alias("recipe"), "year", (F.col("onset_week") * 8 + 1).alias("doy"))
+             for rule, label in (("either_next", "either"), ("pair_means", "pairs"))]
+    ref = model_onset(t).select("year", F.col("onset_doy").alias("ref"))
+    return O.score_recipes(parts[0].unionByName(parts[1]).join(ref, "year"), ["grp", "recipe"], "doy", "ref")
+
+
+@query("onset_recipe_lattice", "grp:s recipe:s n:i same_week:i within_one:i bias:f4 mae:f4 r:f6", f"{LATTICE}, final AS (SELECT * FROM sc)", covers="BLM-10")
+def onset_recipe_lattice(t: Tables):
+    return lattice_scores(t)
+
+
+@query("onset_lattice_best", "grp:s recipe:s same_week:i within_one:i mae:f4",
+       f"{LATTICE}, final AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY grp ORDER BY same_week DESC, within_one DESC, round(mae, 9), recipe) = 1)", covers="BLM-10")
+def onset_lattice_best(t: Tables):
+    s = lattice_scores(t).withColumn("mae", F.round("mae", 9))
+    first = F.struct((-F.col("same_week")).alias("a"), (-F.col("within_one")).alias("b"), "mae", "recipe", "same_week", "within_one")
+    return s.groupBy("grp").agg(F.min(first).alias("f")).select("grp", "f.recipe", "f.same_week", "f.within_one", "f.mae")
+
+
 @query("weekly_ratio", "grp:s year:i week:i v:f4 ratio:f6", f"""{WEEKLY},
   final AS (SELECT grp, year, week, v, v / median(v) OVER (PARTITION BY grp, year) AS ratio FROM gap WHERE v IS NOT NULL)""", covers="BLM-12")
 def weekly_ratio(t: Tables):

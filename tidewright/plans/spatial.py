@@ -159,11 +159,14 @@ def bilinear_regrid(t: Tables):
     return S.regrid(cube(t), w, src=["row", "col"], target=["ty", "tx"], weight="w", value="value", keep=["year", "step"], decimals=None)
 
 
-@query("window_index", "season:s year:i idx:f6", f"""{CUBE}, d AS (SELECT *, make_date(year, 1, 1) + CAST(CASE WHEN step < 120 THEN step*3-1
+WINDOW_SQL = f"""{CUBE}, wd AS (SELECT *, make_date(year, 1, 1) + CAST(CASE WHEN step < 120 THEN step*3-1
     WHEN (year % 4 = 0 AND year % 100 <> 0) OR year % 400 = 0 THEN 361 ELSE 360 END - 1 AS INTEGER) AS date FROM cube),
-  s AS (SELECT CASE WHEN month(date) IN (12,1,2) THEN 'Winter' WHEN month(date) IN (3,4,5) THEN 'Spring' WHEN month(date) IN (6,7,8) THEN 'Summer' ELSE 'Fall' END AS season, year, row, col, avg(value) AS v FROM d GROUP BY ALL),
-  w AS (SELECT o_custkey % 10 AS row, o_orderkey % 10 AS col, count(*) AS w FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
-  final AS (SELECT season, year, log10(sum(w*v)/sum(w) + 1e-6) AS idx FROM s JOIN w USING (row, col) GROUP BY 1, 2)""", covers="AGG-26")
+  ws AS (SELECT CASE WHEN month(date) IN (12,1,2) THEN 'Winter' WHEN month(date) IN (3,4,5) THEN 'Spring' WHEN month(date) IN (6,7,8) THEN 'Summer' ELSE 'Fall' END AS season, year, row, col, avg(value) AS v FROM wd GROUP BY ALL),
+  ww AS (SELECT o_custkey % 10 AS row, o_orderkey % 10 AS col, count(*) AS w FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+  wi AS (SELECT season, year, log10(sum(w*v)/sum(w) + 1e-6) AS idx FROM ws JOIN ww USING (row, col) GROUP BY 1, 2)"""
+
+
+@query("window_index", "season:s year:i idx:f6", f"{WINDOW_SQL}, final AS (SELECT * FROM wi)", covers="AGG-26")
 def window_index(t: Tables):
     c = cube(t).withColumn("season", cal.season(cal.step_date(F.col("year"), F.col("step"))))
     w = t.orders.where("o_orderstatus = 'F'").groupBy(

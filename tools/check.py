@@ -34,7 +34,7 @@ def compare(spark, con, q, folder) -> tuple[bool, str]:
     t1 = time.time()
     spark.catalog.clearCache()
     if q.sql is None:
-        return len(got) > 0, f"rows {len(got)} (no SQL) {t1 - t0:.1f}s"
+        return False, f"rows {len(got)} (no SQL to compare with) {t1 - t0:.1f}s"
     want = con.sql(q.sql).df()
     t2 = time.time()
     note = f"rows {len(got)} spark {t1 - t0:.1f}s duckdb {t2 - t1:.1f}s"
