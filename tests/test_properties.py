@@ -35,6 +35,30 @@ def test_asof_matches_brute_force(spark, obs, model, tol, width):
     assert len(got) == len(obs)
 
 
+def test_counted_buckets_split_one_hour(spark):
+    """Nine of ten times of one key in one hour of thirty years: ordered buckets, none beyond twice the bound."""
+    hour, years, bound = 3_600_000_000, 946_000_000_000_000, 500
+    rnd = random.Random(11)
+    t = {years // 3 + rnd.randrange(hour) for _ in range(18_000)} | {rnd.randrange(years) for _ in range(2_000)} | {0, years}
+    rows = [("hot", float(x)) for x in sorted(t)] + [("few", 5.0), ("few", 9.0), ("one", 3.0), (None, 4.0), (None, 4.5)]
+    d = J.counted_buckets(spark.createDataFrame(rows, "k string, t double"), ["k"], "t", bound)
+    b = d.groupBy("k", "__b").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("k", "__b").collect()
+    hot = [x for x in b if x.k == "hot"]
+    assert sum(x.n for x in b) == len(rows) and max(x.n for x in b) <= 2 * bound and len(hot) >= len(t) // (2 * bound)
+    assert all(x.hi < y.lo for x, y in zip(hot, hot[1:])) and sorted((x.k is None, x.n) for x in b if x.k != "hot") == [(False, 1), (False, 2), (True, 2)]
+
+
+def test_asof_of_clustered_times(spark):
+    rnd = random.Random(12)
+    at = lambda n: [1e9 + rnd.randrange(3600) if rnd.random() < 0.9 else float(rnd.randrange(10**10)) for _ in range(n)]
+    obs, model = at(1500), sorted(set(at(400)))
+    o = spark.createDataFrame([(i, t) for i, t in enumerate(obs)], "id int, t double")
+    m = spark.createDataFrame([(t, t / 7) for t in model], "mt double, v double")
+    got = {r.id: (r.matched_t, r.v) for r in J.asof_nearest(o, m, obs_t="t", model_t="mt", values=["v"], rows_per_bucket=40).collect()}
+    near = {t: min(model, key=lambda x: (abs(x - t), x)) for t in obs}
+    assert got == {i: (near[t], near[t] / 7) for i, t in enumerate(obs)}
+
+
 def test_asof_tie_gap_and_duplicates(spark):
     o = spark.createDataFrame([(2.0,), (2.0,), (50.0,), (None,)], "t double")
     m = spark.createDataFrame([(1.0, 7.0), (1.0, 5.0), (3.0, 9.0)], "mt double, v double")
@@ -97,6 +121,37 @@ def test_group_stats_keep_every_row(spark):
     assert {(x.k, x.n, x["count"]) for x in r.groupBy("k", "n").count().collect()} == {("hot", 900, 900), (None, 90, 90), ("cold", 10, 10)}
 
 
+def test_nearest_cell_of_far_points(spark):
+    """Points 40 degrees from a dense grid find their cell, ties going to the least one, and meet few boxes on the way."""
+    cells = [(r * 100 + c, 48 + r / 50, -125 + c / 50) for r in range(100) for c in range(100)]
+    pts = [(0, 8.0, -124.0), (1, 88.0, -124.0), (2, 49.0, -165.3), (3, 49.0, -83.0), (4, 9.5, -160.0), (5, 49.003, -124.004), (6, 49.99, -123.5), (7, 49.01, -124.01)]
+    g = spark.createDataFrame(cells, "cell int, glat double, glon double")
+    p = spark.createDataFrame([*pts, (8, None, 3.0)], "id int, lat double, lon double")
+    a = dict(lat="lat", lon="lon", glat="glat", glon="glon", cell=["cell"])
+    for scale in (None, 1.0):
+        got = {r.id: (r.cell, r.dist_deg) for r in S.nearest_cell_planar(p, g, lon_scale=scale, **a).collect()}
+        for i, la, lo in pts:
+            k = math.cos(math.radians(la)) if scale is None else scale
+            d = {x[0]: math.sqrt((x[1] - la) ** 2 + ((x[2] - lo) * k) ** 2) for x in cells}
+            assert got[i][1] == pytest.approx(min(d.values())) and d[got[i][0]] == pytest.approx(min(d.values()), abs=1e-13)
+        assert got[8] == (None, None)
+
+
+def test_descent_meets_few_boxes(spark):
+    g = spark.range(250_000).select(F.struct(F.col("id").alias("cell")).alias("cell"), (F.lit(40.0) + F.floor(F.col("id") / 500) / 50).alias("g_lat"),
+                                    (F.lit(-130.0) + F.col("id") % 500 / 50).alias("g_lon"))
+    far = [(8.0, -126.0), (85.0, -124.0), (45.0, -165.3), (46.3, -83.0), (2.0, -170.0), (45.111, -125.555)]
+    p = spark.createDataFrame([(la, lo, 0.7) for la, lo in far], "p_lat double, p_lon double, k double")
+    met = []
+    best = S._descend(p, g, 0.01, met.append).collect()
+    assert len(best) == len(far) and len(met) == 5
+    for level in met:
+        assert max(r["count"] for r in level.groupBy("p_lat", "p_lon").count().collect()) <= 16
+    for r in best:
+        want = min((math.hypot(40 + i // 500 / 50 - r.p_lat, (-130 + i % 500 / 50 - r.p_lon) * 0.7)) for i in range(250_000))
+        assert r.m.d == pytest.approx(want)
+
+
 def test_nearest_cells_match_brute_force(spark):
     rnd = random.Random(5)
     cells = [(i, rnd.uniform(48, 50), rnd.uniform(-125, -123), rnd.random() < 0.7) for i in range(150)]

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALTS = 16
+#: Time ranges that one round of counted_buckets tells apart, in bits, and its rounds.
+DIGIT_BITS, DIGITS = 12, 3
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -74,6 +76,39 @@ def with_next(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str
     )
 
 
+def counted_buckets(df: DataFrame, keys: Sequence[str], order: str, rows_per_bucket: int) -> DataFrame:
+    """Add ``__b``, an ordered bucket of ``order`` within ``keys`` that holds at most about twice ``rows_per_bucket`` rows.
+
+    The cuts come from exact counts. A key's range is cut into equal parts whose counts are summed; neighbouring parts are
+    put together up to the bound, and a part beyond it is cut again by its own counts, so that clustered times are split
+    however wide the range around them is. Keys and parts within the bound do not take part in later rounds. Counts are
+    combined before their shuffle, and a window orders no more than the 4,096 parts of one part. Rows of one part of
+    2**-36 of the key's range stay together; for microseconds that is less than 0.02 s in 30 years. Rows with a NULL
+    in ``order`` are not expected.
+    """
+    keys, n, bound = list(keys), 1 << DIGIT_BITS, F.lit(rows_per_bucket)
+    top = 1 << DIGIT_BITS * DIGITS
+    span = with_group_stats(df, keys, [order], __n=F.count(F.lit(1)), __from=F.min(order), __to=F.max(order))
+    share = F.coalesce(F.try_divide((F.col(order) - F.col("__from")).cast("double"), F.col("__to") - F.col("__from")), F.lit(0.0))
+    d = span.withColumns({"__code": F.least(F.floor(share * top), F.lit(top - 1)), "__open": F.col("__n") > bound})
+    done = []
+    for i in range(DIGITS):
+        digit, group = f"__d{i}", f"__g{i}"
+        part = F.shiftright("__code", DIGIT_BITS * (DIGITS - 1 - i)) % n
+        d = d.withColumn(digit, F.when(F.col("__open"), part))
+        path = [*keys, *done]
+        counts = d.where("__open").groupBy(*path, digit).agg(F.count(F.lit(1)).alias("__c"))
+        before = F.sum("__c").over(W.partitionBy(*path).orderBy(digit).rowsBetween(W.unboundedPreceding, -1))
+        wide = F.col("__c") > bound
+        cut = F.floor(F.coalesce(before, F.lit(0)) / bound) * 2 + wide.cast("int")
+        counts = counts.select(*path, digit, cut.alias(group), wide.alias("__wide"))
+        d = salted_join(d, counts, [*path, digit], [order], "left")
+        d = d.withColumns({group: F.coalesce(group, F.lit(0)), "__open": F.coalesce("__wide", F.lit(False))}).drop("__wide")
+        done.append(digit)
+    groups = [F.col(f"__g{i}") for i in range(DIGITS)]
+    return d.withColumn("__b", F.struct(*groups)).drop("__n", "__from", "__to", "__code", "__open", *done, *[f"__g{i}" for i in range(DIGITS)])
+
+
 def asof_nearest(
     obs: DataFrame,
     model: DataFrame,
@@ -92,8 +127,10 @@ def asof_nearest(
     Times are numbers (days or microseconds). Both sides are first reduced to one row per (key, time), then
     merged inside time buckets; each bucket also knows the last model row before it and the first after it,
     so no key needs a single ordered pass and no pair list is built. Observations without a model row inside
-    ``tolerance`` keep NULL values. ``bucket_width`` fixes the width for known calendars; otherwise each key gets
-    equal buckets that hold about ``rows_per_bucket`` times each.
+    ``tolerance`` keep NULL values. ``bucket_width`` fixes the width for known calendars; otherwise the buckets are
+    cut by exact counts, see :func:`counted_buckets`, so a key with most of its times in one hour is split within it.
+    The last join brings one row per (key, time) back to the observations; adaptive execution splits it where very
+    many observations share one time.
     """
     keys = list(keys)
     payload = [model_t, *values]
@@ -109,10 +146,7 @@ def asof_nearest(
     if bucket_width is not None:
         both = both.withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_width)))
     else:
-        span = with_group_stats(both, keys, ["__t"], __n=F.count(F.lit(1)), __from=F.min("__t"), __to=F.max("__t"))
-        parts = F.ceil(F.col("__n") / rows_per_bucket)
-        share = F.coalesce(F.try_divide(F.col("__t") - F.col("__from"), F.col("__to") - F.col("__from")), F.lit(0.0))
-        both = span.withColumn("__b", F.floor(share * parts)).drop("__n", "__from", "__to")
+        both = counted_buckets(both, keys, "__t", rows_per_bucket)
     edges = both.groupBy(*keys, "__b").agg(F.min("__m").alias("__lo"), F.max("__m").alias("__hi"))
     across = W.partitionBy(*keys).orderBy("__b")
     edges = edges.select(

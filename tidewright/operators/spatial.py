@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, haversine_km
+from ..session import cut_lineage
 from .joins import null_safe_join
 
 _RING = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -47,14 +48,72 @@ def nearest_cell_in_box(points: DataFrame, grid: DataFrame, *, lat: str, lon: st
     return null_safe_join(points, best, [lat, lon], "left")
 
 
+#: Boxes along one side of the next wider box, and the ends of a box: coordinates of a cell that lies on each of its sides.
+FAN, ENDS = 8, ("south", "north", "west", "east")
+
+
+def _pyramid(g: DataFrame, width: float, levels: int) -> DataFrame:
+    """Occupied boxes of every level with the boxes of the level below as ``kids`` (the cells themselves at level 0).
+
+    Levels differ by a factor of FAN, so a box has at most FAN * FAN kids; at level 0 it has the cells of one ``width``.
+    """
+    here, there = F.struct(F.col("g_lat").alias("y"), F.col("g_lon").alias("x")), F.struct(F.col("g_lon").alias("x"), F.col("g_lat").alias("y"))
+    wide = F.get(F.array(*[F.lit(width * FAN**i) for i in range(levels)]), F.col("lv"))
+    at = g.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    at = at.withColumns({"by": F.floor(F.col("g_lat") / wide), "bx": F.floor(F.col("g_lon") / wide)})
+    boxes = at.groupBy("lv", "by", "bx").agg(F.min(here).alias("south"), F.max(here).alias("north"), F.min(there).alias("west"), F.max(there).alias("east"))
+    above = boxes.where(F.col("lv") < levels - 1).select(
+        (F.col("lv") + 1).alias("lv"), F.floor(F.col("by") / FAN).alias("by"), F.floor(F.col("bx") / FAN).alias("bx"),
+        F.struct(*ENDS, F.col("by"), F.col("bx"), F.lit(None).cast(g.schema["cell"].dataType).alias("cell")).alias("kid"))
+    cells = at.where("lv = 0").select("lv", "by", "bx", F.struct(
+        here.alias("south"), here.alias("north"), there.alias("west"), there.alias("east"), "by", "bx", "cell").alias("kid"))
+    return cells.unionByName(above).groupBy("lv", "by", "bx").agg(F.collect_list("kid").alias("kids"))
+
+
+def _descend(p: DataFrame, g: DataFrame, width: float, watch: Callable[[DataFrame], object] | None = None) -> DataFrame:
+    """(p_lat, p_lon, m) with the nearest cell of every point, by a descent through a pyramid of boxes.
+
+    On each level a point keeps the boxes that may hold its nearest cell: those whose least possible distance is no more
+    than the least distance to a cell on the side of any box. A box has a cell on each of its sides, so for a far point that
+    bound exceeds the true distance by little more than a box's width squared over the distance, and a handful of boxes stay,
+    however many cells lie at nearly the same distance. ``watch`` is given the kept (point, box) rows of every level but the last.
+    """
+    levels = 1
+    while width * FAN ** (levels - 1) < 180.0:
+        levels += 1
+    pyramid = cut_lineage(_pyramid(g, width, levels))
+
+    # SQL text: the same few expressions on every level are built faster from text than from column objects.
+    def away(end: str) -> str:
+        return f"sqrt(pow({end}.y - p_lat, 2) + pow(({end}.x - p_lon) * k, 2))"
+
+    bound = f"array_min(transform(kids, b -> least({', '.join(away(f'b.{end}') for end in ENDS)}))) AS ub"
+    least = ("sqrt(pow(greatest(b.south.y - p_lat, p_lat - b.north.y, 0D), 2) "
+             "+ pow(greatest(b.west.x - p_lon, p_lon - b.east.x, 0D) * k, 2)) AS lo")
+    point, within = ["p_lat", "p_lon", "k"], "lo <= ub * (1 + 1e-12D)"
+    top = "explode(array({})) AS b".format(", ".join(f"named_struct('by', {y}L, 'bx', {x}L)" for y in (-1, 0) for x in (-2, -1, 0, 1)))
+    at = p.selectExpr(*point, top).select(*point, "b.*")
+    for level in range(levels - 1, 0, -1):
+        # The kids of one box are thinned before the shuffle by the bound that they give themselves.
+        near = at.join(pyramid.where(f"lv = {level}").select("by", "bx", "kids"), ["by", "bx"])
+        near = near.selectExpr(*point, bound, "explode(kids) AS b").selectExpr(*point, "ub", least, "b.by", "b.bx").where(within)
+        near = near.groupBy(*point).agg(F.min("ub").alias("ub"), F.collect_list(F.struct("lo", "by", "bx")).alias("b"))
+        at = near.selectExpr(*point, "ub", "inline(b)").where(within).select(*point, "by", "bx")
+        if watch:
+            watch(at)
+    cells = at.join(pyramid.where("lv = 0").select("by", "bx", "kids"), ["by", "bx"]).selectExpr(*point, "explode(kids) AS b")
+    return cells.groupBy("p_lat", "p_lon").agg(F.expr(f"min(struct({away('b.south')} AS d, b.cell AS cell)) AS m"))
+
+
 def nearest_cell_planar(points: DataFrame, grid: DataFrame, *, lat: str, lon: str, glat: str, glon: str,
                         cell: Sequence[str], lon_scale: float | None = 1.0, max_km: float | None = None,
                         first_width: float = 0.01, mask: Column | None = None) -> DataFrame:
     """Nearest cell by scaled degree distance; ``lon_scale=None`` uses the cosine of the point's latitude.
 
-    With ``max_km`` one bucket pass is enough; longitude buckets widen with the latitude, so no match is lost near the poles. Without it, one cell per occupied bucket of a
-    pyramid of widths gives each point an upper bound on its distance; the pyramid level just wider than that
-    bound then holds the answer in nine buckets. Candidates per point follow the local cell density.
+    With ``max_km`` one bucket pass is enough; longitude buckets widen with the latitude, so no match is lost near the poles.
+    Without it a descent through a pyramid of boxes finds the cell, see :func:`_descend`; a far point meets a bounded number
+    of boxes too. Coordinates are planar: latitudes within 90, longitudes within 360 degrees of zero, no wrap at 180.
+    Equal distances go to the least ``cell``.
     """
     g = _prepare(grid, glat, glon, cell, mask)
     p = points.select(F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon")).distinct().where(
@@ -80,27 +139,7 @@ def nearest_cell_planar(points: DataFrame, grid: DataFrame, *, lat: str, lon: st
         c = b.join(c.withColumn("bx", F.explode(F.array(at - 1, at, at + 1))), ["by", "bx"])
         best = c.groupBy("p_lat", "p_lon").agg(F.min(F.struct(dist.alias("d"), "cell")).alias("m")).where(F.col("m.d") <= limit)
     else:
-        n_levels = 1
-        while first_width * 2 ** (n_levels - 1) < 360.0:
-            n_levels += 1
-        widths = F.array(*[F.lit(first_width * 2**i) for i in range(n_levels)])
-
-        def bucket(y: Column, x: Column, level: Column, dy: int = 0, dx: int = 0) -> Column:
-            w = F.get(widths, level)
-            return F.struct(level.alias("lv"), (F.floor(y / w) + dy).alias("by"), (F.floor(x / w) + dx).alias("bx"))
-
-        levels = F.sequence(F.lit(0), F.lit(n_levels - 1))
-        tagged = g.withColumn("__l", F.explode(levels)).select(
-            "g_lat", "g_lon", "cell", bucket(F.col("g_lat"), F.col("g_lon"), F.col("__l")).alias("__b")).select("*", "__b.*").drop("__b")
-        reps = tagged.groupBy("lv", "by", "bx").agg(F.min(F.struct("g_lat", "g_lon")).alias("r")).select("lv", "by", "bx", "r.*")
-        around = p.withColumn("__l", F.explode(levels)).withColumn("__b", F.explode(F.array(
-            *[bucket(F.col("p_lat"), F.col("p_lon"), F.col("__l"), i, j) for i, j in _RING]))).select("p_lat", "p_lon", "k", "__b.*")
-        bound = around.join(reps, ["lv", "by", "bx"]).groupBy("p_lat", "p_lon", "k").agg(F.min(dist).alias("ub"))
-        need = F.col("ub") / F.least(F.lit(1.0), F.col("k")) * (1 + 1e-12)
-        level = F.least(F.size(F.filter(widths, lambda w: w < need)), F.lit(n_levels - 1))
-        near = bound.withColumn("__l", level).withColumn("__b", F.explode(F.array(
-            *[bucket(F.col("p_lat"), F.col("p_lon"), F.col("__l"), i, j) for i, j in _RING]))).select("p_lat", "p_lon", "k", "__b.*")
-        best = near.join(tagged, ["lv", "by", "bx"]).groupBy("p_lat", "p_lon").agg(F.min(F.struct(dist.alias("d"), "cell")).alias("m"))
+        best = _descend(p, g, first_width)
     best = best.select(F.col("p_lat").alias(lat), F.col("p_lon").alias(lon), "m.cell.*", F.col("m.d").alias("dist_deg"))
     return null_safe_join(points, best, [lat, lon], "left")
 

@@ -35,11 +35,12 @@ def nearest_cell(t: Tables):
 
 PLANAR = """gg AS (SELECT lat, lon, min(row * 100000 + col) AS rc FROM grid GROUP BY 1, 2), u AS (SELECT DISTINCT lat, lon FROM stations),
   c AS (SELECT p.lat, p.lon, g.rc, sqrt(pow(g.lat-p.lat,2)+pow((g.lon-p.lon)*{k},2)) AS d FROM u p, gg g),
-  b AS (SELECT lat, lon, min(d) AS d FROM c GROUP BY 1, 2)"""
+  b AS (SELECT lat, lon, min((round(d, 9), rc)) AS m, min(d) AS d FROM c GROUP BY 1, 2),
+  f AS (SELECT station, m[2] // 100000 AS row, m[2] % 100000 AS col, d AS dist_deg FROM stations JOIN b USING (lat, lon))"""
 
 
-@query("nearest_pixel_max", "station:i dist_deg:f6", f"""{GRID}, {STATIONS}, {PLANAR.format(k="cos(radians(49.5))")},
-  final AS (SELECT station, CASE WHEN d*111.0 <= 1.2 THEN d END AS dist_deg FROM stations JOIN b USING (lat, lon))""", covers="JOI-06")
+@query("nearest_pixel_max", "station:i row:f0 col:f0 dist_deg:f6", f"""{GRID}, {STATIONS}, {PLANAR.format(k="cos(radians(49.5))")},
+  final AS (SELECT station, CASE WHEN dist_deg*111.0 <= 1.2 THEN row END AS row, CASE WHEN dist_deg*111.0 <= 1.2 THEN col END AS col, CASE WHEN dist_deg*111.0 <= 1.2 THEN dist_deg END AS dist_deg FROM f)""", covers="JOI-06")
 def nearest_pixel_max(t: Tables):
     import math
 
@@ -47,8 +48,8 @@ def nearest_pixel_max(t: Tables):
                                  lon_scale=math.cos(math.radians(49.5)), max_km=1.2)
 
 
-@query("nearest_cell_any", "station:i dist_deg:f6", f"""{GRID}, {STATIONS}, {PLANAR.format(k="cos(radians(p.lat))")},
-  final AS (SELECT station, d AS dist_deg FROM stations JOIN b USING (lat, lon))""", covers="JOI-07")
+@query("nearest_cell_any", "station:i row:f0 col:f0 dist_deg:f6", f"""{GRID}, {STATIONS}, {PLANAR.format(k="cos(radians(p.lat))")},
+  final AS (SELECT * FROM f)""", covers="JOI-07")
 def nearest_cell_any(t: Tables):
     return S.nearest_cell_planar(stations(t), grid(t), lat="lat", lon="lon", glat="lat", glon="lon", cell=["row", "col"], lon_scale=None)
 
