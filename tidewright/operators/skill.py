@@ -89,6 +89,25 @@ def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, min_pairs: i
     })
 
 
+def yearly_links(series: DataFrame, links: Sequence[tuple[str, str, str]], offsets: Sequence[int] = (0,), *, source: str = "source",
+                 year: str = "year", value: str = "v", min_pairs: int = 5) -> DataFrame:
+    """Correlations between pairs of yearly series of one long table (source, year, value), a row per link and offset.
+
+    ``links`` is configuration: (comparison, first source, second source). With offset 1 a year of the first source meets the year
+    after it in the second. Years that one side lacks, or where it is NULL, are left out. Each value is sent once to every link side
+    that reads its source and the two sides meet by grouping, so the series are shuffled once and nothing is joined. A link without
+    any common year has no row.
+    """
+    sides = F.array(*[
+        F.struct(F.lit(label).alias("comparison"), F.lit(o).alias("offset"), F.lit(s).alias("s"), F.lit(side).alias("side"),
+                 F.lit(o if side == "a" else 0).alias("shift"))
+        for label, first, second in links for o in offsets for s, side in ((first, "a"), (second, "b"))])
+    d = series.withColumn("__l", F.explode(F.filter(sides, lambda x: x["s"] == F.col(source))))
+    d = d.groupBy("__l.comparison", "__l.offset", (F.col(year) + F.col("__l.shift")).alias("__year")).agg(
+        *[F.avg(F.when(F.col("__l.side") == side, F.col(value))).alias(f"__{side}") for side in "ab"])
+    return correlation(d, ["comparison", "offset"], "__a", "__b", min_pairs)
+
+
 def weighted_corr(x: str, y: str, w: str) -> Column:
     """Weighted Pearson r from sums."""
     x_, y_, w_ = F.col(x), F.col(y), F.col(w)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson
+from ..operators import onset as O
 from ..operators import skill as K
-from .base import Tables, query
-from .bindings import PAIRED, paired
+from .base import Tables, query, stage
+from .bindings import MODEL_SERIES, PAIRED, SERIES, model_series, paired, series_table
+from .onsets import doy_sql
 
 CORE = """om AS (SELECT {k} avg(obs) AS om FROM {src} {g}),
   agg AS (SELECT {pk} count(*) AS n, avg(model-obs) AS bias, avg(abs(model-obs)) AS mae, avg((model-obs)^2) AS mse,
@@ -107,6 +111,54 @@ def comparison_links(t: Tables):
     return K.correlation(y.select(F.inline(pairs)), ["comparison"], "a", "b")
 
 
+#: Yearly series that are compared with each other: spring means of the tows, springs of the whole series, and days of the bloom.
+LINKS = [
+    ("2-D spring vs 2-D bloom", "spring 2-D", "bloom 2-D"),
+    ("1-D spring vs 1-D bloom", "spring 1-D", "bloom 1-D"),
+    ("tows vs first bloom record", "tows", "bloom seen"),
+    ("tows vs second bloom record", "tows", "bloom seen twice"),
+    ("2-D at tows vs 2-D bloom", "2-D at tows", "bloom 2-D"),
+    ("1-D at tows vs 1-D bloom", "1-D at tows", "bloom 1-D"),
+    ("2-D bloom vs first record", "bloom 2-D", "bloom seen"),
+    ("sampling day vs first record", "sampling day", "bloom seen"),
+    ("sampling day vs second record", "sampling day", "bloom seen twice"),
+]
+LINK_SQL = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LINKS)
+
+
+@query("phenology_links", "comparison:s offset:i n:i r:f5 lo:f4 hi:f4 p:f5", f"""{PAIRED}, {SERIES}, {MODEL_SERIES},
+  {doy_sql('pair', name='one')}, {doy_sql('four', name='two')}, msrc AS (SELECT 'm' AS grp, year, mdate AS date, model AS v FROM model_series),
+  {doy_sql('pair', src='msrc', name='mon')}, tw AS (SELECT year, avg(obs) AS o, avg(model) AS m, avg(log10(model + 1)) AS l, avg(dayofyear(date)) AS d FROM paired WHERE season = 'Spring' GROUP BY 1),
+  ys AS (SELECT 'tows' AS source, year, o AS v FROM tw UNION ALL SELECT '2-D at tows', year, m FROM tw UNION ALL SELECT '1-D at tows', year, l FROM tw UNION ALL SELECT 'sampling day', year, d FROM tw
+    UNION ALL SELECT 'spring 2-D', year, avg(v) FROM series WHERE month(date) IN (3, 4, 5) AND grp = 'N' GROUP BY 2
+    UNION ALL SELECT 'spring 1-D', year, avg(model) FROM model_series WHERE month(mdate) IN (3, 4, 5) GROUP BY 2
+    UNION ALL SELECT 'bloom seen', year, onset_doy FROM one WHERE grp = 'A' UNION ALL SELECT 'bloom seen twice', year, onset_doy FROM two WHERE grp = 'R'
+    UNION ALL SELECT 'bloom 2-D', year, onset_doy FROM one WHERE grp = 'N' UNION ALL SELECT 'bloom 1-D', year, onset_doy FROM mon),
+  pr AS (SELECT comparison, o.off AS "offset", a.v AS a, b.v AS b FROM (VALUES {LINK_SQL}) l(comparison, s1, s2), (VALUES (0), (1)) o(off), ys a, ys b
+    WHERE a.source = s1 AND b.source = s2 AND a.year + o.off = b.year AND a.v IS NOT NULL AND b.v IS NOT NULL),
+  c AS (SELECT comparison, "offset", count(*) AS n, CASE WHEN count(*) >= 5 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS r FROM pr GROUP BY 1, 2),
+  final AS (SELECT *, tanh(atanh(r) - 1.96/sqrt(n-3)) AS lo, tanh(atanh(r) + 1.96/sqrt(n-3)) AS hi, {P_SQL} AS p FROM c)""", covers="SKL-09 SKL-07 BLM-01 BLM-02")
+def phenology_links(t: Tables):
+    """Spring values against bloom days between sources, in the same year and with the second source one year later."""
+    series, one_d = stage(series_table(t)), stage(model_series(t))
+    tows = paired(t).where("season = 'Spring'").groupBy("year").agg(
+        F.avg("obs").alias("tows"), F.avg("model").alias("2-D at tows"), F.avg(F.log10(F.col("model") + 1)).alias("1-D at tows"), F.avg(F.dayofyear("date")).alias("sampling day"))
+    as_series = one_d.select(F.lit("m").alias("grp"), "year", F.col("mdate").alias("date"), F.col("model").alias("v"))
+    first, twice = O.threshold_onset(series, ["grp"], value="v"), O.threshold_onset(series, ["grp"], value="v", rule="two_of_four")
+
+    def part(df, source: str, v):
+        return df.select(F.lit(source).alias("source"), "year", v.cast("double").alias("v"))
+
+    spring = F.month("date").isin(3, 4, 5)
+    day = F.col("onset_doy")
+    parts = [tows.unpivot("year", ["tows", "2-D at tows", "1-D at tows", "sampling day"], "source", "v").select("source", "year", "v"),
+             part(series.where(spring & (F.col("grp") == "N")).groupBy("year").agg(F.avg("v").alias("v")), "spring 2-D", F.col("v")),
+             part(as_series.where(spring).groupBy("year").agg(F.avg("v").alias("v")), "spring 1-D", F.col("v")),
+             part(first.where("grp = 'A'"), "bloom seen", day), part(twice.where("grp = 'R'"), "bloom seen twice", day),
+             part(first.where("grp = 'N'"), "bloom 2-D", day), part(O.threshold_onset(as_series, ["grp"], value="v"), "bloom 1-D", day)]
+    return K.yearly_links(reduce(lambda a, b: a.unionByName(b), parts), LINKS, offsets=(0, 1))
+
+
 @query("best_fit_line", "grp:s n:i slope:f6 intercept:f4 r2:f6", f"""{PAIRED},
   final AS (SELECT grp, count(*) AS n, regr_slope(model, obs) AS slope, regr_intercept(model, obs) AS intercept, regr_r2(model, obs) AS r2
    FROM paired GROUP BY 1)""", covers="SKL-10")
