@@ -87,18 +87,18 @@ def _descend(p: DataFrame, g: DataFrame, width: float, watch: Callable[[DataFram
     def away(end: str) -> str:
         return f"sqrt(pow({end}.y - p_lat, 2) + pow(({end}.x - p_lon) * k, 2))"
 
-    bound = f"array_min(transform(kids, b -> least({', '.join(away(f'b.{end}') for end in ENDS)}))) AS ub"
+    bound = f"least({', '.join(away(f'b.{end}') for end in ENDS)}) AS hi"
     least = ("sqrt(pow(greatest(b.south.y - p_lat, p_lat - b.north.y, 0D), 2) "
              "+ pow(greatest(b.west.x - p_lon, p_lon - b.east.x, 0D) * k, 2)) AS lo")
-    point, within = ["p_lat", "p_lon", "k"], "lo <= ub * (1 + 1e-12D)"
+    point, slack = ["p_lat", "p_lon", "k"], "(1 + 1e-12D)"
     top = "explode(array({})) AS b".format(", ".join(f"named_struct('by', {y}L, 'bx', {x}L)" for y in (-1, 0) for x in (-2, -1, 0, 1)))
-    at = p.selectExpr(*point, top).select(*point, "b.*")
+    at = p.selectExpr(*point, "1e300D AS ub", top).select(*point, "ub", "b.*")
     for level in range(levels - 1, 0, -1):
-        # The kids of one box are thinned before the shuffle by the bound that they give themselves.
-        near = at.join(pyramid.where(f"lv = {level}").select("by", "bx", "kids"), ["by", "bx"])
-        near = near.selectExpr(*point, bound, "explode(kids) AS b").selectExpr(*point, "ub", least, "b.by", "b.bx").where(within)
-        near = near.groupBy(*point).agg(F.min("ub").alias("ub"), F.collect_list(F.struct("lo", "by", "bx")).alias("b"))
-        at = near.selectExpr(*point, "ub", "inline(b)").where(within).select(*point, "by", "bx")
+        # The bound of the level above thins the kids before they are grouped.
+        near = at.join(pyramid.where(f"lv = {level}").select("by", "bx", "kids"), ["by", "bx"]).selectExpr(*point, "ub", "explode(kids) AS b")
+        near = near.selectExpr(*point, "ub", bound, least, "b.by", "b.bx").where(f"lo <= ub * {slack}")
+        near = near.groupBy(*point).agg(F.min("hi").alias("ub"), F.collect_list(F.struct("lo", "by", "bx")).alias("b"))
+        at = near.selectExpr(*point, "ub", "inline(b)").where(f"lo <= ub * {slack}").select(*point, "ub", "by", "bx")
         if watch:
             watch(at)
     cells = at.join(pyramid.where("lv = 0").select("by", "bx", "kids"), ["by", "bx"]).selectExpr(*point, "explode(kids) AS b")
