@@ -1,8 +1,9 @@
 """Plain Python versions of the contracts, for small inputs."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -145,3 +146,35 @@ def alignment(texts, pair):
         (f[0], f[1], len(f[3]), len(f[2]), sum(total[x] == top[x[1]] for x in f[2]), sum(total[x] for x in f[2]), sha(";".join(f[3])))
         for f in found
     ]
+
+
+def lm_scores(rows, good, order=4, weight=5.0, least=2):
+    """(doc_id, n_tokens, loss_target, loss_background, score) of interpolated character models, from plain dictionaries."""
+    total = Counter(c for _, t in rows for c in t or "")
+    known = {c for c, n in total.items() if n >= least}
+    of = {}
+    for i, (d, t) in enumerate(rows):
+        of[i] = ["^"] * (order - 1) + [c if c in known else "" for c in t or ""]
+    counts = {side: Counter() for side in "tb"}
+    contexts = {side: Counter() for side in "tb"}
+    for i, (d, _) in enumerate(rows):
+        for side in "tb" if d in good else "b":
+            for end in range(order, len(of[i]) + 1):
+                for k in range(1, order + 1):
+                    g = tuple(of[i][end - k : end])
+                    counts[side][g] += 1
+                    contexts[side][k, g[:-1]] += 1
+
+    def loss(side, g):
+        p = 1 / (len(known) + 1)
+        for k in range(1, order + 1):
+            own = g[-k:]
+            p = (counts[side][own] + weight * p) / (contexts[side][k, own[:-1]] + weight)
+        return -math.log2(p)
+
+    out = []
+    for i, (d, t) in enumerate(rows):
+        grams = [tuple(of[i][end - order : end]) for end in range(order, len(of[i]) + 1)]
+        a, b = (sum(loss(side, g) for g in grams) / len(grams) if grams else None for side in "tb")
+        out.append((d, len(grams), a, b, a - b if grams else None))
+    return out

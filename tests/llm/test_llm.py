@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import sys
+import zlib
 
 import pytest
 
@@ -200,6 +201,55 @@ def test_scores_alike_both_ways(spark, docs):
         assert x[:2] == y[:2] and (x[4] is None) == (y[4] is None) and (x[4] is None or abs(x[4] - y[4]) < 1e-9)
 
 
+def test_scores_equal_plain_counts(spark, rows, docs):
+    """Also with repeated rows, a null id, ids that no document has, and no target at all."""
+    more = rows + [rows[12], (None, "a bc"), (None, None)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(more[len(rows) :], "doc_id long, text string"))
+    for good in ({i for i, _ in rows if i % 3}, set()):
+        ids = spark.createDataFrame([(i,) for i in [*good, *good, 10**6, None]], "doc_id long")
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        out, want = sorted(map(tuple, lm_scores.score(df, ids).collect()), key=key), sorted(brute.lm_scores(more, good), key=key)
+        assert [r[:2] for r in out] == [r[:2] for r in want]
+        for a, b in zip(out, want):
+            assert all((x is None and y is None) or abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:]))
+
+
+def test_scores_of_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert lm_scores.score(none, none.select("doc_id")).count() == 0
+
+
+def test_bpe_query_equals_the_library(spark):
+    """Every column of the registered query, over whole texts."""
+    from tokenizers import Tokenizer
+
+    library, sha = Tokenizer.from_file(PATH), lambda t: hashlib.sha256(t.encode()).hexdigest()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    out = queries.op3_bpe(spark, FOLDER).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
+        assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_sharding_query_on_whole_texts(spark):
+    """Sizes, checksums, whole groups, gapless slots and loads as near as the largest group allows."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    out = queries.op5_sharding(spark, FOLDER).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    group, of = {}, {}
+    for r in out:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        assert of.setdefault(texts[r.doc_id], r.shard) == r.shard
+        group[texts[r.doc_id]] = group.get(texts[r.doc_id], 0) + r.size
+    load = [sum(r.size for r in out if r.shard == s) for s in range(queries.SHARDS)]
+    assert max(load) - min(load) <= max(group.values())
+    for s in range(queries.SHARDS):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_chat_edges(spark):
     t = [(1, 0, "user", "a"), (1, 1, None, "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, None, "b"), (4, 0, None, None), (4, 0, None, None), (None, 0, "user", "z"), (5, None, "user", "z"), (6, 0, None, "")]
     t += [(7, i, "user", str(i)) for i in range(3000)] + [(8, i, "user", str(i)) for i in range(2000)]
