@@ -10,15 +10,25 @@ from tidewright.operators import onset as O
 from tidewright.operators import skill as K
 
 # The first observed and modelled 14-day means of a published pair table.
-PAIRS = """5.25830427045,4.52649312935808 6.730155619515,3.7991571386651524 3.8534882872500003,3.1059938994075207
-4.1887812554625,3.052857286242134 4.358692447875,2.5193647509970747 3.664210935346875,2.1134561592866206
-3.587297957099999,1.9143190785124808 2.423324991853125,1.6378203606783601 2.43107726259375,1.7546046751949602""".split()
-
+PAIRS = [
+    (5.25830427045, 4.52649312935808),
+    (6.730155619515, 3.7991571386651524),
+    (3.8534882872500003, 3.1059938994075207),
+    (4.1887812554625, 3.052857286242134),
+    (4.358692447875, 2.5193647509970747),
+    (3.664210935346875, 2.1134561592866206),
+    (3.587297957099999, 1.9143190785124808),
+    (2.423324991853125, 1.6378203606783601),
+    (2.43107726259375, 1.7546046751949602),
+]
+
+# Published onset days of 2003 to 2016 from satellite data, with their labels, and from the grid and series models.
 SATELLITE = dict(zip(range(2003, 2017), [100, 68, 50, 83, 115, 115, 100, 100, 92, 88, 92, 92, 55, 77]))
-SATELLITE_LABELS = dict(zip(range(2003, 2017), "avg avg early avg late late avg avg avg avg avg avg early avg".split()))
+SATELLITE_LABELS = dict(zip(range(2003, 2017), ["avg", "avg", "early", "avg", "late", "late", "avg", "avg", "avg", "avg", "avg", "avg", "early", "avg"]))
 GRID_ONSET = dict(zip(range(2003, 2017), [95, 95, 59, 101, 101, 110, 95, 86, 104, 101, 83, 80, 59, 77]))
 SERIES_ONSET = dict(zip(range(2003, 2017), [83, 74, 71, 89, 92, 95, 92, 68, 98, 95, 77, 74, 53, 77]))
 
+# Published yearly spring anomalies, observed and modelled.
 SPRING_OBS = [1.3382570669952667, 0.03619663704141163, -0.5198371364031994, -0.5151928690494392, -0.4433667136437812, -0.5792180124447762,
               -0.45031028574314635, 0.5314668552739968, -0.9974320812711943, -0.1441574897957676, 1.2678009345472034, -0.37988118442663493,
               -0.8804163524615394, 0.24589947423118566, 0.16442588628985683, -0.2862249367934707, 0.28799132689023593]
@@ -26,6 +36,7 @@ SPRING_MODEL = [1.331963307007757, -0.8913809865553046, -1.3695741338042866, -0.
                 -0.36426754540081585, 0.3589498256342114, -0.811623256756854, 0.041221083779429846, 0.7472019802820989, -1.0283207396334704,
                 -0.8666552015908916, 0.5990141118571062, 0.5216060350363041, -0.754100431553232, -0.23705315579223968]
 
+# Published spring means of a long model run, and the onset days of the same years.
 FULL_SPRING = [0.3580063312486751, 0.398762945547184, 0.3292805436548314, 0.4235717457474756, 0.3741359545455397, 0.36016172955275305,
                0.33237052136302775, 0.38433494823942865, 0.37058932912124914, 0.32565031851020904, 0.36992463415057625, 0.3210679758415811,
                0.46296883066411265, 0.361509478965633, 0.42075988202353654, 0.38553841053054, 0.33459222658386517, 0.3187605452235221,
@@ -78,7 +89,7 @@ def test_phenology_link(spark):
 def test_pairs_excerpt_against_plain_formulas(spark):
     import numpy as np
 
-    o, m = np.array([[float(x) for x in p.split(",")] for p in PAIRS]).T
+    o, m = np.array(PAIRS).T
     r = K.skill(frame(spark, o, m), [], "o", "m", which="paired").first()
     wss = 1 - ((m - o) ** 2).sum() / ((abs(m - o.mean()) + abs(o - o.mean())) ** 2).sum()
     assert r.wss == pytest.approx(wss) and r.obs_std == pytest.approx(o.std(ddof=1)) and r.r == pytest.approx(np.corrcoef(o, m)[0, 1])

@@ -256,3 +256,45 @@ def test_stage_tables_come_back_with_their_types(spark, tmp_path):
         back = U.read_stage(spark, str(tmp_path / fmt), "g string, v double, n long, year int", fmt=fmt)
         assert dict(back.dtypes) == {"g": "string", "v": "double", "n": "bigint", "year": "int"}
         assert sorted(map(str, back.select(d.columns).collect())) == sorted(map(str, d.collect()))
+
+
+def test_corrected_year_index_equals_plain_least_squares(spark):
+    """Both methods against numpy, with an uneven design, an empty factor level and rows without a response."""
+    rng = np.random.default_rng(4)
+    rows = [(g, int(y), str(rng.choice(["", "a", "b"])), float(rng.uniform(0, 90)), float(rng.normal())) for g in "pq" for y in rng.integers(2000, 2006, 60)]
+    d = spark.createDataFrame(rows + [("p", 2001, "a", 5.0, None)], "g string, year int, net string, dos double, y double")
+    sets = [R.Terms(name="none"), R.Terms(factors=("net",), name="net"), R.Terms(poly=(("dos", 1),), name="line"), R.Terms(poly=(("dos", 3),), name="cubic")]
+    got = {(r.g, r.correction, r.method, int(r.year)): (r["index"], r.n) for r in R.corrected_year_index(d, ["g"], "y", corrections=sets).collect()}
+    for g in "pq":
+        own = [r for r in rows if r[0] == g]
+        year, net, x, y = (np.array([r[i] for r in own]) for i in (1, 2, 3, 4))
+        t, one = (x - x.mean()) / x.std(), np.ones(len(own))
+        season = {"none": [], "net": [net == n for n in sorted(set(net))[1:]], "line": [t], "cubic": [t, t**2, t**3]}
+        years = sorted(set(year))
+        for name, columns in season.items():
+            alone = np.column_stack([one, *columns]).astype(float)
+            left = y - alone @ np.linalg.lstsq(alone, y, rcond=None)[0]
+            both = np.column_stack([one, *[year == k for k in years[1:]], *columns]).astype(float)
+            e = np.r_[0, np.linalg.lstsq(both, y, rcond=None)[0][1 : len(years)]]
+            m = np.array([left[year == k].mean() for k in years])
+            for method, want in (("residual-then-average", m - m.mean()), ("joint", e - e.mean())):
+                for k, v in zip(years, want):
+                    assert got[g, name, method, k] == (pytest.approx(v, abs=1e-9), int((year == k).sum()))
+    assert len(got) == 2 * 4 * 2 * 6
+
+
+def test_a_missing_column_is_an_error_unless_allowed(spark):
+    from tidewright.operators import survey as S
+
+    d = spark.createDataFrame([(1,)], "tow int")
+    assert S.eligible_tows(d, mode="if_present").count() == S.eligible_tows(d, mode="none").count() == S.without_stations(d, ["a"], if_present=True).count() == 1
+    for call in (lambda: S.eligible_tows(d), lambda: S.eligible_tows(d, mode="all"), lambda: S.without_stations(d, ["a"])):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_flux_factor_of_each_row(spark):
+    from tidewright.operators import nutrient as N
+
+    d = spark.createDataFrame([("monthly", "5"), ("monthly", "13"), ("seasonal", "Spring"), ("seasonal", "5"), ("none", "5"), ("monthly", None)], "kind string, key string")
+    assert [r[0] for r in d.select(N.flux_multiplier(F.col("kind"), F.col("key"))).collect()] == [0.65, 1.0, 0.8, 1.0, 1.0, 1.0]

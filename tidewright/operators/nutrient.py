@@ -18,6 +18,8 @@ MMOL_TO_G_N = 14.0 / 1000.0
 # Flux multipliers of the default scenario, by month and by season.
 MONTHLY_FLUX = {1: 1.37, 2: 1.36, 3: 1.28, 4: 1.0, 5: 0.65, 6: 0.55, 7: 0.53, 8: 0.47, 9: 0.75, 10: 0.95, 11: 1.4, 12: 1.55}
 SEASONAL_FLUX = {"Winter": 1.0, "Spring": 0.8, "Summer": 0.6, "Fall": 0.9}
+#: The default scenario as one table: factor by (kind, key). Kinds without rows have the factor 1.
+FLUX = {("monthly", str(k)): f for k, f in MONTHLY_FLUX.items()} | {("seasonal", k): f for k, f in SEASONAL_FLUX.items()}
 
 
 def areal_inventory(conc: Column, thickness: float) -> Column:
@@ -43,17 +45,13 @@ def apply_multiplier(series: DataFrame, table: DataFrame, keys: Sequence[str], v
     return j.withColumn(out, F.col(value) * F.col("mult"))
 
 
-def flux_multiplier(kind: str, *, month: Column | None = None, season: Column | None = None, looked_up: Column | None = None) -> Column:
-    """Multiplier by kind: none, monthly, seasonal or 3day (already looked up); missing counts as 1."""
-    if kind == "monthly":
-        table = F.create_map(*[F.lit(x) for kv in MONTHLY_FLUX.items() for x in kv])
-        return F.coalesce(F.try_element_at(table, month), F.lit(1.0))
-    if kind == "seasonal":
-        table = F.create_map(*[F.lit(x) for kv in SEASONAL_FLUX.items() for x in kv])
-        return F.coalesce(F.try_element_at(table, season), F.lit(1.0))
-    if kind == "3day":
-        return F.coalesce(looked_up, F.lit(1.0))
-    return F.lit(1.0)
+def flux_multiplier(kind: Column | str, key: Column, table: Mapping[tuple[str, str], float] = FLUX) -> Column:
+    """Factor of a (kind, key) in ``table``, 1 where it has none. ``kind`` may differ from row to row.
+
+    Factors that come as a table of steps are joined by ``apply_multiplier`` instead.
+    """
+    pairs = F.create_map(*[F.lit(x) for (k, v), f in table.items() for x in (f"{k} {v}", float(f))])
+    return F.coalesce(F.try_element_at(pairs, F.concat_ws(" ", F.lit(kind) if isinstance(kind, str) else kind, key.cast("string"))), F.lit(1.0))
 
 
 def first_step_bound(df: DataFrame, time: str, bound: str, cell: Sequence[str] | None = None) -> DataFrame:

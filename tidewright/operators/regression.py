@@ -150,6 +150,17 @@ def cross_products(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[
     return sums.select(*keys, F.inline(F.array(*entries))).groupBy(*keys, "i", "j").agg(F.sum("p").alias("p"))
 
 
+def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
+    """The full cross-product matrix of one group's sums, and the names of its terms."""
+    names = sorted(set(pdf["i"]) | set(pdf["j"]))
+    pos = {n: i for i, n in enumerate(names)}
+    g = np.zeros((len(names), len(names)))
+    ii, jj = pdf["i"].map(pos).to_numpy(), pdf["j"].map(pos).to_numpy()
+    g[ii, jj] = pdf["p"].to_numpy()
+    g[jj, ii] = pdf["p"].to_numpy()
+    return g, names
+
+
 def _solve_models(g: np.ndarray, names: list[str], models: Sequence[Terms]) -> pd.DataFrame:
     """Effects of every model from the union cross-product matrix of one group."""
     pos = {n: i for i, n in enumerate(names)}
@@ -197,14 +208,9 @@ def fit_terms(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[Terms
     key_schema = ", ".join(f"`{k}` {t}" for k, t in gram.dtypes if k in keys)
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["i"]) | set(pdf["j"]))
+        g, names = _matrix(pdf)
         if max_terms is not None and len(names) > max_terms:
             raise ValueError(f"{len(names)} terms in group {key}: more than {max_terms}")
-        pos = {n: i for i, n in enumerate(names)}
-        g = np.zeros((len(names), len(names)))
-        ii, jj = pdf["i"].map(pos).to_numpy(), pdf["j"].map(pos).to_numpy()
-        g[ii, jj] = pdf["p"].to_numpy()
-        g[jj, ii] = pdf["p"].to_numpy()
         res = _solve_models(g, names, models)
         for i, k in enumerate(keys):
             res[k] = key[i]
@@ -282,6 +288,44 @@ def year_index(df: DataFrame, keys: Sequence[str], y: str, *, year: str = "year"
     return e.select(*keys, "model", F.col("level").cast("int").alias("year"), F.col("effect").alias("index"))
 
 
+def corrected_year_index(df: DataFrame, keys: Sequence[str], y: str, *, year: str = "year", corrections: Sequence[Terms]) -> DataFrame:
+    """Year index under each correction by two methods, as rows (keys, correction, method, year, index, n).
+
+    ``residual-then-average`` fits the correction alone and takes the mean residual of a year; what differs between years can
+    vanish in the correction. ``joint`` fits year effects along with it. A year's mean residual is its mean response less the
+    coefficients times its mean terms, so one table of sums serves all corrections and both methods, and rows are read once.
+    Indices are centred on their unweighted mean over the years. Rows without a response or a numeric term are left out.
+    """
+    keys = list(keys)
+    joint = [Terms((year, *c.factors), c.numeric, c.poly, c.name) for c in corrections]
+    gram = cross_products(df, keys, y, joint)
+    key_schema = [f"`{k}` {t}" for k, t in gram.dtypes if k in keys]
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        g, names = _matrix(pdf)
+        pos = {n: i for i, n in enumerate(names)}
+        years = [n for n in names if n.startswith(f"{year}=")]
+        at, count = [pos[n] for n in years], g[[pos[n] for n in years], pos["(1)"]]
+        parts = []
+        for method, models in (("residual-then-average", corrections), ("joint", joint)):
+            fits = _solve_models(g, names, models)
+            fits["name"] = fits["term"].where(~fits["term"].isin([f for m in models for f in m.factors]), fits["term"] + "=" + fits["level"])
+            for m in models:
+                beta = fits[fits["model"] == m.name].set_index("name")["effect"]
+                if method == "joint":
+                    index = beta.reindex(years).to_numpy()
+                else:
+                    index = (g[at, pos["(y)"]] - g[np.ix_(at, [pos[n] for n in beta.index])] @ beta.to_numpy()) / count
+                parts.append(pd.DataFrame({"correction": m.name, "method": method, year: [n.split("=", 1)[1] for n in years], "index": index - index.mean(), "n": count.round().astype(int)}))
+        out = pd.concat(parts, ignore_index=True)
+        for k, v in zip(keys, key):
+            out[k] = v
+        return out[[*keys, "correction", "method", year, "index", "n"]]
+
+    schema = ", ".join([*key_schema, f"correction string, method string, `{year}` string, index double, n long"])
+    return gram.groupBy(*(keys or [F.lit(1).alias("__all")])).applyInPandas(solve, schema)
+
+
 def drop_one_r2(df: DataFrame, keys: Sequence[str], y: str, full: Terms) -> DataFrame:
     """R2 of the full model and the part lost when each term is left out."""
     full = Terms(full.factors, full.numeric, full.poly, "full")

@@ -27,16 +27,29 @@ def is_eligible(*, start: str = "start_depth", end: str = "end_depth", bottom: s
 
 def eligible_tows(df: DataFrame, *, start: str = "start_depth", end: str = "end_depth", bottom: str = "bottom_depth", mode: str = "coverage",
                   min_share: float = 0.7, min_start: float = 150.0, max_bottom: float | None = None) -> DataFrame:
-    """Tows that cover enough of the water column or start deep enough; tables without depths pass unchanged."""
-    if mode in ("none", "all", "") or any(c not in df.columns for c in (start, end, bottom)):
+    """Tows that cover enough of the water column or start deep enough.
+
+    ``mode``: "coverage" needs the three depth columns, "if_present" lets a table without one of them pass unchanged, "none" filters
+    nothing. Any other mode is an error, and so is a missing column under "coverage".
+    """
+    if mode not in ("coverage", "if_present", "none"):
+        raise ValueError(f"unknown mode {mode}")
+    missing = [c for c in (start, end, bottom) if c not in df.columns]
+    if mode == "none" or (missing and mode == "if_present"):
         return df
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)}; mode 'if_present' lets such tables pass")
     return df.where(is_eligible(start=start, end=end, bottom=bottom, min_share=min_share, min_start=min_start, max_bottom=max_bottom))
 
 
-def without_stations(df: DataFrame, stations: Sequence[str], station: str = "station") -> DataFrame:
-    """Drop named stations, ignoring case and outer blanks."""
+def without_stations(df: DataFrame, stations: Sequence[str], station: str = "station", if_present: bool = False) -> DataFrame:
+    """Drop named stations, ignoring case and outer blanks; ``if_present`` lets a table without the column pass unchanged."""
     names = [s.strip().lower() for s in stations if s.strip()]
-    if not names or station not in df.columns:
+    if station not in df.columns:
+        if not if_present:
+            raise ValueError(f"no column {station}")
+        return df
+    if not names:
         return df
     return df.where(~F.coalesce(F.lower(F.trim(station)).isin(names), F.lit(False)))
 

@@ -324,6 +324,36 @@ def control_sweep(t: Tables):
     return K.correlation(o.join(m, ["grp", "season", "model", "year"]), ["grp", "season", "model"], "o", "m")
 
 
+# Corrections of growing freedom, each fitted before averaging and along with the years.
+CORRECTIONS = [
+    R.Terms(name="none"),
+    R.Terms(factors=("month",), name="month"),
+    R.Terms(poly=(("dos", 1),), name="linear"),
+    R.Terms(poly=(("dos", 2),), name="quadratic"),
+    R.Terms(poly=(("dos", 3),), name="cubic"),
+]
+JOINT = [R.Terms(("year", *c.factors), c.numeric, c.poly, f"joint {c.name}") for c in CORRECTIONS]
+
+
+def corrected_sql(p: str, y: str) -> str:
+    """Table ``{p}ix`` (grp, season, correction, method, year, v): mean residuals by year, and jointly fitted year effects."""
+    return f"""{ols_sql(p, 'rr', ['grp', 'season'], y, [*CORRECTIONS, *JOINT])},
+  {p}hat AS (SELECT grp, season, model, rid, sum(v*beta) AS fit FROM {p}long JOIN {p}effect USING (grp, season, t) WHERE model NOT LIKE 'joint%' GROUP BY ALL),
+  {p}ix AS (SELECT grp, season, {p}hat.model AS correction, 'residual-then-average' AS method, year, avg({y} - fit) AS v FROM {p}row JOIN {p}hat USING (grp, season, rid) GROUP BY ALL
+    UNION ALL SELECT grp, season, substr(model, 7), 'joint', year, coalesce(beta, 0) FROM (SELECT DISTINCT grp, season, year, f.model FROM rr JOIN {p}fit f USING (grp, season) WHERE f.model LIKE 'joint%')
+      LEFT JOIN (SELECT grp, season, model, CAST(substr(t, 6) AS BIGINT) AS year, beta FROM {p}effect WHERE t LIKE 'year=%') USING (grp, season, model, year))"""
+
+
+@query("correction_sweep", "grp:s season:s correction:s method:s r:f4 lo:f4 hi:f4 p:f4 n:i", f"""RECURSIVE {RATIO_SQL}, {corrected_sql('o_', 'lo')}, {corrected_sql('m_', 'lm')},
+  cr AS (SELECT grp, season, correction, method, corr(o.v, m.v) AS r, count(*) AS n FROM o_ix o JOIN m_ix m USING (grp, season, correction, method, year) GROUP BY ALL),
+  final AS (SELECT *, tanh(atanh(r) - 1.96/sqrt(n - 3)) AS lo, tanh(atanh(r) + 1.96/sqrt(n - 3)) AS hi, {P_SQL} AS p FROM cr)""", covers="REG-05 REG-01 REG-02 SKL-07")
+def correction_sweep(t: Tables):
+    d, by = ratio_rows(t).withColumns({"lo": F.log10("obs"), "lm": F.log10(F.col("model") + 1)}), ["grp", "season"]
+    o, m = (R.corrected_year_index(d, by, y, corrections=CORRECTIONS).withColumnRenamed("index", a).drop("n") for y, a in (("lo", "o"), ("lm", "m")))
+    by += ["correction", "method"]
+    return K.correlation(o.join(m, [*by, "year"]), by, "o", "m")
+
+
 # What the standardised index takes out beside the year: net, night, tow range and the day of the season.
 STANDARD = R.Terms(factors=("year", "net"), numeric=("night", "lrng"), poly=(("dos", 3),), name="standard")
 

@@ -17,12 +17,12 @@ def ols_sql(p: str, source: str, keys: Sequence[str], y: str, models: Sequence[T
     by = "".join(f"{k}, " for k in keys)
     factors = sorted({f for m in models for f in m.factors})
     numeric = sorted({c for m in models for c in m.numeric})
-    poly = dict(c for m in models for c in m.poly)
+    poly = {c: max(deg for m in models for d, deg in m.poly if d == c) for m in models for c, _ in m.poly}
     terms = ["{'label': '(1)', 't': '(1)', 'v': 1.0::DOUBLE}", f"{{'label': '~y', 't': '~y', 'v': {y}::DOUBLE}}"]
     terms += [f"{{'label': '{f}', 't': '{f}=' || {f}, 'v': 1.0::DOUBLE}}" for f in factors]
     terms += [f"{{'label': '{c}', 't': '{c}', 'v': {c}::DOUBLE}}" for c in numeric]
-    terms += [f"{{'label': '{c}', 't': '{c}^{k}', 'v': pow({c}/100.0, {k})::DOUBLE}}" for c, deg in poly.items() for k in range(1, deg + 1)]
-    names = {m.name: ["(1)", "~y", *m.factors, *m.numeric, *[c for c, _ in m.poly]] for m in models}
+    terms += [f"{{'label': '{c}^{k}', 't': '{c}^{k}', 'v': pow({c}/100.0, {k})::DOUBLE}}" for c, deg in poly.items() for k in range(1, deg + 1)]
+    names = {m.name: ["(1)", "~y", *m.factors, *m.numeric, *[f"{c}^{k}" for c, deg in m.poly for k in range(1, deg + 1)]] for m in models}
     members = ", ".join(f"('{name}', '{label}')" for name, labels in names.items() for label in labels)
     dummies = ", ".join(f"'{f}'" for f in factors) or "''"
     cell = "CASE WHEN i = k THEN m[k][j]/m[k][k] ELSE m[i][j] - m[i][k]*m[k][j]/m[k][k] END"

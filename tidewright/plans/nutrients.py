@@ -35,7 +35,7 @@ def budget_rows(t: Tables):
 def nitrogen_budget(t: Tables):
     b = budget_rows(t)
     a = N.first_step_bound(b, "date", "bound")
-    return N.close_budget(b, "bound", a, free_init=5.0, total_ref=0.0, multiplier=N.flux_multiplier("monthly", month=F.col("month")))
+    return N.close_budget(b, "bound", a, free_init=5.0, total_ref=0.0, multiplier=N.flux_multiplier("monthly", F.col("month")))
 
 
 @query("nitrogen_budget_total", "date:d free_n:f6 free_n_used:f6", f"""{BUD},
@@ -45,7 +45,7 @@ def nitrogen_budget_total(t: Tables):
     b = budget_rows(t)
     a = N.first_step_bound(b, "date", "bound")
     return N.close_budget(b, "bound", a, free_init=0.0, total_ref=14.0, free_mode="preserve_total", apply="scale_total",
-                          multiplier=N.flux_multiplier("seasonal", season=F.col("season")))
+                          multiplier=N.flux_multiplier("seasonal", F.col("season")))
 
 
 @query("first_cell_records", "bound_init:f6 n:i", f"""{CUBE}, f AS (SELECT row, col, arg_min(value2, year*1000+step) AS b FROM cube GROUP BY 1, 2), final AS (SELECT avg(b)*0.176 AS bound_init, count(*) AS n FROM f)""", covers="WIN-06 NUT-02")
