@@ -15,6 +15,7 @@ import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from tidewright.llm import bpe, chat, decontamination, lm_scores, near_duplicates, quality, queries, revisits, sharding, substrings, token_counts  # noqa: E402
 from tidewright.llm.common import ready, shared_folder  # noqa: E402
 from tools.check import canon, connect  # noqa: E402
@@ -194,6 +195,28 @@ def test_quality_with_a_third_of_junk(spark, lang):
         assert kept == set(range(40))
 
 
+def test_references_can_be_fitted_again(spark):
+    """The fit gives nearly the fixed references; ids of one table, repeated rows and other languages do not count."""
+    data = "/root/testdata/sf0.1"
+    docs, labels = (ready(spark).read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    more = docs.where("doc_id < 50").withColumn("lang", F.lit("xx")).union(docs.where("doc_id < 50")).union(docs.where("doc_id < 50").withColumn("doc_id", F.lit(None).cast("long")))
+    got = {r.lang: (r.n_texts, r.h_classes, r.h_common) for r in quality.fit_references(docs.union(more), labels).collect()}
+    assert set(got) == set(quality.REFERENCES) and (got["de"][0], got["es"][0]) == (412, 275)
+    for lang, fixed in quality.REFERENCES.items():
+        for mine, given in zip(got[lang][1:], fixed):
+            assert len(mine) == len(given) and max(abs(a - b) for a, b in zip(mine, given)) <= 50
+    assert quality.fit_references(docs.limit(0), labels).count() == 0
+
+
+def test_bloom_filter_has_no_false_misses():
+    bits = np.zeros(decontamination.BLOOM_BITS // 32, np.uint32)
+    rng = np.random.default_rng(3)
+    held, other = rng.integers(-(1 << 63), 1 << 63, 5000), rng.integers(-(1 << 63), 1 << 63, 5000)
+    for b in np.concatenate(decontamination.bloom_bits(held)):
+        bits[b // 32] |= np.uint32(1 << (b % 32))
+    assert decontamination.bloom_has(bits, held).all() and decontamination.bloom_has(bits, other).sum() < 5
+
+
 def test_scores_alike_both_ways(spark, docs):
     good = docs.where("doc_id % 2 = 0").select("doc_id")
     a, b = (got(lm_scores.score(docs, good, n)) for n in (10**6, 0))

@@ -56,7 +56,7 @@ def bloom_bits(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bloom(shingles: DataFrame) -> np.ndarray:
-    """The filter as one flag per bit: at most BLOOM_BITS numbers reach the driver, however many shingles there are."""
+    """The filter, 32 bits to a number: at most BLOOM_BITS / 32 numbers reach the driver, however many shingles there are."""
     first = F.pmod("gram", F.lit(BLOOM_BITS)).cast("int")
     second = F.pmod(F.shiftrightunsigned("gram", 32), F.lit(BLOOM_BITS)).cast("int")
     bits = shingles.select(F.explode(F.array(first, second)).alias("bit"))
@@ -64,7 +64,14 @@ def _bloom(shingles: DataFrame) -> np.ndarray:
     out = np.zeros(BLOOM_BITS // 32, np.uint32)
     got = words.toArrow()
     out[got["w"].to_numpy()] = got["v"].to_numpy().astype(np.uint32)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out
+
+
+def bloom_has(bloom: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Which shingles pass the filter."""
+    x, y = bloom_bits(gram)
+    is_set = lambda bit: (bloom[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)
+    return (is_set(x) & is_set(y)).astype(bool)
 
 
 def _stretches(bloom, sizes: list[int]):
@@ -81,8 +88,7 @@ def _stretches(bloom, sizes: list[int]):
             at, gram = [], []
             for k in sizes:
                 g = grams(b.h, k).view(np.int64)
-                x, y = bloom_bits(g)
-                hit = np.flatnonzero((left >= k) & flags[x] & flags[y])
+                hit = np.flatnonzero((left >= k) & bloom_has(flags, g))
                 np.add.at(edge, hit, 1)
                 np.add.at(edge, hit + k, -1)
                 at.append(hit)
@@ -133,8 +139,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     seen = materialize(seen.select("_row", "doc_id", "row_key", F.col("s.n_words").alias("n_words"), F.col("s.stretches").alias("stretches")), "stretches")
 
     stretch = seen.select("_row", F.explode("stretches").alias("s")).select("_row", F.col("s.start").alias("begin"), F.col("s.text").alias("words"), "s.shingles")
-    occ = stretch.select("_row", "begin", F.col("shingles")[F.size("shingles") - 1]["at"].alias("_last"), F.explode("shingles").alias("s"))
-    occ = occ.select("_row", "begin", F.col("s.at").alias("at"), F.col("s.gram").alias("gram"))
+    occ = stretch.select("_row", "begin", F.explode("shingles").alias("s")).select("_row", "begin", F.col("s.at").alias("at"), F.col("s.gram").alias("gram"))
     rarity = occ.groupBy("gram").agg(F.count("*").alias("n"))
     # A window with a shingle that no document has drops out here.
     ranked = shingles.join(rarity, "gram", "left").groupBy("text").agg(F.first("size").alias("size"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "gram")).alias("p"))
