@@ -43,3 +43,9 @@ def test_best_recipe_without_common_years(spark, flat, tmp_path):
     for t in "region nation customer supplier part lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"COPY (SELECT * FROM '{flat}/{t}.parquet') TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
     assert len(same(spark, str(tmp_path), "onset_best_recipe")) == 0
+
+
+def test_links_with_few_common_years(spark, flat):
+    links = same(spark, flat, "phenology_links")
+    few = links[links.n < 5]
+    assert len(few) and few[["r", "lo", "hi", "p"]].isna().all().all()

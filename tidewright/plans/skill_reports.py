@@ -137,7 +137,7 @@ LINK_SQL = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LINKS)
   pr AS (SELECT comparison, o.off AS "offset", a.v AS a, b.v AS b FROM (VALUES {LINK_SQL}) l(comparison, s1, s2), (VALUES (0), (1)) o(off), ys a, ys b
     WHERE a.source = s1 AND b.source = s2 AND a.year + o.off = b.year AND a.v IS NOT NULL AND b.v IS NOT NULL),
   c AS (SELECT comparison, "offset", count(*) AS n, CASE WHEN count(*) >= 5 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS r FROM pr GROUP BY 1, 2),
-  final AS (SELECT *, tanh(atanh(r) - 1.96/sqrt(n-3)) AS lo, tanh(atanh(r) + 1.96/sqrt(n-3)) AS hi, {P_SQL} AS p FROM c)""", covers="SKL-09 SKL-07 BLM-01 BLM-02")
+  final AS (SELECT *, tanh(atanh(r) - 1.96/sqrt(n-3)) AS lo, tanh(atanh(r) + 1.96/sqrt(n-3)) AS hi, CASE WHEN r IS NOT NULL THEN {P_SQL} END AS p FROM c)""", covers="SKL-09 SKL-07 BLM-01 BLM-02")
 def phenology_links(t: Tables):
     """Spring values against bloom days between sources, in the same year and with the second source one year later."""
     series, one_d = stage(series_table(t)), stage(model_series(t))
