@@ -75,8 +75,8 @@ def replace_zeros(df: DataFrame, keys: Sequence[str], value: str, id_cols: Seque
 
 
 def tow_table(records: DataFrame, tow_cols: Sequence[str], group: str, value: str, groups: Sequence[str]) -> DataFrame:
-    """Sum per tow and group, one column per group."""
-    return records.groupBy(*tow_cols).pivot(group, list(groups)).agg(F.sum(value))
+    """Sum per tow and group, one column per group. One grouping by tow: a pivot would first group by tow and group."""
+    return records.groupBy(*tow_cols).agg(*[F.sum(F.when(F.col(group) == g, F.col(value))).alias(g) for g in groups])
 
 
 def paired_long(wide: DataFrame, keep: Sequence[str], groups: Sequence[str], model_prefix: str, total: str = "Total") -> DataFrame:
