@@ -50,3 +50,7 @@ def test_tow_table_groups_once(spark):
     got = S.tow_table(d, ["tow"], "grp", "v", ["a", "b"])
     assert plan(got).count("Aggregate") == 1
     assert {r.tow: (r.a, r.b) for r in got.collect()} == {1: (3.0, 4.0), 2: (None, None), 3: (None, None), 4: (None, None)}
+
+
+def test_seasonal_dist_groups_tows_once(spark):
+    assert plan(REGISTRY["seasonal_dist"].run(spark, "/root/testdata/sf0.001")).count("Aggregate") == 2

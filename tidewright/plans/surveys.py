@@ -239,7 +239,7 @@ def ratio_medians(t: Tables):
 @query("seasonal_dist", "year:i season:s grp:s obs:f4", f"""{PAIRED}, t AS (SELECT tow, year, season, grp, sum(obs) AS obs FROM paired GROUP BY 1, 2, 3, 4),
   u AS (SELECT year, season, grp, obs FROM t UNION ALL SELECT year, season, 'Total', sum(obs) FROM t GROUP BY tow, year, season), final AS (SELECT year, season, grp, avg(obs) AS obs FROM u GROUP BY 1, 2, 3)""", covers="AGG-31 PRJ-11 PRJ-17 PRJ-01")
 def seasonal_dist(t: Tables):
-    w = paired(t).groupBy("tow", "year", F.initcap(F.trim(F.lower("season"))).alias("season")).pivot("grp", ["A", "N", "R"]).agg(F.sum("obs"))
+    w = S.tow_table(paired(t).withColumn("season", F.initcap(F.trim(F.lower("season")))), ["tow", "year", "season"], "grp", "obs", ["A", "N", "R"])
     w = C.named_series(w, {"Total": ["A", "N", "R"]})
     rows = F.inline(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(g).alias("obs")) for g in ("A", "N", "R", "Total")]))
     return w.select("year", "season", rows).where("obs IS NOT NULL").groupBy("year", "season", "grp").agg(F.avg("obs").alias("obs"))
