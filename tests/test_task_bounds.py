@@ -54,3 +54,33 @@ def test_tow_table_groups_once(spark):
 
 def test_seasonal_dist_groups_tows_once(spark):
     assert plan(REGISTRY["seasonal_dist"].run(spark, "/root/testdata/sf0.001")).count("Aggregate") == 2
+
+
+def design_rows(spark, n=600):
+    rng = random.Random(5)
+    rows = [("k" if i % 3 else None, 2000 + i % 4, f"n{rng.randrange(3)}", rng.choice([0.0, 1.0, None] if i % 50 == 0 else [0.0, 1.0]), float(rng.randrange(-30, 330)),
+             rng.gauss(2, 1) if i % 40 else None, rng.gauss(5, 2)) for i in range(n)]
+    return spark.createDataFrame(rows, "k string, year int, net string, night double, dos double, a double, b double")
+
+
+def test_fits_from_design_sums_are_those_of_the_rows(spark):
+    d = design_rows(spark)
+    d = d.unionByName(d.withColumns({"a": F.col("a") + 1, "b": F.col("b") * 2}))
+    models = [R.Terms(factors=("year", "net"), numeric=("night",), poly=(("dos", 3),), name="all"), R.Terms(factors=("year",), name="years")]
+    sums = R.design_sums(d, ["k"], ["a", "b"], models)
+    assert sums.count() < d.count()
+    for y in ("a", "b"):
+        one, two = ({(r.k, r.model, r.term, r.level): r for r in R.fit_terms(x, ["k"], y, models).collect()} for x in (d, sums))
+        assert set(one) == set(two) and len(one) > 20
+        for key, r in one.items():
+            assert (r.n, r.n_terms, r["rank"]) == (two[key].n, two[key].n_terms, two[key]["rank"])
+            assert two[key].effect == pytest.approx(r.effect, rel=1e-6, abs=1e-8) and two[key].r2 == pytest.approx(r.r2, rel=1e-8)
+
+
+@pytest.mark.parametrize("name", ["control_sweep", "correction_sweep"])
+def test_sweeps_join_once(spark, name):
+    text = plan(REGISTRY[name].run(spark, "/root/testdata/sf0.001"))
+    spark.catalog.clearCache()
+    # Every join but those of the small tables of effects lies in the one cached table that both responses read.
+    assert "lineitem" not in text or "InMemoryRelation" in text
+    assert "parquet" not in text.replace("InMemoryRelation", "\nInMemoryRelation").split("InMemoryRelation")[0]

@@ -111,34 +111,61 @@ class Terms:
 _FIT_SCHEMA = "model string, term string, level string, effect double, n_terms int, rank int, r2 double, n long"
 
 
+def _design(models: Sequence[Terms]) -> tuple[list[str], list[str], dict[str, int]]:
+    """Factors, numeric columns and degrees of the polynomials over all models."""
+    degree: dict[str, int] = {}
+    for m in models:
+        for c, deg in m.poly:
+            degree[c] = max(deg, degree.get(c, 0))
+    return sorted({f for m in models for f in m.factors}), sorted({n for m in models for n in m.numeric}), degree
+
+
+def design_sums(df: DataFrame, keys: Sequence[str], ys: Sequence[str], models: Sequence[Terms]) -> DataFrame:
+    """One row per key and combination of factor levels and numeric values: count, sum and sum of squares of each response.
+
+    The fits of every response and model follow from it, and the rows are read once. It pays where the numeric columns take
+    few values (days, months, flags); with continuous ones it has as many rows as the table.
+    """
+    factors, numeric, degree = _design(models)
+    by = list(dict.fromkeys([*keys, *factors, *numeric, *degree]))
+    aggs = [a for y in ys for a in (F.count(y).cast("double").alias(f"__n_{y}"), F.sum(y).alias(f"__s_{y}"), F.sum(F.col(y) * F.col(y)).alias(f"__q_{y}"))]
+    return df.groupBy(*by).agg(*aggs)
+
+
 def cross_products(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[Terms]) -> DataFrame:
     """Sparse cross-product sums (keys, i, j, p) over the union of all terms of ``models``.
 
-    Rows are first reduced to one record per combination of factor levels holding the dense sums of the numeric
-    part, with map-side combine; only those records are spread over term pairs.
+    Rows, or those of ``design_sums``, are first reduced to one record per combination of factor levels holding the dense
+    sums of the numeric part, with map-side combine; only those records are spread over term pairs.
     """
     keys = list(keys)
-    factors = sorted({f for m in models for f in m.factors})
-    numeric = sorted({n for m in models for n in m.numeric})
-    degree: dict[str, int] = {}
-    for m in models:
-        for c, deg in m.poly:
-            degree[c] = max(deg, degree.get(c, 0))
-    d = df
-    for c in [y, *numeric, *degree]:
+    factors, numeric, degree = _design(models)
+    n, s, q = (f"__{a}_{y}" for a in "nsq")
+    d = df if n in df.columns else df.where(F.col(y).isNotNull()).withColumns({n: F.lit(1.0), s: F.col(y).cast("double"), q: F.col(y).cast("double") * F.col(y)})
+    d = d.where(F.col(n) > 0)
+    for c in [*numeric, *degree]:
         d = d.where(F.col(c).isNotNull())
     for c in sorted(degree):
-        d = with_group_stats(d, keys, [c, y], __m=F.avg(c), __s=F.stddev_pop(c))
-        d = d.withColumn(f"__z_{c}", (F.col(c) - F.col("__m")) / F.greatest(F.col("__s"), F.lit(1.0))).drop("__m", "__s")
+        # The same centre and spread whether a row stands for itself or for many.
+        mean = F.sum(F.col(n) * F.col(c)) / F.sum(n)
+        d = with_group_stats(d, keys, [c, s], __m=mean, __v=F.sum(F.col(n) * F.col(c) * F.col(c)) / F.sum(n) - mean * mean)
+        spread = F.greatest(F.sqrt(F.greatest("__v", F.lit(0.0))), F.lit(1.0))
+        d = d.withColumn(f"__z_{c}", (F.col(c) - F.col("__m")) / spread).drop("__m", "__v")
     dense: list[tuple[str, Column]] = [("(1)", F.lit(1.0))]
-    dense += [(n, F.col(n).cast("double")) for n in numeric]
+    dense += [(c, F.col(c).cast("double")) for c in numeric]
     dense += [(f"{c}^{k}", F.pow(F.col(f"__z_{c}"), F.lit(k))) for c in sorted(degree) for k in range(1, degree[c] + 1)]
-    dense.append(("(y)", F.col(y).cast("double")))
+    last = len(dense)
+    dense.append(("(y)", F.col(s)))
     pairs = [(i, j) for i in range(len(dense)) for j in range(i, len(dense))]
-    lv = [F.concat(F.lit(f"{f}="), F.coalesce(F.col(f).cast("string"), F.lit("-"))).alias(f"__f{n}") for n, f in enumerate(factors)]
-    d = d.select(*keys, *lv, *[c.alias(f"__d{i}") for i, (_, c) in enumerate(dense)])
-    sums = d.groupBy(*keys, *[f"__f{n}" for n in range(len(factors))]).agg(
-        *[F.sum(F.col(f"__d{i}") * F.col(f"__d{j}")).alias(f"__p{i}_{j}") for i, j in pairs])
+    lv = [F.concat(F.lit(f"{f}="), F.coalesce(F.col(f).cast("string"), F.lit("-"))).alias(f"__f{k}") for k, f in enumerate(factors)]
+    d = d.select(*keys, *lv, F.col(n).alias("__n"), F.col(q).alias("__q"), *[c.alias(f"__d{i}") for i, (_, c) in enumerate(dense)])
+
+    def product(i: int, j: int) -> Column:
+        if j < last:
+            return F.col("__n") * F.col(f"__d{i}") * F.col(f"__d{j}")
+        return F.col("__q") if i == last else F.col(f"__d{i}") * F.col(f"__d{j}")
+
+    sums = d.groupBy(*keys, *[f"__f{k}" for k in range(len(factors))]).agg(*[F.sum(product(i, j)).alias(f"__p{i}_{j}") for i, j in pairs])
 
     def entry(i: Column, j: Column, p: str) -> Column:
         return F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), F.col(p).alias("p"))

@@ -289,8 +289,17 @@ RATIO_SQL = f"{PAIRED}, {RR}"
 
 
 def ratio_rows(t: Tables):
-    return paired(t).join(t.orders.select(F.col("o_orderkey").alias("tow"), F.split("o_orderpriority", "-")[0].alias("net"), (F.col("o_orderstatus") == "F").cast("double").alias("night")), "tow").withColumns(
-        {"lr": F.log10("obs") - F.log10(F.col("model") + 1), "dos": cal.day_of_season(F.col("date")).cast("double"), "lrng": F.log10(F.col("month") + 1.0)})
+    """Tow-level pairs with the covariates of their tow. What follows from the date is derived after the join, so it is not shuffled."""
+    o = t.orders.select(F.col("o_orderkey").alias("tow"), F.split("o_orderpriority", "-")[0].alias("net"), (F.col("o_orderstatus") == "F").cast("double").alias("night"))
+    d = F.col("date")
+    return paired(t).select("tow", "date", "grp", "obs", "model").join(o, "tow").withColumns(
+        {"year": F.year(d), "month": F.month(d), "season": cal.season(d), "lr": F.log10("obs") - F.log10(F.col("model") + 1),
+         "lo": F.log10("obs"), "lm": F.log10(F.col("model") + 1), "dos": cal.day_of_season(d).cast("double")}).withColumn("lrng", F.log10(F.col("month") + 1.0))
+
+
+def ratio_sums(t: Tables, keys: list[str], ys: list[str], models):
+    """The rows reduced to their combinations of levels, days and flags, which several fits read."""
+    return stage(R.design_sums(ratio_rows(t), keys, ys, models))
 
 
 FULL = R.Terms(factors=("year", "month", "net"), numeric=("night",), name="full")
@@ -299,7 +308,7 @@ FULL = R.Terms(factors=("year", "month", "net"), numeric=("night",), name="full"
 @query("drop_one_r2", "grp:s dropped:s full_r2:f6 unique_r2:f6 n:i", f"""RECURSIVE {RATIO_SQL}, {ols_sql('r_', 'rr', ['grp'], 'lr', [FULL, *[FULL.without(x) for x in FULL.labels]])},
   final AS (SELECT a.grp, substr(b.model, 9) AS dropped, a.r2 AS full_r2, a.r2 - b.r2 AS unique_r2, b.n FROM r_fit a JOIN r_fit b USING (grp) WHERE a.model = 'full' AND b.model <> 'full')""", covers="REG-04 REG-02")
 def drop_one_r2(t: Tables):
-    return R.drop_one_r2(ratio_rows(t), ["grp"], "lr", FULL)
+    return R.drop_one_r2(ratio_sums(t, ["grp"], ["lr"], [FULL]), ["grp"], "lr", FULL)
 
 
 CONTROL_SETS = [
@@ -318,7 +327,7 @@ SWEEP_SQL = f"""RECURSIVE {RATIO_SQL}, {ols_sql('o_', 'rr', ['grp', 'season'], '
 
 @query("control_sweep", "grp:s season:s model:s r:f4 lo:f4 hi:f4 p:f4 n:i", f"{SWEEP_SQL}, final AS (SELECT *, tanh(atanh(r) - 1.96/sqrt(n - 3)) AS lo, tanh(atanh(r) + 1.96/sqrt(n - 3)) AS hi, {P_SQL} AS p FROM cr)", covers="REG-05 REG-02 SKL-07")
 def control_sweep(t: Tables):
-    d = ratio_rows(t).withColumns({"lo": F.log10("obs"), "lm": F.log10(F.col("model") + 1)})
+    d = ratio_sums(t, ["grp", "season"], ["lo", "lm"], CONTROL_SETS)
     o = R.year_index(d, ["grp", "season"], "lo", models=CONTROL_SETS).withColumnRenamed("index", "o")
     m = R.year_index(d, ["grp", "season"], "lm", models=CONTROL_SETS).withColumnRenamed("index", "m")
     return K.correlation(o.join(m, ["grp", "season", "model", "year"]), ["grp", "season", "model"], "o", "m")
@@ -348,7 +357,8 @@ def corrected_sql(p: str, y: str) -> str:
   cr AS (SELECT grp, season, correction, method, corr(o.v, m.v) AS r, count(*) AS n FROM o_ix o JOIN m_ix m USING (grp, season, correction, method, year) GROUP BY ALL),
   final AS (SELECT *, tanh(atanh(r) - 1.96/sqrt(n - 3)) AS lo, tanh(atanh(r) + 1.96/sqrt(n - 3)) AS hi, {P_SQL} AS p FROM cr)""", covers="REG-05 REG-01 REG-02 SKL-07")
 def correction_sweep(t: Tables):
-    d, by = ratio_rows(t).withColumns({"lo": F.log10("obs"), "lm": F.log10(F.col("model") + 1)}), ["grp", "season"]
+    by = ["grp", "season"]
+    d = ratio_sums(t, by, ["lo", "lm"], JOINT)
     o, m = (R.corrected_year_index(d, by, y, corrections=CORRECTIONS).withColumnRenamed("index", a).drop("n") for y, a in (("lo", "o"), ("lm", "m")))
     by += ["correction", "method"]
     return K.correlation(o.join(m, [*by, "year"]), by, "o", "m")
@@ -373,7 +383,7 @@ def diagnostics(t: Tables):
     day = K.correlation(a, k, "mean_dos", "y_mean").select(*k, F.col("r").alias("r_sampling_day"))
     adj = K.correlation(a, k, "y_res", "y2_res").select(*k, F.col("r").alias("r_date_adjusted"), "lo", "hi")
     rows = ratio_rows(t).withColumn("ly", F.log10(F.col("obs") + 1e-6))
-    index = R.year_index(rows, k, "ly", models=[STANDARD]).select(*k, "year", "index")
+    index = R.year_index(R.design_sums(rows, k, ["ly"], [STANDARD]), k, "ly", models=[STANDARD]).select(*k, "year", "index")
     # The window index has a row for each season and year.
     std = K.correlation(index.join(window_index(t), ["season", "year"]), k, "index", "idx")
     std = std.select(*k, F.col("r").alias("r_standardised"), F.col("lo").alias("lo_standardised"), F.col("hi").alias("hi_standardised"))
