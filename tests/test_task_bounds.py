@@ -84,3 +84,15 @@ def test_sweeps_join_once(spark, name):
     # Every join but those of the small tables of effects lies in the one cached table that both responses read.
     assert "lineitem" not in text or "InMemoryRelation" in text
     assert "parquet" not in text.replace("InMemoryRelation", "\nInMemoryRelation").split("InMemoryRelation")[0]
+
+
+def test_quantiles_of_few_groups(spark):
+    rng = random.Random(3)
+    values = [rng.gauss(0, 1) for _ in range(400)] + [0.0, -0.0, 7.0] * 30 + [float("inf"), -float("inf"), None, None]
+    d = spark.createDataFrame([(rng.choice(["a", "b", None]), v) for v in values] + [("c", None), ("d", 4.0), ("e", float("nan"))], "g string, v double")
+    probs = {"low": 0.05, "mid": 0.5, "high": 0.9}
+    one, two = (Q.grouped_quantiles(d, ["g"], "v", probs, few_groups=few) for few in (False, True))
+    a, b = ({r.g: tuple(map(str, r[1:])) for r in x.collect()} for x in (one, two))
+    assert a == b and set(a) == {"a", "b", None, "d", "e"}
+    text = two._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in text

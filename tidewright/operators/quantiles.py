@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import salted_join
+from .joins import null_safe_join, salted_join
 
 STEPS = 1024  # ranges of the first code for each factor of e
 PARTS = 1 << 22  # parts of a range
@@ -37,15 +37,20 @@ def order_codes(v: Column) -> tuple[Column, Column]:
     return first.cast("long"), F.when(v < 0, -part).otherwise(part)
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], few_groups: bool = False) -> DataFrame:
     """Exact quantiles (linear interpolation) per group, as one column per entry of ``probs``; nulls do not count.
 
-    ``df`` is read once: its distinct values with their counts are shuffled once and used by all levels.
+    ``df`` is read once: its distinct values with their counts are shuffled once and used by all levels. ``few_groups`` says
+    that the groups are bounded by configuration or a calendar: then the rows are read twice and only counts by the first code
+    and the rows of the ranges that hold a rank are shuffled, which is less work where nearly every value is different.
     """
     keys = list(keys)
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     one, two = order_codes(F.col("__v"))
-    vals = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")).select(*keys, "__v", "__c", one.alias("__b1"), two.alias("__b2"))
+    if few_groups:
+        vals = src.select(*keys, "__v", F.lit(1).cast("long").alias("__c"), one.alias("__b1"), two.alias("__b2"))
+    else:
+        vals = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")).select(*keys, "__v", "__c", one.alias("__b1"), two.alias("__b2"))
 
     def at(p: float, fn) -> Column:
         return fn(F.lit(p) * (F.col("__n") - 1)).cast("long")
@@ -64,7 +69,12 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     first = vals.groupBy(*keys, "__b1").agg(F.sum("__c").alias("__own"))
     first = first.withColumns({"__n": F.sum("__own").over(whole), "__below": F.sum("__own").over(whole.orderBy("__b1")) - F.col("__own")})
     first = first.where(wanted()).select(*keys, "__b1", "__n", F.col("__below").alias("__base"))
-    cand = salted_join(vals, first, [*keys, "__b1"], ["__v"])
+    if few_groups:
+        # At most two rows for each group and probability.
+        cand = null_safe_join(vals, F.broadcast(first), [*keys, "__b1"])
+        cand = cand.groupBy(*keys, "__b1", "__b2", "__v", "__n", "__base").agg(F.sum("__c").alias("__c"))
+    else:
+        cand = salted_join(vals, first, [*keys, "__b1"], ["__v"])
 
     inside = W.partitionBy(*keys, "__b1").orderBy("__b2")
     # The values of a part travel along, at most 2^21 of them, so that the few parts that hold a rank need no join.

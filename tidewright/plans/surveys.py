@@ -233,7 +233,7 @@ def peak_and_amplitude(t: Tables):
 def ratio_medians(t: Tables):
     d = paired(t).withColumn("lr", F.log10("obs") - F.log10(F.col("model") + 1))
     d = S.strata_rows(d, {"group": F.col("grp"), "year": F.col("year"), "month": F.col("month"), "period": F.when(F.col("year") < 1998, "early").otherwise("late")})
-    return grouped_quantiles(d, ["stratum", "level"], "lr", {"ratio": 0.5})
+    return grouped_quantiles(d, ["stratum", "level"], "lr", {"ratio": 0.5}, few_groups=True)
 
 
 @query("seasonal_dist", "year:i season:s grp:s obs:f4", f"""{PAIRED}, t AS (SELECT tow, year, season, grp, sum(obs) AS obs FROM paired GROUP BY 1, 2, 3, 4),
