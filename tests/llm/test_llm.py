@@ -131,6 +131,22 @@ def test_token_cache(spark, docs, rows):
     assert first == len({t or "" for i, t in rows if i < 20}) and spark.read.parquet(cache).count() == len({t or "" for _, t in rows})
 
 
+def joined_columns(df):
+    """Names of the columns that the outermost join of a query takes from its left side."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    out = node.children().apply(0).output()
+    return {out.apply(i).name() for i in range(out.size())}
+
+
+def test_texts_do_not_move_to_their_counts(spark):
+    df = queries.op10_token_counts(spark, FOLDER)
+    assert not {"_given", "text"} & joined_columns(df)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert {r.doc_id: r.n_bytes for r in df.collect()} == {i: len(t.encode()) for i, t in texts.items()}
+
+
 def test_sharding(docs, rows):
     out = sharding.shard_documents(docs.union(docs.where("doc_id = 3")), 5).collect()
     assert len(out) == len(rows) + 1

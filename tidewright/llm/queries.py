@@ -60,11 +60,11 @@ def op9_revisits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents").select("doc_id", "text")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    docs = read(spark, folder, "documents").select("doc_id", "text", n_bytes.alias("n_bytes"))  # measured here, so that no text moves to its count
     cache = f"{shared_folder(spark)}/token-counts"  # kept from run to run; only contents not counted yet are encoded
     df = token_counts.count_tokens(docs, cache, public_tokenizers.path(BYTE_BPE))
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return df.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
+    return df.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
 def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:

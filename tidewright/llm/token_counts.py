@@ -106,10 +106,10 @@ def fill_cache(docs: DataFrame, cache: str, path: str, text: str = "text") -> No
     spark, version = docs.sparkSession, tokenizer_version(path)
     known = _stored(spark, cache)
     todo = docs.select(content_digest(text).alias("digest"), text_or_empty(text).alias("_text"))
+    # Copies are combined before the shuffle, so that a hot content moves once per task; the stored counts meet them after it.
+    todo = todo.groupBy("digest").agg(F.any_value("_text").alias("_text"))
     if known is not None:
         todo = todo.join(known.where(F.col("version") == version), "digest", "left_anti")
-    # Copies are combined before the shuffle, so that a hot content moves once per task.
-    todo = todo.groupBy("digest").agg(F.any_value("_text").alias("_text"))
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
@@ -129,7 +129,8 @@ def fill_cache(docs: DataFrame, cache: str, path: str, text: str = "text") -> No
 def count_tokens(docs: DataFrame, cache: str, path: str, text: str = "text") -> DataFrame:
     """Add ``n_tokens`` to every row of ``docs``; null text counts as empty, repeated rows stay.
 
-    A column of ``docs`` called n_tokens is replaced; all others stay, whatever they are called.
+    A column of ``docs`` called n_tokens is replaced; all others stay, whatever they are called. They move with their digest: a
+    caller that derives what it needs of the text before and drops the text after keeps it out of that shuffle.
     """
     fill_cache(docs, cache, path, text)
     known = _stored(docs.sparkSession, cache).where(F.col("version") == tokenizer_version(path))
