@@ -147,6 +147,13 @@ def test_texts_do_not_move_to_their_counts(spark):
     assert {r.doc_id: r.n_bytes for r in df.collect()} == {i: len(t.encode()) for i, t in texts.items()}
 
 
+def test_substring_stage_cuts_each_text_once(docs, rows):
+    df = corpus_pipeline.substring_dedup(docs.sparkSession, docs, "")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    cut = {d: (n, m) for d, n, m, _ in brute.substrings(rows)}
+    assert {r.doc_id: len((r.text or "").split()) for r in df.collect()} == {d: n - m for d, (n, m) in cut.items() if m == 0 or m < n}
+
+
 def test_sharding(docs, rows):
     out = sharding.shard_documents(docs.union(docs.where("doc_id = 3")), 5).collect()
     assert len(out) == len(rows) + 1

@@ -198,6 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     # The columns of the input travel as one, so that none of their names can clash.
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), _key().alias("_key"))
     df = df.join(found.hint("shuffle_hash"), ["_doc", "_key"], "left")
-    df = df.withColumn("_cut", _cut(window)("_given.text", "ranges"))
+    # Not to be repeated inside a filter on its result, which would take a second Python worker for each task.
+    df = df.withColumn("_cut", _cut(window).asNondeterministic()("_given.text", "ranges"))
     given = [F.col(f"_given.`{c}`") for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     return df.select(*given, F.col("_cut.n_words").alias("n_words"), F.col("_cut.n_removed").alias("n_removed"), F.col("_cut.kept").alias("kept"))
