@@ -1,5 +1,6 @@
 """What keeps the work of one task, and what is shuffled, from growing with the tables; the results stay those of the plain ways."""
 
+import os
 import random
 
 import pytest
@@ -96,3 +97,34 @@ def test_quantiles_of_few_groups(spark):
     assert a == b and set(a) == {"a", "b", None, "d", "e"}
     text = two._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in text
+
+
+PARTS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+@pytest.mark.parametrize("name", ["all_years_mean", "presence_only_mean", "asof_skill"])
+def test_shuffles_are_dealt_by_the_size_of_the_tables(spark, settings, name):
+    """Adaptive execution never cuts a part that is merely large, so the session's few would each grow with the tables."""
+    folder, few = "/root/testdata/sf0.001", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settings.set(ADVISED, "4k")
+    try:
+        df = REGISTRY[name].run(spark, folder)
+        parts = int(spark.conf.get(PARTS, None) or few)
+        stored = sum(os.path.getsize(f"{folder}/{t}.parquet") for t in ("lineitem", "orders"))
+        assert parts > few and parts * 4096 >= 4 * stored
+        assert f", {parts})" in df._jdf.queryExecution().executedPlan().toString()
+        # What the cluster sets higher is kept.
+        settings.set(PARTS, str(parts + 1))
+        REGISTRY[name].run(spark, folder)
+        assert settings.get(PARTS) == str(parts + 1)
+    finally:
+        spark.conf.unset(PARTS)
+        spark.catalog.clearCache()
+
+
+def test_all_years_mean_reads_the_rows_once(spark):
+    text = plan(REGISTRY["all_years_mean"].run(spark, "/root/testdata/sf0.001"))
+    spark.catalog.clearCache()
+    # Both the sums and the span of years come from the cached yearly means.
+    assert text.count("InMemoryRelation") == 2
+    assert "parquet" not in text.replace("InMemoryRelation", "\nInMemoryRelation").split("InMemoryRelation")[0]

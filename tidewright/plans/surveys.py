@@ -10,7 +10,7 @@ from ..functions import taxa as TX
 from ..operators import skill as K
 from ..operators import survey as S
 from ..operators.quantiles import grouped_quantiles
-from .base import Tables, query
+from .base import Tables, query, stage
 from .bindings import PAIRED, paired, season_sql
 
 
@@ -41,16 +41,17 @@ def taxa(t: Tables):
 
 
 def records(t: Tables):
-    d = F.col("l_shipdate").cast("date")
+    """Taxon records with their taxon and tow. What follows from the date is derived after the joins, so it is not shuffled."""
+    d = F.col("date")
     r = t.lineitem.select(
-        F.col("l_orderkey").alias("tow"), F.col("l_suppkey").alias("station"), F.col("l_partkey").alias("p_partkey"), d.alias("date"),
-        F.year(d).alias("year"), F.month(d).alias("month"), cal.season(d).alias("season"), F.col("l_quantity").alias("abundance"),
+        F.col("l_orderkey").alias("tow"), F.col("l_suppkey").alias("station"), F.col("l_partkey").alias("p_partkey"),
+        F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").alias("abundance"),
         F.col("l_returnflag").alias("stage"), F.when(F.col("l_linestatus") == "O", "Night").otherwise("Daylight").alias("twilight"))
     r = r.join(taxa(t), "p_partkey").join(tows(t).select("tow", "start_depth", "end_depth", "bottom_depth"), "tow")
     adult = (F.col("stage") == "A") & (F.col("twilight") == "Daylight")
     n = S.net_avoidance(F.col("abundance"), F.col("order") == "Euphausiacea", adult)
     rng = S.tow_range(F.col("start_depth"), F.col("end_depth"))
-    return r.withColumns({"raw": F.col("abundance") * F.col("body_mass"), "adjusted": n * F.col("body_mass"), "biomass": S.areal_biomass(n, F.col("body_mass"), rng)})
+    return r.withColumns({"year": F.year(d), "month": F.month(d), "season": cal.season(d), "raw": F.col("abundance") * F.col("body_mass"), "adjusted": n * F.col("body_mass"), "biomass": S.areal_biomass(n, F.col("body_mass"), rng)})
 
 
 RECORDS = f"""{TOWS}, taxa AS (SELECT p_partkey, p_brand AS genus, p_name AS species, p_size::DOUBLE AS body_mass, p_type, CASE p_type WHEN 'PROMO' THEN CASE WHEN p_name LIKE '% gear' THEN 'ZS1-JEL' ELSE 'ZS2-CTH' END WHEN 'STANDARD' THEN 'ZS3-CHA'
@@ -122,7 +123,8 @@ def presence_only_mean(t: Tables):
   c AS (SELECT year, season, genus, sum(round(v1 + 3e-9, 2)) AS m FROM b GROUP BY 1, 2, 3),
   final AS (SELECT season, genus, count(*) AS n_occurrences, round(sum(m)/any_value(s) + 3e-9, 4) AS mean_value FROM c, (SELECT max(year)-min(year) AS s FROM c) GROUP BY 1, 2)""", covers="AGG-12")
 def all_years_mean(t: Tables):
-    p = S.presence_only_mean(records(t), period=["year", "season"], taxon=["genus"], size_class="stage", tow="tow", value="raw")
+    # The yearly means serve the sums and the span of years.
+    p = stage(S.presence_only_mean(records(t), period=["year", "season"], taxon=["genus"], size_class="stage", tow="tow", value="raw"))
     return S.all_years_mean(p, year="year", keys=["season", "genus"])
 
 
