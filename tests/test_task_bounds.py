@@ -128,3 +128,28 @@ def test_all_years_mean_reads_the_rows_once(spark):
     # Both the sums and the span of years come from the cached yearly means.
     assert text.count("InMemoryRelation") == 2
     assert "parquet" not in text.replace("InMemoryRelation", "\nInMemoryRelation").split("InMemoryRelation")[0]
+
+
+def test_presence_only_mean_reads_the_rows_once(spark):
+    text = plan(REGISTRY["presence_only_mean"].run(spark, "/root/testdata/sf0.001"))
+    assert text.count("Relation [l_orderkey") == 1
+
+
+def test_presence_only_mean_on_odd_records(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([2000, 2001, None]), rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), rng.choice([1, 2, 3, None]), rng.choice([0.5, 2.25, None])) for _ in range(200)]
+    rows += [(2005, "a", "x", None, None), (2005, "a", "x", 7, None), (2005, "b", "x", 7, 4.0), (2005, "b", "x", 8, 4.0)]
+    d = spark.createDataFrame(rows, "year int, genus string, stage string, tow int, raw double")
+    tows, sums = {}, {}
+    for year, genus, stage, tow, raw in rows:
+        tows.setdefault(year, set()).update([] if tow is None else [tow])
+        sums.setdefault((year, genus), {}).setdefault(stage, []).extend([] if raw is None else [raw])
+    want = {}
+    for (year, genus), by_stage in sums.items():
+        means = [sum(v) / len(tows[year]) for v in by_stage.values() if v]
+        want[year, genus] = (len(tows[year]), sum(means) if means else None)
+    got = S.presence_only_mean(d, period=["year"], taxon=["genus"], size_class="stage", tow="tow", value="raw").collect()
+    assert len(got) == len(want) > 8
+    for r in got:
+        n, mean = want[r.year, r.genus]
+        assert r.n_surveys == n and (r.mean_value is mean is None or r.mean_value == pytest.approx(mean, abs=0.02))

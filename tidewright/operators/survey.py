@@ -99,10 +99,16 @@ def station_means(df: DataFrame, keys: Sequence[str], groups: Sequence[str], fam
 
 def presence_only_mean(records: DataFrame, *, period: Sequence[str], taxon: Sequence[str], size_class: str, tow: str, value: str) -> DataFrame:
     """Mean density per survey from presence-only records: sums over records divided by all surveys of the period,
-    with rounding at every level as survey tables publish it."""
-    n = records.groupBy(*period).agg(F.countDistinct(tow).alias("n_surveys"))
-    by_size = records.groupBy(*period, *taxon, size_class).agg(F.sum(F.round(value, 3)).alias("__v"))
-    by_size = null_safe_join(by_size, n, list(period)).withColumn("__v", F.round(F.col("__v") / F.col("n_surveys"), 3))
+    with rounding at every level as survey tables publish it.
+
+    The records are read once: the first record of a tow in a period stands for the survey, so surveys are summed along with the values.
+    """
+    first = F.row_number().over(W.partitionBy(tow, *period).orderBy(tow)) == 1
+    rows = records.select(*period, *taxon, size_class, F.round(value, 3).alias("__v"), (first & F.col(tow).isNotNull()).cast("long").alias("__first"))
+    by_size = rows.groupBy(*period, *taxon, size_class).agg(F.sum("__v").alias("__v"), F.sum("__first").alias("__first"))
+    # One row per taxon and size class of a period is left here.
+    by_size = by_size.withColumn("n_surveys", F.sum("__first").over(W.partitionBy(*period)))
+    by_size = by_size.withColumn("__v", F.round(F.col("__v") / F.col("n_surveys"), 3))
     return by_size.groupBy(*period, *taxon, "n_surveys").agg(F.sum(F.round("__v", 2)).alias("mean_value"))
 
 
