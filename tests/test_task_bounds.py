@@ -10,7 +10,9 @@ from tidewright.operators import quantiles as Q
 from tidewright.operators import regression as R
 from tidewright.operators import survey as S
 from tidewright.plans import REGISTRY
-from tidewright.session import bound_tasks
+from tidewright.plans.base import Tables, stage
+from tidewright.plans.matching import day_median
+from tidewright.session import bound_tasks, prepare
 
 ADVISED, STORED = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
 
@@ -153,3 +155,22 @@ def test_presence_only_mean_on_odd_records(spark):
     for r in got:
         n, mean = want[r.year, r.genus]
         assert r.n_surveys == n and (r.mean_value is mean is None or r.mean_value == pytest.approx(mean, abs=0.02))
+
+
+def test_day_median_shuffles_counts_only(spark):
+    text = plan(day_median(Tables(spark, "/root/testdata/sf0.001")))
+    # Rows are joined with a broadcast of the few ranges that hold a rank, never grouped whole by their values.
+    assert "broadcast" in text and "Aggregate [date#" in text
+    assert not [line for line in text.splitlines() if "Aggregate [" in line and "__v#" in line.split("]")[0] and "__b2#" not in line.split("]")[0]]
+
+
+def test_kept_tables_have_no_empty_parts(spark):
+    """Every use of a small kept table runs a task for each of its parts."""
+    prepare(spark)
+    spark.conf.set(PARTS, "60")
+    try:
+        d = stage(spark.range(100).groupBy((F.col("id") % 10).alias("k")).agg(F.sum("id").alias("s")))
+        assert d.count() == 10 and d.rdd.getNumPartitions() < 10
+    finally:
+        spark.conf.unset(PARTS)
+        spark.catalog.clearCache()

@@ -20,7 +20,7 @@ MATCH_SQL = """near AS (SELECT * FROM (SELECT o.*, m.mdate, m.model, row_number(
 
 def day_median(t: Tables):
     d = t.lineitem.select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("v"))
-    return grouped_quantiles(d, ["date"], "v", {"obs": 0.5})
+    return grouped_quantiles(d, ["date"], "v", {"obs": 0.5}, few_groups=True)
 
 
 DAY_MEDIAN = "day_obs AS (SELECT CAST(l_shipdate AS DATE) AS date, median(l_extendedprice) AS obs FROM lineitem GROUP BY 1)"
