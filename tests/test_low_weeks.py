@@ -88,3 +88,9 @@ def test_weekly_onsets_with_blank_years_and_keys(spark, odd):
     got = result(spark, odd, "onset_weekly_gaps")
     assert got == plain(odd)
     assert ("N", 1997, None, None) in got and any(r[0] is None for r in got) and any(r[1] is None for r in got)
+
+
+def test_recipe_scores_of_low_prices(spark, low, odd):
+    got = result(spark, low, "onset_recipe_scores")
+    assert len(got) == 6 and got == result(spark, FOLDER, "onset_recipe_scores")
+    result(spark, odd, "onset_recipe_scores")
