@@ -94,3 +94,9 @@ def test_recipe_scores_of_low_prices(spark, low, odd):
     got = result(spark, low, "onset_recipe_scores")
     assert len(got) == 6 and got == result(spark, FOLDER, "onset_recipe_scores")
     result(spark, odd, "onset_recipe_scores")
+
+
+def test_best_recipe_of_low_prices(spark, low, odd):
+    got = result(spark, low, "onset_best_recipe")
+    assert len(got) == 1 and got == result(spark, FOLDER, "onset_best_recipe")
+    result(spark, odd, "onset_best_recipe")
